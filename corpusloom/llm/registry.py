@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing
+from corpusloom.llm import mixing, sentencepiece_fst, token_files
 
 
 def queries() -> dict:
     return {
+        "op3_token_orc": token_files.op3_token_orc,
+        "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
         "op7_mixing": mixing.op7_mixing,
     }
 
