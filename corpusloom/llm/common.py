@@ -40,9 +40,9 @@ def text_of(column: str = "text") -> Column:
 def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row (node, component) per node, component = smallest node.
 
-    Each round hooks every node to its smallest neighbour, follows those pointers twice, and contracts the edges, so the
-    number of rounds grows with the logarithm of the diameter. Only pointers and contracted edges are kept, each
-    as files in the shared folder; nothing but a count reaches the driver. Self loops name single nodes; nulls are ignored.
+    Each round hooks every node to its smallest neighbour, doubles those pointers until they rest, and contracts the edges, so
+    the number of rounds grows with the logarithm of the size. Only pointers and contracted edges are kept, each
+    as files in the shared folder; nothing but whether rows are left reaches the driver. Self loops name single nodes; nulls are ignored.
     Joins on a hot root leave the split of its rows to adaptive execution; minima combine before they shuffle.
     """
     edges = edges.where("a is not null and b is not null")
@@ -55,10 +55,11 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 64) -> DataF
             return label
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("child"), F.least("a", "low").alias("root"))
-        hook = materialise(hook, f"{tag}-hook")
-        for _ in range(2):
+        hook = materialise(hook.withColumn("moved", F.lit(True)), f"{tag}-hook")
+        while not hook.where("moved").isEmpty():
             up = hook.select(F.col("child").alias("root"), F.col("root").alias("above"))
-            hook = hook.join(up, "root", "left").select("child", F.coalesce("above", "root").alias("root"))
+            above = F.coalesce("above", "root")
+            hook = hook.join(up, "root", "left").select("child", above.alias("root"), (above != F.col("root")).alias("moved"))
             hook = materialise(hook, f"{tag}-jump")
         to_a = hook.select(F.col("child").alias("a"), F.col("root").alias("ra"))
         to_b = hook.select(F.col("child").alias("b"), F.col("root").alias("rb"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, sentencepiece_fst, token_files
+from corpusloom.llm import mixing, sentencepiece_fst, simhash, substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op3_token_orc": token_files.op3_token_orc,
         "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
