@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, sentencepiece_fst, simhash, substrings, token_files
+from corpusloom.llm import mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_token_orc": token_files.op3_token_orc,
         "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
         "op6_substring_dedup": substrings.op6_substring_dedup,
