@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity
+from corpusloom.llm import licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_token_orc": token_files.op3_token_orc,
         "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash": simhash.op8_simhash,
