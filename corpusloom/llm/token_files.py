@@ -21,14 +21,28 @@ from corpusloom.llm.common import shared_dir, text_of
 FILE_COLUMNS = "doc_id long, range_id int, before long, ids array<int>"
 END_ID = 0
 #: Distinct pre-tokens whose ids a Python worker keeps; beyond, it forgets them and starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+#: New pre-tokens that the library gets at once.
+LINES = 20_000
 #: Characters on which Python's own classes agree with the tokenizer's pattern (ASCII, Latin letters, punctuation, Greek, Cyrillic, CJK).
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º-»¿-ʯΑ-ΡΣ-ϿА-я‐-‧一-龥]*")
-PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+PRE_TOKEN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Ids per Arrow batch that an encoder hands back to Spark.
 BATCH_IDS = 1 << 20
 
 
+class _Kept(dict):
+    """Ids by pre-token. One that is asked for and not there gets an empty place, which is filled before it is read."""
+
+    def __init__(self):
+        self.open: list[str] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        place = self[word] = bytearray()
+        self.open.append(word)
+        return place
+
+
 class Encoder:
     """Exact encoding by the tokenizers library with the ids of recurring pre-tokens kept as bytes.
 
@@ -44,26 +58,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        self.feed = self._library(["\n"])[0]
+        self.kept = _Kept()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _fill(self) -> None:
+        """Encode the open pre-tokens: one to a line, as a line feed between them is a pre-token and an id of its own."""
+        kept, self.kept.open = self.kept.open, []
+        lines = [w for w in kept if not w.isspace()]
+        alone = [w for w in kept if w.isspace()]
+        for word, ids in zip(alone, self._library(alone), strict=True):
+            self.kept[word][:] = ids
+        feed = int.from_bytes(self.feed, "little")
+        for at in range(0, len(lines), LINES):
+            part = lines[at : at + LINES]
+            ids = np.frombuffer(self._library(["\n".join(part)])[0], dtype="<u4")
+            ends = np.flatnonzero(ids == feed).tolist() + [len(ids)]
+            raw, begin = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("line feeds don't separate pre-tokens for this tokenizer")
+            for word, end in zip(part, ends, strict=True):
+                self.kept[word][:] = raw[4 * begin : 4 * end]
+                begin = end + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept = _Kept()
+        look, parts = self.kept.__getitem__, []
         for text in texts:
             if PLAIN.fullmatch(text) is None or any(a in text for a in self.added):
-                yield self._library([text])[0]
-                continue
-            words, kept = PRE_TOKEN.findall(text), self.kept
-            try:
-                yield b"".join([kept[w] for w in words])
-            except KeyError:
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
-                new = [w for w in set(words) if w not in kept]
-                kept.update(zip(new, self._library(new), strict=True))
-                yield b"".join([kept[w] for w in words])
+                parts.append(self._library([text]))
+            else:
+                parts.append(list(map(look, PRE_TOKEN.findall(text))))
+        self._fill()
+        return [b"".join(p) for p in parts]
 
 
 _encoders: dict[str, Encoder] = {}
