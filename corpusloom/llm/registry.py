@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity
+from corpusloom.llm import ann, licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity, vector_dups
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_simhash": simhash.op8_simhash,
+        "op9_ann": ann.op9_ann,
+        "op10_vector_dups": vector_dups.op10_vector_dups,
     }
 
 
