@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word definitions: tab, line feeds, carriage return and blank.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def with_fields(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` with further nullable fields."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in more.items():
+        out.add(name, kind)
+    return out
+
+
 def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row (node, component) per node, component = smallest node.
 

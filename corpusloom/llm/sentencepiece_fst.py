@@ -7,7 +7,7 @@ the piece's score and every neighbour is accepted. For a BPE model pieces cost n
 neighbours that the merge order would have joined or split otherwise; one path stays finite, and it is the library's encoding.
 
 The composition is taken per stretch between certain cuts: no piece holds a word mark after another character, nor a line feed, so
-stretches are independent, and so with some marks of punctuation; a worker keeps the paths of those that recur.
+stretches are independent, and so with marks of punctuation that no piece holds after a letter; a worker keeps the paths of those that recur.
 """
 
 from __future__ import annotations
@@ -57,6 +57,18 @@ def _fields(buffer: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class _Paths(dict):
+    """Ids of the shortest path by stretch, searched for when first asked for."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, stretch: str) -> bytes:
+        path = self.machine.shortest_path(stretch)
+        found = self[stretch] = pack(f"<{len(path)}i", *path)
+        return found
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -81,17 +93,16 @@ class Transducer:
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("a piece crosses the cuts between stretches")
-        # marks of punctuation that no piece holds after another kind of character
-        stops = "".join(c for c in ".,;:!?" if not any(re.search(f"[^.,;:!?{MARK}]{re.escape(c)}", p) for p in self.pieces))
-        held = f"[{re.escape(stops)}]" if stops else "(?!)"
-        self.stretches = re.compile(f"{MARK}*{held}*[^{MARK}\n{re.escape(stops)}]+|{MARK}*{held}+|\n|{MARK}+")
+        # marks of punctuation that no piece holds after a letter
+        stops = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.pieces))
+        self.stretches = re.compile((rf"{MARK}*[^\W\d_]+(?=[{re.escape(stops)}])|" if stops else "") + f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
         self.out = [b"" if i in special else self.names[i].replace(MARK, " ").encode() for i in ids]
         for byte, i in self.byte_id.items():
             self.out[i] = bytes([byte])
         self.bytes_of = np.isin(np.arange(len(self.names)), list(self.byte_id.values()))
         self.spines: dict[str, tuple | None] = {}
         self.fits: dict[str | None, dict[str, bool]] = {}
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Paths(self)
 
     def _rank(self, piece: str) -> float:
         i = self.pieces.get(piece)
@@ -155,29 +166,50 @@ class Transducer:
         return ids
 
     def _accepted(self, stretch: str) -> tuple[list[int], list[str | None]]:
-        """Arcs of weight 0, neighbours by the acceptor: each place is reached by one path, so its first arc is its best."""
+        """Arcs of weight 0, neighbours by the acceptor: one path is finite, and each place lies on one path from the start at most.
+
+        So the search goes depth first, the longest piece first, and never tries a place again that led nowhere.
+        """
         n = len(stretch)
         back, last = [-1] * (n + 1), [None] * (n + 1)
         back[0] = 0
-        pieces, prefixes, fits, mergeable = self.pieces, self.prefixes, self.fits, self._spine
-        for start in range(n):
-            before = last[start]
+        pieces, prefixes, fits = self.pieces, self.prefixes, self.fits
+        at, open_, depth = 0, [], []
+        while at < n:
+            if len(open_) == len(depth):  # a place reached for the first time: the pieces from here, the longest last
+                arcs = []
+                for end in range(at + 1, n + 1):
+                    piece = stretch[at:end]
+                    if piece not in prefixes:
+                        break
+                    if piece in pieces:
+                        arcs.append(piece)
+                open_.append(arcs or [None])
+                depth.append(at)
+            arcs, before = open_[-1], last[at]
             row = fits.get(before)
             if row is None:
                 row = fits[before] = {}
-            for end in range(start + 1, n + 1):
-                piece = stretch[start:end]
-                if piece not in prefixes:
+            while arcs:
+                piece = arcs.pop()
+                if piece is None:  # no piece holds this character: bytes
+                    back[at + 1], at = at, at + 1
                     break
-                if back[end] >= 0 or piece not in pieces:
+                end = at + len(piece)
+                if back[end] >= 0:
                     continue
                 ok = row.get(piece)
                 if ok is None:
-                    ok = row[piece] = mergeable(piece) is not None and (before is None or self._accepts(before, piece))
+                    ok = row[piece] = self._spine(piece) is not None and (before is None or self._accepts(before, piece))
                 if ok:
-                    back[end], last[end] = start, piece
-            if back[start + 1] < 0:
-                back[start + 1] = start  # no piece holds this character: bytes
+                    back[end], last[end], at = at, piece, end
+                    break
+            else:
+                open_.pop()
+                depth.pop()
+                if not depth:
+                    raise ValueError("the model's merges don't reach the end of a stretch")
+                at = depth[-1]
         return back, last
 
     def _weighted(self, stretch: str) -> tuple[list[int], list[str | None]]:
@@ -200,17 +232,10 @@ class Transducer:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        words, kept = self.stretches.findall(self.prefix + text.replace(" ", MARK)), self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            if len(kept) > KEPT_STRETCHES:
-                kept.clear()
-                self.fits.clear()
-            for w in set(words):
-                if w not in kept:
-                    kept[w] = pack(f"<{len(path := self.shortest_path(w))}i", *path)
-            return b"".join([kept[w] for w in words])
+        if len(self.kept) > KEPT_STRETCHES:
+            self.kept.clear()
+            self.fits.clear()
+        return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.prefix + text.replace(" ", MARK))))
 
     def decode(self, ids: list[int]) -> str:
         out = self.out

@@ -165,6 +165,11 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return stay.dropDuplicates(["_keep_row_id", "_keep_row_th"]).select(*docs.columns)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return one_of_each(docs)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)

@@ -3,8 +3,9 @@
 A window of W words is represented by one anchor: of the word sequences of length L = ceil(W / 4) that start in its first
 W - 2L + 1 places, the one with the smallest hash, the leftmost of equals. Equal windows have equal anchors at equal
 offsets, so a window can only repeat if its anchor does at length L, and at 2L, which still lies inside the window. Level by
-level, anchors that stand alone at one length are dropped and the others extended to twice that length; the last level holds
-the windows of the surviving anchors, at full length, compared by 128 bits.
+level, anchors that stand alone at one length are dropped and the others extended to twice that length. What survives is extended once more, to
+the stretch of all windows that share the anchor: equal stretches settle their windows at once, and where stretches of one anchor
+differ (at the ends of passages), their windows are compared one by one, at full length and by 128 bits.
 
 At each level a task first settles what repeats among its own rows and ships each such sequence once, as a marker. A sequence that
 fills a third of the corpus so reaches its reducer at most once per task, and no key has to be split or capped.
@@ -19,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of
+from corpusloom.llm.common import text_of, with_fields
 
 WINDOW = 35
 #: Words of a task that are looked at together before rows are shipped.
 BLOCK_WORDS = 3_000_000
 KEPT_WORDS = 300_000
 LONE, SETTLED, MARKER = 0, 1, 2
-ROW = "key long, chk long, id long, th long, pos int, kind byte"
-_NAMES = ["key", "chk", "id", "th", "pos", "kind"]
+#: A row stands for the ``cnt`` windows from word ``pos`` on; chk and seg are further hashes of it.
+ROW = "key long, chk long, seg long, id long, th int, pos int, cnt short, kind byte"
+RUN = "id long, th int, pos int, cnt short, kind byte"
+RUN_NAMES = ["id", "th", "pos", "cnt", "kind"]
+_KINDS = {"key": np.uint64, "chk": np.uint64, "seg": np.uint64, "id": np.int64, "th": np.int32, "pos": np.int32, "cnt": np.int16, "kind": np.int8}
 #: Odd multipliers of the two window hashes, and of the mixing step.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -80,14 +84,21 @@ class _Text:
         self.words = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=self.n)
         self.sums: dict[int, np.ndarray] = {}
 
-    def sequences(self, length: int, which: int = 0) -> np.ndarray:
-        """Hash of the ``length`` words from each place on."""
+    def _sums(self, which: int) -> np.ndarray:
         if which not in self.sums:
             up, _ = _powers.get(which, self.n)
             words = self.words if not which else _mixed(self.words)
             self.sums[which] = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up, dtype=np.uint64)])
-        _, down = _powers.get(which, self.n)
-        sums, count = self.sums[which], self.n - length + 1
+        return self.sums[which]
+
+    def stretches(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from begin up to end, of any length."""
+        sums, (_, down) = self._sums(1), _powers.get(1, self.n)
+        return _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+    def sequences(self, length: int, which: int = 0) -> np.ndarray:
+        """Hash of the ``length`` words from each place on."""
+        sums, (_, down), count = self._sums(which), _powers.get(which, self.n), self.n - length + 1
         return _mixed((sums[length:] - sums[:count]) * down[:count])
 
 
@@ -121,45 +132,68 @@ def _repeated(key: np.ndarray, chk: np.ndarray | None, weight: np.ndarray) -> np
     return out
 
 
-def _ship(key, chk, ids, th, pos, pair: bool) -> pa.RecordBatch:
-    """Rows for the next level: lone ones under their key, settled ones dealt evenly, one marker for each settled key."""
-    rep = _repeated(key, chk if pair else None, np.ones(len(key), dtype=np.int64))
-    _, first = np.unique(key[rep], return_index=True) if not pair else np.unique(np.stack([key[rep], chk[rep]], 1), axis=0, return_index=True)
-    even = _mixed((ids[rep] ^ th[rep]).astype(np.uint64) + pos[rep].astype(np.uint64))
-    lone, n_rep, n_mark = ~rep, int(rep.sum()), len(first)
-    zero = np.zeros(n_mark, dtype=np.int64)
-    columns = [
-        np.concatenate([key[lone], even, key[rep][first]]).view(np.int64),
-        np.concatenate([chk[lone], chk[rep], chk[rep][first]]).view(np.int64),
-        np.concatenate([ids[lone], ids[rep], zero]),
-        np.concatenate([th[lone], th[rep], zero]),
-        np.concatenate([pos[lone], pos[rep], zero]).astype(np.int32),
-        np.repeat(np.array([LONE, SETTLED, MARKER], dtype=np.int8), [len(key) - n_rep, n_rep, n_mark]),
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
-
-
-def _settled(batches: Iterator[pa.RecordBatch], pair: bool) -> tuple[np.ndarray, ...]:
-    """(chk, id, th, pos) of the rows of one partition that repeat."""
+def _batch(rows: dict[str, np.ndarray], names: list[str]) -> pa.RecordBatch:
+    signed = [rows[n].view(np.int64) if rows[n].dtype == np.uint64 else rows[n] for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in signed], names=names)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {n: np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, dtype=k) for n, k in _KINDS.items()}
+
+
+def _picked(rows: dict[str, np.ndarray], which: np.ndarray, **other) -> dict[str, np.ndarray]:
+    found = {n: c[which] for n, c in rows.items()}
+    return found | {n: np.full(len(found["key"]), v, dtype=_KINDS[n]) if np.isscalar(v) else v for n, v in other.items()}
+
+
+def _ship(rows: dict[str, np.ndarray], also: str | None) -> pa.RecordBatch:
+    """Rows for the next level: lone ones under their key, settled ones dealt evenly, one marker for each settled key.
+
+    Rows settle if they share the key, and ``also`` where it is named, with another row of the task.
+    """
+    second = rows[also] if also else np.zeros(0, dtype=np.uint64)
+    lone = rows["kind"] == LONE
+    rep = _repeated(rows["key"], second if also else None, np.where(lone, 1, 2)) & lone
+    at = np.flatnonzero(rep)
+    pairs = np.stack([rows["key"][at], second[at] if also else np.zeros(len(at), dtype=np.uint64)], axis=1)
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    even = _mixed((rows["id"][at] ^ rows["th"][at]).view(np.uint64) + rows["pos"][at].astype(np.uint64))
+    return _batch(_joined([_picked(rows, ~rep), _picked(rows, at, key=even, kind=SETTLED), _picked(rows, at[first], kind=MARKER)]), list(_KINDS))
+
+
+def _partition(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    """All rows of one partition."""
     parts = [b for b in batches if b.num_rows]
-    columns = [np.concatenate([np.asarray(b.column(k)) for b in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(6)]
-    key, chk, ids, th, pos, kind = columns
-    key, chk = key.astype(np.int64).view(np.uint64), chk.astype(np.int64).view(np.uint64)
-    open_ = np.flatnonzero(kind != SETTLED)
-    rep = _repeated(key[open_], chk[open_] if pair else None, np.where(kind[open_] == MARKER, 2, 1))
-    keep = np.concatenate([np.flatnonzero(kind == SETTLED), open_[rep & (kind[open_] == LONE)]])
-    return chk[keep], ids[keep], th[keep], pos[keep]
+    found = {}
+    for k, (name, kind) in enumerate(_KINDS.items()):
+        column = np.concatenate([np.asarray(b.column(k)) for b in parts]) if parts else np.zeros(0)
+        found[name] = column.astype(np.int64).view(np.uint64) if kind == np.uint64 else column.astype(kind)
+    return found
+
+
+def _settled(rows: dict[str, np.ndarray], also: str | None) -> np.ndarray:
+    """Which rows of a partition repeat, by key and by ``also``; markers count twice and aren't named."""
+    out, at = rows["kind"] == SETTLED, np.flatnonzero(rows["kind"] != SETTLED)
+    rep = _repeated(rows["key"][at], rows[also][at] if also else None, np.where(rows["kind"][at] == MARKER, 2, 1))
+    out[at[rep & (rows["kind"][at] == LONE)]] = True
+    return out
+
 
+def _raw(batch: pa.RecordBatch, text_col: str) -> list[bytes]:
+    texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+    return [t or b"" for t in texts]
 
-def _texts_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (id, th, text, list or None) of (doc_id, text, id, th[, list]) until about BLOCK_WORDS words are together."""
+
+def _texts_in_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[list[tuple]]:
+    """(id, th, text, runs or None) of each row until about BLOCK_WORDS words are together."""
     block, size = [], 0
     for batch in batches:
-        ids, ths, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1)
-        lists = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(ids)
-        for k in range(len(ids)):
-            text = _Text(texts[k].as_py())
-            block.append((ids[k], ths[k], text, lists[k]))
+        names = batch.schema.names
+        ids, ths = (batch.column(names.index(n)).to_pylist() for n in ("_sub_id", "_sub_th"))
+        runs = _runs(batch.column(names.index("_sub_runs"))) if "_sub_runs" in names else [None] * len(ids)
+        for i, th, raw, run in zip(ids, ths, _raw(batch, text_col), runs, strict=True):
+            text = _Text(raw)
+            block.append((i, th, text, run))
             size += text.n + 100
             if size >= BLOCK_WORDS:
                 yield block
@@ -167,93 +201,127 @@ def _texts_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]
     yield block
 
 
-def _rows(found: list[tuple]) -> tuple[np.ndarray, ...]:
-    """(key, chk, id, th, pos) out of (id, th, places, key, chk) for each text."""
-    sizes = [len(f[2]) for f in found]
-    flat = lambda k, kind: np.concatenate([f[k] for f in found]).astype(kind) if found else np.zeros(0, dtype=kind)
-    spread = lambda k: np.repeat(np.array([f[k] for f in found], dtype=np.int64), sizes)
-    return flat(3, np.uint64), flat(4, np.uint64), spread(0), spread(1), flat(2, np.int64)
+def _runs(lists: pa.ListArray) -> list[list[np.ndarray]]:
+    """Per row the fields of its runs, as arrays; a null list has none."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    ends = np.asarray(lists.offsets).tolist()
+    fields = [np.asarray(f).astype(np.int64) for f in lists.values.flatten()]
+    return [[f[a:b] for f in fields] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _rows_of(i: int, th: int, **columns) -> dict[str, np.ndarray]:
+    n = len(columns["key"])
+    given = columns | {"id": i, "th": th}
+    return {name: given[name].astype(kind) if isinstance(given.get(name), np.ndarray) else np.full(n, given.get(name, 0), dtype=kind) for name, kind in _KINDS.items()}
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text as bytes, id, th): rows are told apart by their id and a hash of their text; equal rows share both."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"))
+    """The rows with _sub_id and _sub_th, an id and a hash of the text: equal rows share both, others are told apart."""
+    text = text_of(text_col)
+    return docs.withColumns({"_sub_id": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)), "_sub_th": F.hash(text)})
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, th, places): first words of the windows of each text that also start elsewhere."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """(_sub_id, _sub_th, _sub_runs): runs (pos, cnt) of the windows of each text that also start elsewhere."""
     first, second = _lengths(window)
 
     def anchors(batches):
-        for block in _texts_in_blocks(batches):
+        for block in _texts_in_blocks(batches, text_col):
             found = []
             for i, th, text, _ in block:
                 if text.n >= window:
-                    at = np.unique(_anchor_of(text, window))
-                    found.append((i, th, at, text.sequences(first)[at], text.sequences(second)[at]))
-            yield _ship(*_rows(found), pair=False)
+                    at, pos, cnt = np.unique(_anchor_of(text, window), return_index=True, return_counts=True)
+                    found.append(_rows_of(i, th, key=text.sequences(first)[at], chk=text.sequences(second)[at], seg=text.stretches(pos, pos + cnt - 1 + window), pos=pos, cnt=cnt))
+            yield _ship(_joined(found), None)
 
     def double(batches):
-        chk, ids, th, pos = _settled(batches, pair=False)
-        yield _ship(chk, np.zeros(len(chk), dtype=np.uint64), ids, th, pos, pair=False)
-
-    def survive(pair):
-        def run(batches):
-            _, ids, th, pos = _settled(batches, pair)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(th.astype(np.int64)), pa.array(pos.astype(np.int32))], names=["id", "th", "pos"])
-
-        return run
+        rows = _partition(batches)
+        keep = _settled(rows, None)
+        rows = _picked(rows, keep, key=rows["chk"][keep], kind=LONE)
+        yield _ship(rows, "seg")
+
+    def extend(batches):
+        rows = _partition(batches)
+        done = _settled(rows, "seg")
+        out = [_picked(rows, done, kind=SETTLED)]
+        at = np.flatnonzero(rows["kind"] != SETTLED)
+        if len(at):
+            rest = _picked(rows, at)
+            order = np.lexsort((rest["seg"], rest["key"]))
+            rest = _picked(rest, order)
+            new_key = np.concatenate([[True], rest["key"][1:] != rest["key"][:-1]])
+            new = new_key | np.concatenate([[True], rest["seg"][1:] != rest["seg"][:-1]])
+            group = np.cumsum(new_key) - 1
+            several = (np.bincount(group, new) > 1)[group]  # stretches of one anchor differ: compare windows
+            settled = _repeated(rest["key"], rest["seg"], np.where(rest["kind"] == MARKER, 2, 1))
+            out += [_picked(rest, several & ~settled, kind=LONE), _picked(rest, several & settled & new, kind=MARKER)]
+        yield _batch(_joined(out), RUN_NAMES)
 
     def whole(batches):
-        for block in _texts_in_blocks(batches):
+        for block in _texts_in_blocks(batches, text_col):
             found = []
-            for i, th, text, alive in block:
-                at = np.flatnonzero(np.isin(_anchor_of(text, window), np.array(alive)))
-                found.append((i, th, at, text.sequences(window)[at], text.sequences(window, 1)[at]))
-            yield _ship(*_rows(found), pair=True)
+            for i, th, text, (pos, cnt, kind) in block:
+                at = np.repeat(pos - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) + np.arange(cnt.sum())
+                found.append(_rows_of(i, th, key=text.sequences(window)[at], chk=text.sequences(window, 1)[at], pos=at, cnt=np.ones(len(at)), kind=np.repeat(kind, cnt)))
+            yield _ship(_joined(found), "chk")
+
+    def compared(batches):
+        rows = _partition(batches)
+        yield _batch(_picked(rows, _settled(rows, "chk"), kind=SETTLED), RUN_NAMES)
+
+    def of_each(runs: DataFrame, *fields: str) -> DataFrame:
+        return runs.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th")).agg(F.collect_list(F.struct(*fields)).alias("_sub_runs"))
 
-    place = "id long, th long, pos int"
     level_1 = rows.mapInArrow(anchors, ROW).repartition("key")
     level_2 = level_1.mapInArrow(double, ROW).repartition("key")
-    alive = level_2.mapInArrow(survive(False), place).groupBy("id", "th").agg(F.collect_list("pos").alias("places"))
-    windows = rows.join(alive, ["id", "th"]).select("doc_id", "text", "id", "th", "places").mapInArrow(whole, ROW).repartition("key")
-    return windows.mapInArrow(survive(True), place).groupBy("id", "th").agg(F.collect_list("pos").alias("places"))
+    stretches = level_2.mapInArrow(extend, RUN)
+    open_ = of_each(stretches.where(F.col("kind") != SETTLED), "pos", "cnt", "kind")
+    # all columns go along, so that this join and the last one deal the texts out once
+    windows = rows.join(open_, ["_sub_id", "_sub_th"]).select(*rows.columns, "_sub_runs").mapInArrow(whole, ROW).repartition("key")
+    found = stretches.where(F.col("kind") == SETTLED).unionByName(windows.mapInArrow(compared, RUN))
+    return of_each(found, "pos", "cnt")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one blank).
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rejoin: bool = True) -> DataFrame:
+    """The rows of ``docs`` with what stays of their texts, and _sub_words and _sub_removed, the words before and those removed.
 
-    Every word that lies in a repeated window goes; windows are judged on the input alone. Null and empty texts have no words.
-    Texts under one window keep all. Rows that share id and text each count as a document, so long ones lose their words.
+    Every word that lies in a repeated window goes; windows are judged on the input alone. What stays is joined by single blanks;
+    with ``rejoin`` false a text that loses nothing stays as it is. Null and empty texts have no words; texts under one window keep all.
+    Rows that share id and text each count as a document, so long ones lose their words.
     """
-    rows = keyed(docs, id_col, text_col)
-    doc_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = with_fields(docs, _sub_words="long", _sub_removed="long")
 
     def cut(batches):
         for batch in batches:
-            texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            n_words, n_removed, kept = [], [], []
-            for raw, places in zip(texts, lists, strict=True):
+            before, removed, kept = [], [], []
+            at = batch.schema.get_field_index(text_col)
+            for k, (raw, (pos, cnt)) in enumerate(zip(_raw(batch, text_col), _runs(batch.column(batch.num_columns - 1)), strict=True)):
                 words = raw.split()
-                n_words.append(len(words))
-                if places:
+                before.append(len(words))
+                if len(pos):
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.unique(np.array(places))
-                    edge[at] += 1
-                    np.subtract.at(edge, at + window, 1)
-                    stay = np.cumsum(edge)[:-1] == 0
-                    words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                    np.add.at(edge, pos, 1)
+                    np.subtract.at(edge, pos + cnt - 1 + window, 1)
+                    words = [w for w, s in zip(words, (np.cumsum(edge)[:-1] == 0).tolist(), strict=True) if s]
+                removed.append(before[-1] - len(words))
+                kept.append(b" ".join(words).decode() if rejoin or removed[-1] else batch.column(at)[k].as_py())
+            columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(batch.columns[: len(docs_columns)])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], names=[*docs_columns, "_sub_words", "_sub_removed"])
+
+    docs_columns, rows = docs.columns, keyed(docs, id_col, text_col)
+    found = repeated_windows(rows, window, text_col)
+    joined = rows.join(found, ["_sub_id", "_sub_th"], "left").select(*docs_columns, "_sub_runs")
+    return joined.mapInArrow(cut, schema)
+
 
-    found = repeated_windows(rows, window)
-    joined = rows.join(found, ["id", "th"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, f"doc_id {doc_type}, n_words long, n_removed long, kept string")
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their repeated passages; rows stay, texts that lose nothing stay as they are."""
+    out = without_repeats(docs, rejoin=False)
+    size = F.when(F.col("_sub_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", size).select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = without_repeats(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_sub_words").alias("n_words"), F.col("_sub_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

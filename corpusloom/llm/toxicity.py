@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, text_of
+from corpusloom.llm.common import materialise, text_of, with_fields
 
 #: Bounds of what is fitted: labelled rows that teach (chosen by hash of their id), and features.
 LABELLED_ROWS, FEATURES, LEAST_SUPPORT = 20_000, 4_096, 4
@@ -263,7 +263,7 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(probability)], names=[*batch.schema.names[:-1], "_tox_score"])
 
     rows = docs.withColumn("_tox_text", text_of(text_col))
-    schema = docs.schema.add("_tox_score", "double")
+    schema = with_fields(docs, _tox_score="double")
     return rows.mapInArrow(score, schema)
 
 

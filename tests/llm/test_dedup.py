@@ -30,7 +30,7 @@ def brute_substrings(rows, window=35):
 
 def from_operator(docs, window=35):
     rows = substrings.without_repeats(docs, window).collect()
-    return Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in rows)
+    return Counter((r.doc_id, r._sub_words, r._sub_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in rows)
 
 
 def test_substrings_equal_brute_force(make_docs, mixed_rows):
@@ -45,7 +45,7 @@ def test_substrings_other_windows(make_docs, mixed_rows):
 def test_substrings_small_blocks_and_empty(make_docs, mixed_rows, monkeypatch):
     assert from_operator(make_docs([])) == Counter()
     monkeypatch.setattr(substrings, "BLOCK_WORDS", 300)
-    docs = make_docs(mixed_rows).repartition(7).withColumns({c: F.lit(1) for c in ("key", "id", "th", "pos", "places")})
+    docs = make_docs(mixed_rows).repartition(7).withColumns({c: F.lit(1) for c in ("key", "id", "th", "pos", "runs")})
     assert from_operator(docs) == brute_substrings(mixed_rows)
 
 
