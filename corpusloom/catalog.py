@@ -1,11 +1,244 @@
-"""Registered corpus-lexicon queries and their SQL twins."""
+"""Registered corpus-lexicon queries; their SQL twins are in ``catalog_sql``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.catalog_sql import EMOTIONS, KEYWORDS, MARKERS, PAIR, SOME, TARGET, VOWELS, WORD, oracle_sql
+from corpusloom.functions import features
+from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
+from corpusloom.plans.lexicon import Analysis, analysis_of_documents
+from corpusloom.sources.corpus import Corpus, texts_from_documents
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
+
+REQUEST = ", ".join(KEYWORDS)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analysis_of_documents(spark, sf_dir, REQUEST)
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return _analysis(spark, sf_dir).corpus
+
+
+def _on_corpus(build: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(_corpus(spark, sf_dir))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    rows = ingest.split_sentences(texts).join(texts.select("text_id", "author"), "text_id")
+    return features.sentence_features(search.flag_keywords(rows, KEYWORDS), VOWELS, EMOTIONS, MARKERS)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def author_style_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.author_stats(_features(spark, sf_dir)), "lexical_diversity", "sentence_length", "alliteration_score", "rhythm_score")
+
+
+def sentence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(features.flatten_lists(_features(spark, sf_dir)).drop("text_id", "pos"), "lexical_diversity")
+
+
+def sentence_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas, parts of speech and their counts of the sentences that have a target."""
+    rows = _analysis(spark, sf_dir).candidates.withColumn("t", analyse.rule_annotation(F.col("sentence")))
+    counts = features.pos_frequency(F.col("t.pos"))
+    listed = F.transform(F.array_sort(F.map_keys(counts)), lambda p: F.concat(p, F.lit("="), counts[p].cast("string")))
+    return rows.select("sentence_id", F.array_join("t.lemma", " ").alias("lemmas"), F.array_join("t.pos", " ").alias("pos"), F.array_join(listed, ",").alias("pos_counts"))
+
+
+def new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir).withColumn("title", F.concat_ws("/", "author", "genre"))
+    stored = texts.where("genre = 'fr'")
+    return ingest.new_texts_only(texts, stored).select("text_id", "title")
+
+
+def validate_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = docs.select(F.col("doc_id").alias("text_id"), F.concat(F.lit(" "), F.col("source"), F.lit("\t")).alias("author"), F.when(F.col("lang") == "de", F.col("lang")).otherwise(F.concat(F.lit(" "), F.col("n_chars").cast("string"))).alias("year"))
+    ok, bad = ingest.validate_year(raw)
+    return ok.select("text_id", "author", "year", F.lit(True).alias("accepted")).unionByName(bad.select("text_id", "author", F.lit(None).cast("int").alias("year"), F.lit(False).alias("accepted")))
+
+
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return ingest.labelled(texts).join(ingest.labelled(texts, True).withColumnRenamed("label", "label_year"), "text_id")
+
+
+def tokens_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).tokens.select("text_id", "token", "token_count")
+
+
+def words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _corpus(spark, sf_dir)
+    return c.words.join(c.tokens.select("text_id", "token_id", "token"), ["text_id", "token_id"]).select("text_id", "token", "pos", "word", "frequency")
+
+
+def cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _corpus(spark, sf_dir)
+    linked = c.cross.join(c.words.select("text_id", "word_id", "pos", "word"), ["text_id", "word_id"])
+    return linked.join(c.tokens.select("text_id", "token_id", "token"), ["text_id", "token_id"]).select("sentence_id", "text_id", "token", "pos", "word")
+
+
+def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _analysis(spark, sf_dir)
+    german = a.corpus.texts.where("genre = 'de'").select("text_id")
+    return analyse.analysis_report(a.pairs, a.corpus.tokens.where("token_count > 0").join(german, "text_id", "left_semi"), a.candidates)
+
+
+def new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested pairs beyond those stored for texts of one language; the request names a word twice."""
+    texts = _texts(spark, sf_dir)
+    words = analyse.lemmatise(analyse.parse_search_words(spark, f"{REQUEST},, THE "))
+    stored = texts.where("genre = 'de'").select("text_id", F.lit("und").alias("token"))
+    return analyse.new_pairs_only(analyse.request_pairs(texts, words), stored).select("text_id", "position", "word", "token")
+
+
+def _hits(c: Corpus) -> DataFrame:
+    return search.sentences_with_tokens(c.sentences, c.cross, c.tokens)
+
+
+def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.flag_keywords(ingest.split_sentences(_texts(spark, sf_dir)), KEYWORDS).select("sentence_id", "sentence")
+
+
+def _concordance(distinct: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = _corpus(spark, sf_dir)
+        return search.concordance(c.cross, c.words, c.tokens, c.sentences, None, TARGET, distinct).select("text_id", "sentence_id", "word", "pos", "shown")
+
+    return run
+
+
+def conversations_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a second corpus, its roles as authors."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnRenamed("role", "author")
+    return search.by_authors(rows, ["user", "assistant"]).groupBy("author").agg(F.count("*").alias("n"))
+
+
+def _report(c: Corpus) -> DataFrame:
+    return report.text_report(c.texts, c.sentences, c.cross, c.tokens, c.words)
+
+
+def _listed_tokens(df: DataFrame) -> DataFrame:
+    return df.withColumn("top_tokens", F.array_join(F.transform("top_tokens", lambda t: F.concat(t["token"], F.lit(":"), t["count"].cast("string"))), ","))
+
+
+def _pos_strings(column: str):
+    one = lambda p: F.concat(p["part_of_speech"], F.lit(":"), p["frequency"].cast("string"), F.lit("["), F.array_join(p["examples"], " "), F.lit("]"))
+    return F.array_join(F.transform(column, one), ",")
+
+
+def pos_per_token(c: Corpus) -> DataFrame:
+    return report.pos_per_token(c.tokens, c.words).withColumn("pos_list", _pos_strings("pos_list"))
+
+
+def pos_map(c: Corpus) -> DataFrame:
+    entries = report.pos_map(c.tokens, c.words).select("text_id", F.explode("top_pos_stats").alias("key", "pos_list"))
+    return entries.withColumn("pos_list", _pos_strings("pos_list"))
+
+
+def text_report(c: Corpus) -> DataFrame:
+    out = _listed_tokens(_report(c))
+    return out.withColumn("n_pos_lists", F.size(F.filter(F.map_values("top_pos_stats"), lambda p: p.isNotNull()))).drop("top_pos_stats")
+
+
+def drop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _corpus(spark, sf_dir)
+    left = maintain.drop_texts(c, c.texts.where("genre = 'de'"))
+    out = None
+    for name in ("texts", "sentences", "tokens", "words", "cross"):
+        part = getattr(left, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("text_id").alias("ids"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def remove_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One occurrence of every distinct entry removed: what is left per token."""
+    c = _corpus(spark, sf_dir)
+    left = maintain.remove_occurrences(c, c.cross.select("token_id", "sentence_id", "word_id").distinct())
+    links = left.cross.groupBy("text_id", "token_id").agg(F.count("*").alias("n"))
+    return left.tokens.join(links, ["text_id", "token_id"], "left").select("text_id", "token", "token_count", F.coalesce("n", F.lit(0)).alias("n_cross"))
+
+
+def explode_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    contexts = items.groupBy(F.col("l_orderkey").alias("word_id")).agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), ", ").alias("sentence_ids"))
+    links = items.where("l_linenumber = 1").select(F.col("l_orderkey").alias("word_id"), F.col("l_partkey").alias("sentence_id"))
+    return maintain.explode_links(contexts, links)
+
+
+def _some(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("token").isin(*SOME))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    on = _on_corpus
+    return {
+        "split_sentences": lambda s, d: ingest.split_sentences(_texts(s, d)),
+        "author_style_stats": author_style_stats,
+        "author_overview": lambda s, d: _rounded(features.author_overview(_features(s, d)), "lexical_diversity"),
+        "sentence_features": sentence_features,
+        "sentence_annotation": sentence_annotation,
+        "new_texts": new_texts,
+        "validate_year": validate_year,
+        "list_texts": lambda s, d: ingest.list_texts(_texts(s, d)),
+        "text_labels": text_labels,
+        "tokens_table": tokens_table,
+        "words_table": words_table,
+        "cross_table": cross_table,
+        "analysis_report": analysis_report,
+        "new_pairs": new_pairs,
+        "sentences_with_tokens": on(lambda c: _hits(c).select("text_id", "sentence_id", "sentence")),
+        "sentences_with_author": on(lambda c: search.sentences_with_author(c.sentences, c.cross, c.tokens, c.texts.where("genre <> 'de'"))),
+        "context_in_text": on(lambda c: search.sentences_with_context(c.sentences, _hits(c))),
+        "context_global": on(lambda c: search.sentences_with_context(c.sentences, _hits(c), scope="global")),
+        "keyword_flags": keyword_flags,
+        "keyword_sentences": on(lambda c: search.keyword_sentences(c.sentences, c.cross, c.texts, KEYWORDS)),
+        "concordance": _concordance(True),
+        "concordance_all": _concordance(False),
+        "tokens_of_text": on(lambda c: search.tokens_of_text(c.tokens, PAIR[0]).select("token", "token_count")),
+        "words_of_token": on(lambda c: search.words_of_token(c.words, c.tokens, TARGET).select("text_id", "pos", "word", "frequency")),
+        "sentences_of_word": on(lambda c: search.sentences_of_word(c.cross, c.words, c.tokens, c.sentences, WORD).select("text_id", "sentence_id", "sentence")),
+        "top_adjectives": on(lambda c: search.top_words_by_pos(c.words).select("text_id", "word", "frequency")),
+        "conversations_by_role": conversations_by_role,
+        "text_coverage": on(lambda c: coverage.text_coverage(c.texts, c.sentences, c.cross, c.tokens)),
+        "text_coverage_joined": on(lambda c: coverage.text_coverage_joined(c.sentences, c.cross, c.tokens)),
+        "title_coverage": on(lambda c: coverage.title_coverage(c.texts, c.sentences, c.cross)),
+        "avg_words_per_sentence": on(lambda c: _rounded(coverage.avg_words_per_sentence(c.cross), "avg_words")),
+        "link_averages": on(lambda c: coverage.link_averages(c.cross, c.tokens)),
+        "coverage_vs_length": on(lambda c: coverage.coverage_vs_length(c.texts, c.sentences, c.cross, c.tokens)),
+        "token_totals": on(lambda c: ranking.token_totals(c.tokens)),
+        "top_tokens": on(lambda c: ranking.top_tokens(c.tokens)),
+        "pos_totals": on(lambda c: ranking.pos_totals(c.words, c.cross)),
+        "top_pos": on(lambda c: ranking.top_pos(c.words, c.cross)),
+        "analytical_table": on(lambda c: _rounded(ranking.analytical_table(c.sentences, c.cross, c.tokens, c.words), "avg_words")),
+        "compare_texts": on(lambda c: ranking.compare_texts(c.words, _some(c.tokens), *PAIR)),
+        "top_words_with_context": on(lambda c: ranking.top_words_with_context(c.words, c.cross, c.sentences, _some(c.tokens))),
+        "tokens_json": on(lambda c: _listed_tokens(report.tokens_json(c.tokens))),
+        "pos_per_token": on(pos_per_token),
+        "pos_map": on(pos_map),
+        "text_report": on(text_report),
+        "corpus_totals": on(lambda c: _rounded(report.corpus_totals(_report(c)), "avg_percent", "avg_links")),
+        "top_tokens_corpus": on(lambda c: report.top_tokens_corpus(_report(c))),
+        "pos_distribution": on(lambda c: report.pos_distribution(_report(c))),
+        "author_timeline": on(lambda c: report.author_timeline(c.texts)),
+        "graph_nodes": on(lambda c: report.token_graph(c.texts, c.tokens)[0]),
+        "graph_edges": on(lambda c: report.token_graph(c.texts, c.tokens)[1]),
+        "drop_texts": drop_texts,
+        "remove_occurrences": remove_occurrences,
+        "explode_links": explode_links,
+    }
