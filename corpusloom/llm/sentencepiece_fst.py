@@ -161,9 +161,9 @@ class Transducer:
         ids, at = [], len(stretch)
         while at:
             piece = stretch[back[at] : at]
-            ids[:0] = [self.pieces[piece]] if known[at] is not None else self._bytes(piece)
+            ids += [self.pieces[piece]] if known[at] is not None else self._bytes(piece)[::-1]
             at = back[at]
-        return ids
+        return ids[::-1]
 
     def _accepted(self, stretch: str) -> tuple[list[int], list[str | None]]:
         """Arcs of weight 0, neighbours by the acceptor: one path is finite, and each place lies on one path from the start at most.
@@ -174,9 +174,9 @@ class Transducer:
         back, last = [-1] * (n + 1), [None] * (n + 1)
         back[0] = 0
         pieces, prefixes, fits = self.pieces, self.prefixes, self.fits
-        at, open_, depth = 0, [], []
+        at, open_, depth, fresh = 0, [], [], True
         while at < n:
-            if len(open_) == len(depth):  # a place reached for the first time: the pieces from here, the longest last
+            if fresh:  # a place reached for the first time: the pieces from here, the longest last
                 arcs = []
                 for end in range(at + 1, n + 1):
                     piece = stretch[at:end]
@@ -186,7 +186,7 @@ class Transducer:
                         arcs.append(piece)
                 open_.append(arcs or [None])
                 depth.append(at)
-            arcs, before = open_[-1], last[at]
+            arcs, before, fresh = open_[-1], last[at], True
             row = fits.get(before)
             if row is None:
                 row = fits[before] = {}
@@ -209,7 +209,7 @@ class Transducer:
                 depth.pop()
                 if not depth:
                     raise ValueError("the model's merges don't reach the end of a stretch")
-                at = depth[-1]
+                at, fresh = depth[-1], False
         return back, last
 
     def _weighted(self, stretch: str) -> tuple[list[int], list[str | None]]:
