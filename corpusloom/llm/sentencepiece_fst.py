@@ -12,6 +12,7 @@ stretches are independent, and so with marks of punctuation that no piece holds
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -27,7 +28,8 @@ from corpusloom.llm.common import text_of
 from corpusloom.llm.token_files import in_portions
 
 MARK = "▁"
-KEPT_STRETCHES = 300_000
+#: Stretches whose paths a worker remembers; more of them only start the memory anew.
+KEPT_STRETCHES = 150_000
 PORTION = 4 << 20
 
 
@@ -286,8 +288,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, model_path: str) -> DataFrame:
-    """Per row: numbers of pieces and of byte pieces, CRC-32 of the ids (little-endian 32-bit), SHA-256 of the decoded text."""
+def digests(encoded: DataFrame, model_path: str) -> DataFrame:
+    """Per row of ``encode``: numbers of pieces and of byte pieces, CRC-32 of the ids (little-endian 32-bit), SHA-256 of the text
+    that they decode to. Decoded and hashed by one worker, so texts don't travel again; null lists read as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(model_path)
@@ -296,13 +299,14 @@ def digests(decoded: DataFrame, model_path: str) -> DataFrame:
             spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
             raw = memoryview(values).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans]
+            sha = [hashlib.sha256(own.decode(values[a:b].tolist()).encode()).hexdigest() for a, b in spans]
             fallback = np.concatenate([[0], np.cumsum(own.bytes_of[values])])[ends]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(fallback).astype(np.int64)), pa.array(crc, type=pa.int64()), batch.column(2)],
+                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(fallback).astype(np.int64)), pa.array(crc, type=pa.int64()), pa.array(sha, type=pa.string())],
                 names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256"],
             )
 
-    rows = decoded.select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string")
 
 
@@ -314,9 +318,9 @@ def _model() -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(decode(encode(docs, _model()), _model()), _model())
+    return digests(encode(docs, _model()), _model())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's last stage: what the encoder makes of each row, with a digest of the ids."""
-    return digests(decode(encode(docs, _model()), _model()), _model())
+    return digests(encode(docs, _model()), _model())
