@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity, vector_dups
+from corpusloom.llm import ann, chat, licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity, vector_dups
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat.op1_chat_format,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_token_orc": token_files.op3_token_orc,
         "op4_sentencepiece": sentencepiece_fst.op4_sentencepiece,
