@@ -248,7 +248,7 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
     model = trigram_model(trigram_counts(docs, text_col))
     weights = learn(teaching_rows(docs.withColumn("text", F.col(text_col)), labels), model)
     context = docs.sparkSession.sparkContext
-    shared, taught = context.broadcast(model), context.broadcast(weights)
+    shared, taught, at = context.broadcast(model), context.broadcast(weights), docs.columns.index(text_col)
 
     def score(batches):
         decoder, weight = Decoder(shared.value), taught.value
@@ -256,15 +256,13 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
         kept = Kept(lambda w: tuple(f for f in read(w) if f in weight))
         for batch in batches:
             sums = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found = {f for hit in map(kept.__getitem__, words_of(text, decoder)) if hit for f in hit}
+            for value in batch.column(at):  # one text at a time beside its batch
+                found = {f for hit in map(kept.__getitem__, words_of(str(value.as_py() or ""), decoder)) if hit for f in hit}
                 sums.append(weight[""] + sum(weight[f] for f in sorted(found)))
             probability = 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(probability)], names=[*batch.schema.names[:-1], "_tox_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability)], names=[*batch.schema.names, "_tox_score"])
 
-    rows = docs.withColumn("_tox_text", text_of(text_col))
-    schema = with_fields(docs, _tox_score="double")
-    return rows.mapInArrow(score, schema)
+    return docs.mapInArrow(score, with_fields(docs, _tox_score="double"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
