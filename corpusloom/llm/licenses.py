@@ -126,7 +126,10 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def detections(rows: DataFrame) -> DataFrame:
     """(doc_id, th, rule, label, priority, confidence, begin, stop) of what the gated rules match, in words; equal rows once."""
     table = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)))
-    gated = rows.where("words is not null").select("doc_id", "th", "hits", "words").dropDuplicates(["doc_id", "th"])
+    session = rows.sparkSession
+    # the texts are small beside the work on them: a stated number of parts keeps them from being merged into a few tasks
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    gated = rows.where("words is not null").select("doc_id", "th", "hits", "words").repartition(parts, "doc_id", "th").dropDuplicates(["doc_id", "th"])
     # the rules are a fixed table of a few hundred short rows
     tried = gated.withColumn("keyword", F.explode("hits")).join(F.broadcast(table), "keyword").where(F.expr("words rlike pattern"))
     # what stands before each match, and the match, one after another: their word counts add up to places
