@@ -1,5 +1,6 @@
 """Tool-call linking in DataFrame expressions: results join calls by identifier, calls are ordered after what they depend on,
-arguments are checked against schemas, and each linked call becomes canonical JSON (sorted keys, nulls written)."""
+arguments keep their JSON types and are checked against schemas, and each linked call becomes canonical JSON (keys sorted at every
+depth, nulls written)."""
 
 from __future__ import annotations
 
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialise
 
 KEY = ["conv_id", "call_id"]
-#: Patterns of the JSON scalar types; any value is a string.
-TYPES = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": r"^(true|false)$"}
+# How Spark names the types of JSON values, and ours. Named types stand alone in a schema or nested: ``object<n:integer>``,
+# ``array<string>``; a plain ``object`` or ``array`` holds anything.
+NAMES = {r"BIGINT|DECIMAL\(\d+,0\)": "integer", r"DECIMAL\(\d+,\d+\)|DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
 def _once(df: DataFrame, *values: str) -> DataFrame:
@@ -35,16 +37,21 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
 
 def arguments_valid(arguments: Column, required: Column, types: Column) -> Column:
-    """Whether the parsed arguments (null: malformed) have every required name, no unknown one, and values of the named types."""
+    """Whether the parsed arguments (null: malformed) are an object with every required name, no unknown one, and values of the named types."""
     def fits(name: Column, value: Column) -> Column:
-        kind = F.try_element_at(types, name)
-        checks = F.when(kind == "string", value.isNotNull())
-        for k, pattern in TYPES.items():
-            checks = checks.when(kind == k, value.rlike(pattern))
-        return F.coalesce(checks, F.lit(False))
+        found = F.schema_of_variant(value)
+        for spark_name, ours in NAMES.items():
+            found = F.regexp_replace(found, rf"(?<=^|<|: )(?:{spark_name})(?=$|[,>])", ours)
+        found = F.regexp_replace(F.regexp_replace(found, "(?<=^|<|: )(OBJECT|ARRAY)<", "~$1<"), ": ", ":")
+        found = F.replace(F.replace(F.replace(found, F.lit("~OBJECT"), F.lit("object")), F.lit("~ARRAY"), F.lit("array")), F.lit(", "), F.lit(","))
+        kind = F.regexp_replace(F.try_element_at(types, name), " ", "")
+        for was, becomes in ((r"\barray<(\w+)>", "array<(?:null|$1)>"), (r"\bnumber(?=$|[,>)])", "(?:number|integer)"), (r"\b(object|array)(?=$|[,>)])", "$1<.*>")):
+            kind = F.regexp_replace(kind, was, becomes)
+        return F.coalesce(F.regexp_like(found, F.concat(F.lit("^(?:"), kind, F.lit(")$"))), F.lit(False))
 
-    keys = F.map_keys(arguments)
-    return F.coalesce(F.forall(required, lambda r: F.array_contains(keys, r)) & F.forall(keys, lambda k: fits(k, F.try_element_at(arguments, k))), F.lit(False))
+    held = F.try_variant_get(arguments, "$", "map<string,variant>")
+    keys = F.map_keys(held)
+    return F.coalesce(F.forall(required, lambda r: F.array_contains(keys, r)) & F.forall(keys, lambda k: fits(k, F.try_element_at(held, k))), F.lit(False))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -56,9 +63,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     """
     calls = _once(calls, "name", "arguments", "parent_id")
     joined = calls.join(_once(results, "content").withColumn("linked", F.lit(True)), KEY, "left").join(call_levels(calls.select(*KEY, "parent_id")), KEY)
-    full = joined.join(schemas.select("name", "required", "types"), "name", "left").withColumn("parsed", F.from_json("arguments", "map<string,string>"))
-    entries = F.map_from_entries(F.array_sort(F.map_entries("parsed")))
-    body = F.struct(entries.alias("arguments"), F.col("call_id").alias("id"), "name", F.col("parent_id").alias("parent"), F.col("content").alias("result"))
+    full = joined.join(schemas.select("name", "required", "types"), "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    # a variant holds the fields of its objects in the order of their names
+    body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("parent_id").alias("parent"), F.col("content").alias("result"))
     return full.select(
         *KEY, "level", arguments_valid(F.col("parsed"), F.col("required"), F.col("types")).alias("valid"),
         F.coalesce("linked", F.lit(False)).alias("linked"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),

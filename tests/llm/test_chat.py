@@ -34,3 +34,19 @@ def test_cycles_repeats_and_bad_arguments(spark):
     found = sorted((r.call_id, r.level, r.valid, r.linked) for r in chat.link_calls(calls, results, schemas).select("call_id", "level", "valid", "linked").fillna(-1, ["level"]).collect())
     assert found == [(1, 0, True, True), (2, 1, False, False), (3, 2, False, False), (4, -1, False, False), (5, -1, False, False), (6, 0, False, False)]
     assert chat.link_calls(calls.limit(0), results, schemas).count() == 0
+
+
+def test_arguments_keep_their_types_at_every_depth(spark):
+    texts = ['{"n": 3}', '{"n": "3"}', '{"s": 3}', '{"s": {"a": 1}}', '{"o": {"z": 1, "a": {"y": [2, "x"], "b": null}}}', '{"p": {"k": 1, "t": ["a"]}}', '{"p": {"k": "1", "t": ["a"]}}', '{"p": {"t": [], "k": 2}}', '{"f": 1}', '{"f": 1.5}', '{"f": "1.5"}', '{"b": true}', '{"b": "true"}', "[1]", '{"n": 1.5}', '{"x": 1}']
+    calls = spark.createDataFrame([(1, k, None, "f", t) for k, t in enumerate(texts)], "conv_id long, call_id long, parent_id long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id long, content string")
+    types = {"n": "integer", "s": "string", "o": "object", "p": "object<k:integer,t:array<string>>", "f": "number", "b": "boolean"}
+    schemas = spark.createDataFrame([("f", [], types)], "name string, required array<string>, types map<string,string>")
+    found = {r.call_id: r for r in chat.link_calls(calls, results, schemas).collect()}
+    for k, t in enumerate(texts):
+        assert json.dumps(json.loads(found[k].json)["arguments"]) == json.dumps(json.loads(t), sort_keys=True)
+    assert [k for k in found if found[k].valid] and sorted(k for k in found if found[k].valid) == [0, 4, 5, 7, 8, 9, 11]
+
+
+def test_lengths_of_the_query_are_numbers(spark):
+    assert all(json.loads(r.json)["arguments"]["length"] == len(json.loads(r.json)["arguments"]["text"]) for r in chat.op1_chat_format(spark, DATA).where("valid").collect())
