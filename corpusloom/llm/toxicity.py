@@ -1,7 +1,7 @@
 """Toxicity of whole texts, scored on words restored by a noisy-channel decoder.
 
-The source model is a character trigram model counted over every text of the table. Words that look disguised (look-alike digits
-and signs, letters repeated three times or more, letters set apart) become lattices of what each sign may stand for, and the
+The source model is a character trigram model counted over every text of the table. Words that may be disguised (a letter and look-alike digits
+or signs at any place, letters repeated three times or more, letters set apart) become lattices of what each sign may stand for, and the
 Viterbi path through a lattice under the trigram model is the word that is scored. The score is a logistic model on the presence of
 restored words and their beginnings, learned from labelled rows outside the held-out quarter.
 """
@@ -34,8 +34,8 @@ LOOK_ALIKES = {
 #: Costs of the channel, in nats: a look-alike, a run written longer, a mark set between letters, a sign that is just a mark.
 SWAP, STRETCH, APART, BREAK = 0.5, 0.5, 0.2, 2.0
 _SIGNS = re.escape("".join(LOOK_ALIKES))
-DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[013457@$][^\W\d_]{{2}}|([^\W\d_])\1\1|^[^\W\d_](?:[.\-_*][^\W\d_]){{2,}}$")
-SET_APART = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?!\S)")
+DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|([^\W\d_])\1\1", re.DOTALL)
+SET_APART = re.compile(r"(?:^|(?<=\s)|(?<=^[^\w\s])|(?<=\s[^\w\s]))[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?=[^\w\s]*(?:\s|$))")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 CODES = 64
 
@@ -105,7 +105,8 @@ class Decoder:
             if sign.isalpha():
                 arcs.append([(0.0, sign * n)] if n < 3 else [(STRETCH, sign), (STRETCH, sign * 2)])
             elif sign in LOOK_ALIKES:
-                letters = [(SWAP, c) for c in LOOK_ALIKES[sign]] + [(SWAP + STRETCH * (n > 2), c * 2) for c in LOOK_ALIKES[sign] if n > 1]
+                # as for letters, one or two stand for as many and only longer runs are stretched
+                letters = [(SWAP, c * n) if n < 3 else (SWAP + STRETCH, c * m) for c in LOOK_ALIKES[sign] for m in range(1, 2 + (n > 2))]
                 arcs.append(letters + [(BREAK, " ")])
             else:
                 arcs.append([(APART if n == 1 else 2 * APART, ""), (BREAK, " ")] if apart or sign in ".-_* " else [(0.0, " ")])
@@ -139,7 +140,8 @@ def features_of(decoder: Decoder) -> Callable[[str], tuple[str, ...]]:
 
     def features(word: str) -> tuple[str, ...]:
         found = []
-        restored = decoder.restore(word) if DISGUISED.search(word) else word
+        inner = EDGES.sub("", word)
+        restored = decoder.restore(inner) if SET_APART.fullmatch(inner) else decoder.restore(word) if DISGUISED.search(word) else word
         for w in restored.split():
             w = EDGES.sub("", w)
             if w:

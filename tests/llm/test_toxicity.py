@@ -46,3 +46,14 @@ def test_nulls_repeats_clashing_columns_and_one_class(spark, make_docs):
     unlabelled = toxicity.scored(docs, labels.where("false")).collect()
     assert {r._tox_score for r in unlabelled} == {0.5}
     assert toxicity.scored(docs.where("false"), labels).count() == 0
+
+
+def test_disguises_at_any_place_reach_the_decoder(make_docs):
+    docs = make_docs([(k, "an ass and a whore and a bitch and a girl hate the stupid idiot , the girl is an idiot ! the lass and the ass pass the class") for k in range(50)])
+    decoder = toxicity.Decoder(toxicity.trigram_model(toxicity.trigram_counts(docs)))
+    read = toxicity.features_of(decoder)
+    words = {"a$$": "ass", "a55": "ass", "idio7": "idiot", "whor3": "whore", "!diot": "idiot", "8itch": "bitch", "9irl": "girl", "i.d.i.o.t": "idiot", "i.d.i.o.t!": "idiot", "(i-d-i-o-t),": "idiot", "idiot!": "idiot", "a$$,": "ass"}
+    assert {w: read(w)[0] for w in words} == words
+    assert read("2019") == ("2019",) and read("stupid.")[0] == "stupid"
+    for text in ("you i d i o t, go", "i d i o t!", "(i d i o t) and", "an i d i o t"):
+        assert "idiot" in toxicity.words_of(text, decoder)
