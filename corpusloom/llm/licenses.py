@@ -1,6 +1,6 @@
 """License scans by ordered signature rules, in DataFrame expressions alone.
 
-Texts are brought to lower-case words with one blank between. A gate of a few dozen keywords decides which rules are tried on which text; each
+Texts are brought to lower-case words with one blank between; a '+' right after a GNU name or version reads as "or later". A gate of a few dozen keywords decides which rules are tried on which text; each
 rule is a regular expression over words, with a priority (0 is the strongest) and a confidence. Of overlapping
 detections, one that lies inside another of the same or a stronger priority is suppressed. Base phrases are counted on their own and always stay.
 """
@@ -21,6 +21,10 @@ BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all righ
 BASE_CONFIDENCE = 0.9
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: A '+' after the version of a GNU license is marked by this sign, which ends the version's word, before punctuation goes.
+PLUS = "\u207a"
+PLUS_AFTER = r"((?:gpl|general[^a-z0-9]{1,8}public[^a-z0-9]{1,8}licen[sc]e)[^a-z0-9]{0,8}(?:version|v)?[^a-z0-9]{0,4}[0-9](?:\.[0-9])?)\+"
+
 # Identifiers whose tag names a license outright.
 SPDX_IDS = """0BSD AFL-3.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause
 BSL-1.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0
@@ -61,7 +65,11 @@ def rules() -> list[dict]:
     out: list[tuple] = []
     for name in SPDX_IDS:
         words = re.sub(r"[^a-z0-9]+", " ", name.lower())
-        out.append((name.lower(), 0, 1.0, "spdx", f"spdx licen[sc]e identifier {words}(?: only| or later)?"))
+        tag = f"spdx licen[sc]e identifier {words}"
+        if "gpl" in words:
+            out += [(f"{name.lower()}-or-later", 0, 1.0, "spdx", f"{tag}(?:{PLUS}| or later)"), (f"{name.lower()}-only", 0, 1.0, "spdx", f"{tag} only"), (name.lower(), 0, 1.0, "spdx", tag)]
+        else:
+            out.append((name.lower(), 0, 1.0, "spdx", f"{tag}(?: only| or later)?"))
     for short, long in CC_TERMS.items():
         label = "cc-" + short.replace(" ", "-")
         for v in CC_VERSIONS:
@@ -72,7 +80,7 @@ def rules() -> list[dict]:
     for short, (name, versions) in GNU.items():
         for v in versions:
             label = f"{short}-{v.replace(' ', '.')}{'' if ' ' in v else '.0'}"
-            for tail, end in (("-or-later", "(?: or (?:\\(at your option\\) )?(?:any )?later(?: version)?|\\+)"), ("-only", " only"), ("", "")):
+            for tail, end in (("-or-later", f"(?:{PLUS}| or (?:at your option )?(?:any )?later(?: version)?)"), ("-only", " only"), ("", "")):
                 out.append((label + tail, 1, 0.95, "licen", f"(?:gnu )?{name}(?: as published by the free software foundation)?(?: either)? (?:version |v)?{v}(?: 0)?(?: of the licen[sc]e)?{end}"))
                 out.append((label + tail, 1, 0.95, "gpl", f"(?:gnu )?{short} ?(?:version |v)?{v}(?: 0)?{end}"))
         out.append((f"{short}-any", 2, 0.8, "licen", f"(?:gnu )?{name}"))
@@ -97,7 +105,9 @@ def word_count(text: Column) -> Column:
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts and base phrases, and, where a keyword of the gate occurs, the keywords and the words."""
-    words = F.trim(F.regexp_replace(F.lower(text_of(text_col)), NOT_A_WORD, " "))
+    low = F.lower(text_of(text_col))
+    marked = F.when(F.contains(low, F.lit("+")) & (F.contains(low, F.lit("gpl")) | F.contains(low, F.lit("general"))), F.regexp_replace(low, PLUS_AFTER, f"$1{PLUS}")).otherwise(low)
+    words = F.trim(F.regexp_replace(marked, NOT_A_WORD, " "))
     keywords = sorted({r["keyword"] for r in rules()})
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("n_words", word_count(F.col("words")))
     hits = F.array_compact(F.array(*[F.when(F.contains("words", F.lit(k)), F.lit(k)) for k in keywords]))

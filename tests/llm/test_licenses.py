@@ -57,3 +57,14 @@ def test_extra_columns_with_clashing_names(make_docs):
 
     docs = make_docs(ROWS[:6]).withColumns({c: F.lit("x") for c in ("words", "th", "hits", "base", "label", "_id")})
     assert base_of(docs) == brute(ROWS[:6])
+
+
+def test_or_later_in_real_headers(make_docs):
+    header = " * it under the terms of the GNU {}General Public License as\n * published by the Free Software Foundation{} either version {} of the\n * License, or (at your option) any later version."
+    texts = [header.format("", ";", "2"), header.format("", ",", "3"), header.format("Lesser ", ";", "2.1"), header.format("Library ", ";", "2"), header.format("Affero ", ",", "3")]
+    texts += ["GPL-3.0+", "under LGPL 2.1+ here", "GPLv2+", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: AGPL-3.0+", "GPL-2.0 only", "GNU GPL version 2", "GPLv3, C++"]
+    want = ["gpl-2.0-or-later", "gpl-3.0-or-later", "lgpl-2.1-or-later", "lgpl-2.0-or-later", "agpl-3.0-or-later", "gpl-3.0-or-later", "lgpl-2.1-or-later", "gpl-2.0-or-later", "gpl-2.0-or-later", "agpl-3.0-or-later", "gpl-2.0-only", "gpl-2.0", "gpl-3.0"]
+    rows = list(enumerate(texts))
+    labels = {r.doc_id: [v for v in r.labels.split(",") if v not in ("gpl", "")] for r in licenses.scan(make_docs(rows)).collect()}
+    assert [labels[k] for k in range(len(texts))] == [[w] for w in want]
+    assert base_of(make_docs(rows)) == brute(rows)
