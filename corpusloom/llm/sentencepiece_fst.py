@@ -28,8 +28,11 @@ from corpusloom.llm.common import text_of
 from corpusloom.llm.token_files import in_portions
 
 MARK = "▁"
-#: Stretches whose paths a worker remembers; more of them only start the memory anew.
-KEPT_STRETCHES = 150_000
+#: Stretches of one generation of a worker's memory of paths. A full generation becomes the older one, and what is asked for
+#: again moves on from there, so frequent stretches stay while rare ones go.
+KEPT_STRETCHES = 200_000
+#: Left neighbours whose accepted right ones a worker remembers; each has a row of them.
+KEPT_FITS = 30_000
 PORTION = 4 << 20
 
 
@@ -63,11 +66,17 @@ class _Paths(dict):
     """Ids of the shortest path by stretch, searched for when first asked for."""
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, stretch: str) -> bytes:
-        path = self.machine.shortest_path(stretch)
-        found = self[stretch] = pack(f"<{len(path)}i", *path)
+        if len(self) >= KEPT_STRETCHES:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(stretch)
+        if found is None:
+            path = self.machine.shortest_path(stretch)
+            found = pack(f"<{len(path)}i", *path)
+        self[stretch] = found
         return found
 
 
@@ -91,13 +100,17 @@ class Transducer:
         self.unknown = next(i for i in ids if model.is_unknown(i))
         self.pieces = {self.names[i]: i for i in ids if i not in special}
         self.score = [model.get_score(i) for i in ids]
-        self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: what a character without a piece costs: ten more than the worst piece, as the library weighs it
+        self.worst = 10 - min((self.score[i] for i in self.pieces.values()), default=0.0)
+        # the lexicon's states by the characters read so far: the piece that ends there, or "" inside a piece
+        self.states = {p[:k]: "" for p in self.pieces for k in range(1, len(p))} | {p: p for p in self.pieces}
         if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("a piece crosses the cuts between stretches")
-        # marks of punctuation that no piece holds after a letter
-        stops = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.pieces))
-        self.stretches = re.compile((rf"{MARK}*[^\W\d_]+(?=[{re.escape(stops)}])|" if stops else "") + f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
+        # marks of punctuation end a stretch of letters, but for those letters after which some piece holds the mark
+        stops = ".,;:!?*&%#-)"
+        joined = "".join(sorted({p[k - 1] for p in self.pieces for k in range(1, len(p)) if p[k] in stops and re.match(r"[^\W\d_]", p[k - 1])}))
+        apart = rf"(?<![{re.escape(joined)}])" if joined else ""
+        self.stretches = re.compile(rf"{MARK}*[^\W\d_]+{apart}(?=[{re.escape(stops)}])|{MARK}*[^{MARK}\n]+|\n|{MARK}+")
         self.out = [b"" if i in special else self.names[i].replace(MARK, " ").encode() for i in ids]
         for byte, i in self.byte_id.items():
             self.out[i] = bytes([byte])
@@ -159,83 +172,90 @@ class Transducer:
 
     def shortest_path(self, stretch: str) -> list[int]:
         """Ids on the cheapest path of the stretch; of equal costs the longer last piece."""
-        back, known = self._accepted(stretch) if self.merges else self._weighted(stretch)
-        ids, at = [], len(stretch)
-        while at:
-            piece = stretch[back[at] : at]
-            ids += [self.pieces[piece]] if known[at] is not None else self._bytes(piece)[::-1]
-            at = back[at]
-        return ids[::-1]
+        ids = []
+        for symbol in (self._accepted if self.merges else self._weighted)(stretch):
+            i = self.pieces.get(symbol)
+            if i is None:
+                ids += self._bytes(symbol)
+            else:
+                ids.append(i)
+        return ids
 
-    def _accepted(self, stretch: str) -> tuple[list[int], list[str | None]]:
+    def _accepted(self, stretch: str) -> list[str]:
         """Arcs of weight 0, neighbours by the acceptor: one path is finite, and each place lies on one path from the start at most.
 
         So the search goes depth first, the longest piece first, and never tries a place again that led nowhere.
         """
         n = len(stretch)
-        back, last = [-1] * (n + 1), [None] * (n + 1)
-        back[0] = 0
-        pieces, prefixes, fits = self.pieces, self.prefixes, self.fits
-        at, open_, depth, fresh = 0, [], [], True
+        state, fits = self.states.get, self.fits
+        reached = bytearray(n + 1)
+        path: list = []
+        open_: list = []
+        at, fresh = 0, True
         while at < n:
             if fresh:  # a place reached for the first time: the pieces from here, the longest last
-                arcs = []
-                for end in range(at + 1, n + 1):
-                    piece = stretch[at:end]
-                    if piece not in prefixes:
-                        break
-                    if piece in pieces:
+                arcs, end = [], at + 1
+                while end <= n:
+                    piece = state(stretch[at:end])
+                    if piece:
                         arcs.append(piece)
+                    elif piece is None:
+                        break
+                    end += 1
                 open_.append(arcs or [None])
-                depth.append(at)
-            arcs, before, fresh = open_[-1], last[at], True
+            arcs, before, fresh = open_[-1], path[-1] if path else None, True
             row = fits.get(before)
             if row is None:
                 row = fits[before] = {}
             while arcs:
                 piece = arcs.pop()
                 if piece is None:  # no piece holds this character: bytes
-                    back[at + 1], at = at, at + 1
+                    path.append(stretch[at])
+                    at += 1
                     break
                 end = at + len(piece)
-                if back[end] >= 0:
+                if reached[end]:
                     continue
                 ok = row.get(piece)
                 if ok is None:
-                    ok = row[piece] = self._spine(piece) is not None and (before is None or self._accepts(before, piece))
+                    ok = row[piece] = self._spine(piece) is not None and (before not in self.pieces or self._accepts(before, piece))
                 if ok:
-                    back[end], last[end], at = at, piece, end
+                    reached[end] = 1
+                    path.append(piece)
+                    at = end
                     break
             else:
                 open_.pop()
-                depth.pop()
-                if not depth:
+                if not path:
                     raise ValueError("the model's merges don't reach the end of a stretch")
-                at, fresh = depth[-1], False
-        return back, last
+                at, fresh = at - len(path.pop()), False
+        return path
 
-    def _weighted(self, stretch: str) -> tuple[list[int], list[str | None]]:
+    def _weighted(self, stretch: str) -> list[str]:
         """Arcs weigh minus the score of their piece; bytes cost more than any piece."""
         n = len(stretch)
-        cost, back, last = [0.0] + [math.inf] * n, [0] * (n + 1), [None] * (n + 1)
+        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         for start in range(n):
             for end in range(start + 1, n + 1):
-                piece = stretch[start:end]
-                if piece not in self.prefixes:
+                piece = self.states.get(stretch[start:end])
+                if piece is None:
                     break
                 i = self.pieces.get(piece)
                 if i is not None and cost[start] - self.score[i] < cost[end]:
-                    cost[end], back[end], last[end] = cost[start] - self.score[i], start, piece
-            if stretch[start] not in self.pieces and cost[start] + 1e6 < cost[start + 1]:
-                cost[start + 1], back[start + 1], last[start + 1] = cost[start] + 1e6, start, None
-        return back, last
+                    cost[end], back[end] = cost[start] - self.score[i], start
+            if stretch[start] not in self.pieces and cost[start] + self.worst < cost[start + 1]:
+                cost[start + 1], back[start + 1] = cost[start] + self.worst, start
+        path, at = [], n
+        while at:
+            path.append(stretch[back[at] : at])
+            at = back[at]
+        return path[::-1]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if len(self.kept) > KEPT_STRETCHES:
-            self.kept.clear()
+        if len(self.fits) > KEPT_FITS:
             self.fits.clear()
         return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.prefix + text.replace(" ", MARK))))
 
