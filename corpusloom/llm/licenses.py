@@ -56,8 +56,8 @@ mit-expat | licen | expat licen | 2 | 0.9 | expat licen[sc]e
 mit-text | permission | hereby granted | 1 | 0.95 | permission is hereby granted free of charge to any person obtaining a copy
 mit-text | permission | to deal in the software | 2 | 0.8 | permission is hereby granted(?: [^ ]+){0,24} to deal in the software without restriction
 mit-notice | permission | this permission notice | 2 | 0.7 | (?:the above copyright notice and )?this permission notice shall be included in all copies
-mit-0 | licen | mit no attribution | 1 | 0.95 | mit no attribution(?: licen[sc]e)?
-mit-or-apache | licen | or apache | 1 | 0.95 | licen[sc]ed under (?:either )?(?:the )?mit(?: licen[sc]e)? or (?:the )?apache(?: licen[sc]e)?(?: version)?(?: 2 0)?
+mit-0 | licen | mit no attribution | 1 | 0.95 | mit no attribution licen[sc]e
+mit-or-apache | licen | apache | 1 | 0.95 | licen[sc]ed under (?:either )?(?:the )?mit(?: licen[sc]e)? or (?:the )?apache(?: licen[sc]e)?(?: version)?(?: 2 0)?
 isc | licen | isc licen | 1 | 0.9 | isc licen[sc]e
 isc-text | permission | permission to use copy modify and | 1 | 0.9 | permission to use copy modify and(?: or)? distribute this software(?: and its documentation)? for any purpose
 hpnd-text | permission | and its documentation | 2 | 0.8 | permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation
@@ -68,7 +68,7 @@ bsd-2-clause | freebsd | freebsd licen | 1 | 0.9 | freebsd licen[sc]e
 bsd-3-clause | bsd | bsd | 1 | 0.95 | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)
 bsd-4-clause | bsd | bsd | 1 | 0.95 | (?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)
 bsd | bsd | bsd | 2 | 0.8 | bsd (?:style )?licen[sc]ed?
-bsd | bsd | under the bsd | 2 | 0.8 | under (?:the terms of )?(?:the |a )?bsd(?: style)? licen[sc]e
+bsd | bsd | under | 2 | 0.8 | under (?:the terms of )?(?:the |a )?bsd(?: style)? licen[sc]e
 bsd-text | redistribution | source and binary forms | 1 | 0.95 | redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?
 bsd-source-clause | redistribution | redistributions of source code | 2 | 0.8 | redistributions of source code must retain the (?:above )?copyright notice
 bsd-binary-clause | redistribution | redistributions in binary form | 2 | 0.8 | redistributions in binary form must reproduce the above copyright notice
@@ -79,13 +79,13 @@ apache-compliance | licen | except in compliance | 2 | 0.8 | you may not use thi
 apache-copy | licen | obtain a copy of the licen | 3 | 0.5 | you may obtain a copy of the licen[sc]e at
 apache-basis | licen | as is basis | 2 | 0.8 | distributed under the licen[sc]e is distributed on an as is basis
 apache-asf | licen | apache software foundation | 2 | 0.8 | licensed to the apache software foundation(?: asf)? under one or more contributor licen[sc]e agreements
-apache-2.0 | licen | asl 2 | 1 | 0.8 | (?:asl|al) 2 0 licen[sc]e
+apache-2.0 | licen | l 2 0 licen | 1 | 0.8 | (?:asl|al) 2 0 licen[sc]e
 gnu-any | gnu | public licen | 3 | 0.6 | gnu (?:affero |lesser |library )?general public licen[sc]e
 gpl-header | gnu | redistribute it and or modify it | 2 | 0.8 | (?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu (?:affero |lesser |library )?general public licen[sc]e
 gpl-no-warranty | gnu | see the gnu | 3 | 0.6 | see the gnu (?:affero |lesser |library )?general public licen[sc]e for more details
 gpl-received | licen | you should have received | 3 | 0.6 | you should have received a copy of the gnu (?:affero |lesser |library )?general public licen[sc]e
 gpl-exception | gpl | exception | 1 | 0.9 | gpl(?: v?[23](?: 0)?)? with (?:the )?(?:classpath|linking|runtime library|font|autoconf|bison)(?: [^ ]+)? exception
-classpath-exception | licen | classpath exception | 1 | 0.9 | (?:general public licen[sc]e(?: version 2)? )?with (?:the )?classpath exception
+classpath-exception | licen | classpath exception | 1 | 0.9 | general public licen[sc]e(?: version 2)? with (?:the )?classpath exception
 gfdl-any | gnu | free documentation | 2 | 0.8 | gnu free documentation licen[sc]e
 gfdl-1.3 | gnu | free documentation | 1 | 0.95 | gnu free documentation licen[sc]e version 1 3
 gfdl-1.2 | gnu | free documentation | 1 | 0.95 | gnu free documentation licen[sc]e version 1 2
@@ -126,7 +126,7 @@ imagemagick | licen | imagemagick licen | 1 | 0.9 | imagemagick licen[sc]e
 json | licen | json licen | 1 | 0.9 | json licen[sc]e
 json-text | shall be used | good not evil | 1 | 0.9 | (?:the software )?shall be used for good not evil
 blueoak-1.0.0 | licen | blue oak model | 1 | 0.95 | blue oak model licen[sc]e(?: version)?(?: 1 0 0)?
-beerware | licen | beer ware | 1 | 0.9 | (?:the )?beer ?ware licen[sc]e
+beerware | licen | beer ware | 1 | 0.9 | (?:the )?beer ware licen[sc]e
 beerware | licen | beerware | 1 | 0.9 | (?:the )?beerware licen[sc]e
 nasa-1.3 | licen | nasa open source | 1 | 0.9 | nasa open source agreement(?: [^ ]+){0,6} licen[sc]e
 ipa | licen | ipa font licen | 1 | 0.9 | ipa font licen[sc]e(?: agreement)?(?: v?1 0)?
@@ -173,7 +173,7 @@ no-reproduction | permission | no part of this | 2 | 0.8 | no part of this (?:pu
 with-permission | permission | permission of the | 4 | 0.3 | (?:reprinted|reproduced|used) (?:with|by) (?:the )?(?:kind )?permission of the (?:author|publisher|copyright holder)s?
 non-commercial | commercial use | commercial use | 3 | 0.5 | (?:for )?non commercial use only
 no-commercial-use | commercial use | commercial use | 3 | 0.5 | commercial use (?:is )?(?:strictly )?(?:prohibited|forbidden|not allowed|not permitted)
-evaluation-only | licen | evaluation licen | 2 | 0.7 | (?:trial|evaluation) licen[sc]e(?: agreement)?
+evaluation-only | licen | licen | 2 | 0.7 | (?:trial|evaluation) licen[sc]e(?: agreement)?
 eula | licen | end user licen | 2 | 0.7 | end user licen[sc]e agreement
 dual-licensed | licen | dual licen | 3 | 0.5 | dual licen[sc]ed?(?: under)?
 copyright | copyright | copyright | 3 | 0.4 | copyright(?: c)? [12][0-9]{3}(?: [12][0-9]{3})*

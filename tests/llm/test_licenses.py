@@ -68,3 +68,57 @@ def test_or_later_in_real_headers(make_docs):
     labels = {r.doc_id: [v for v in r.labels.split(",") if v not in ("gpl", "")] for r in licenses.scan(make_docs(rows)).collect()}
     assert [labels[k] for k in range(len(texts))] == [[w] for w in want]
     assert base_of(make_docs(rows)) == brute(rows)
+
+
+def samples(pattern, full):
+    """A shortest string that the pattern matches, or one with every optional part."""
+    from re import _constants as c
+    from re import _parser
+
+    def text(parts):
+        out = ""
+        for op, arg in parts:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.NOT_LITERAL:
+                out += "x"
+            elif op is c.IN:
+                out += "x" if arg[0][0] is c.NEGATE else chr(arg[0][1] if arg[0][0] is c.LITERAL else arg[0][1][0])
+            elif op is c.BRANCH:
+                out += text(arg[1][-1 if full else 0])
+            elif op is c.SUBPATTERN:
+                out += text(arg[3])
+            elif op is c.MAX_REPEAT:
+                low, high, inner = arg
+                out += text(inner) * (min(int(high), 24) if full and int(high) < 100 else low)
+            else:
+                assert op is c.ASSERT_NOT, op
+        return out
+
+    return text(_parser.parse(pattern))
+
+
+def test_every_match_holds_its_gate_and_keyword_and_lies_within_reach():
+    for r in licenses.rules():
+        for full in (False, True):
+            found = samples(r["pattern"], full)
+            assert re.fullmatch(r["pattern"], found), r
+            assert r["keyword"] in found, (r, found)
+            stems = [found[: m.start()].count(" ") for m in re.finditer(f"(?:^|(?<= )){r['gate']}", found)]
+            assert r["gate"] in licenses.GATES and stems and found.count(" ") - min(stems) < licenses.REACH and max(stems) < licenses.REACH, (r, found)
+
+
+def test_spans_are_those_of_the_whole_text(make_docs):
+    filler = "lorem ipsum " * 300
+    text = f"{filler}Licensed under the Apache License, Version 2.0. {filler}Released under the MIT License. x y z MIT License {filler}"
+    rows = licenses.scanned(make_docs([(1, text), (2, "mit license"), (3, filler)]))
+    got = {(r.doc_id, r.label, r.begin, r.stop) for r in licenses.detections(rows).collect()}
+    words = WORD.findall(text.lower())
+    at = words.index("apache") - 3
+    assert (1, "apache-header", at, at + 7) in got and (2, "mit", 0, 2) in got and not [g for g in got if g[0] == 3]
+    assert {" ".join(words[b:e]) for d, label, b, e in got if d == 1 and label.startswith("mit")} == {"released under the mit license", "mit license"}
+
+
+def test_long_texts_full_of_stems(make_docs):
+    rows = [(1, "license " * 30_000), (2, ("cc by " + "w " * 100) * 2_000)]
+    assert base_of(make_docs(rows)) == brute(rows)
