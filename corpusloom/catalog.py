@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.catalog_sql import EMOTIONS, KEYWORDS, MARKERS, PAIR, SOME, TARGET, VOWELS, WORD, oracle_sql
 from corpusloom.functions import features
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
-from corpusloom.plans.lexicon import Analysis, analysis_of_documents
+from corpusloom.plans.lexicon import Analysis, analysis_of_documents, stored_corpus
 from corpusloom.sources.corpus import Corpus, texts_from_documents
 
 __all__ = ["oracle_sql", "queries"]
@@ -27,7 +27,7 @@ def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return _analysis(spark, sf_dir).corpus
+    return stored_corpus(spark, sf_dir, REQUEST)
 
 
 def _on_corpus(build: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WORD, clean_text, token_array
+from corpusloom.functions.text import clean_text, once, token_array
 
 #: Markers of a comparison, vowels, and the sample weights of the emotional score.
 MARKERS = ("как", "словно", "подобно")
@@ -15,10 +15,11 @@ VOWELS = "аеёиоуыэюя"
 EMOTIONS = {"радость": 2, "грусть": -2, "страх": -3}
 
 
-def most_frequent(values: Column) -> Column:
-    """Highest count of one value in an array, 0 for an empty one."""
-    counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)))
-    return F.coalesce(F.array_max(counts), F.lit(0))
+def most_frequent(signs: Column) -> Column:
+    """Highest count of one character in a string, 0 for an empty one."""
+    each = F.array_distinct(F.split(signs, ""))
+    counts = F.transform(each, lambda v: F.length(signs) - F.length(F.replace(signs, v, F.lit(""))))
+    return F.when(signs == "", 0).otherwise(F.array_max(counts))
 
 
 def lexical_diversity(tokens: Column) -> Column:
@@ -46,8 +47,12 @@ def contains_marker(sentence: Column, markers=MARKERS) -> Column:
 
 def alliteration(sentence: Column) -> Column:
     """Highest count of one first letter over the words of the lower-cased sentence."""
-    words = F.regexp_extract_all(F.lower(sentence), F.lit(WORD), F.lit(0))
-    return most_frequent(F.transform(words, lambda w: F.substring(w, 1, 1)))
+    return most_frequent(first_letters(sentence))
+
+
+def first_letters(sentence: Column) -> Column:
+    """The first letters of the words of the lower-cased sentence, one after another."""
+    return F.array_join(F.regexp_extract_all(F.lower(sentence), F.lit(r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]"), F.lit(0)), "")
 
 
 def rhythm(sentence: Column, vowels: str = VOWELS) -> Column:
@@ -56,22 +61,23 @@ def rhythm(sentence: Column, vowels: str = VOWELS) -> Column:
 
 def prepare(df: DataFrame, limit: int = 500) -> DataFrame:
     """Clean the sentence, drop empty ones, cut to ``limit`` characters, in that order."""
-    cleaned = df.withColumn("sentence", clean_text(F.col("sentence"))).where("sentence <> ''")
-    return cleaned.withColumn("sentence", F.substring("sentence", 1, limit))
+    cleaned = once(df.withColumnRenamed("sentence", "_raw"), F.substring(clean_text(F.col("_raw")), 1, limit).alias("sentence"))
+    return cleaned.where("sentence <> ''").select(*df.columns)
 
 
 def sentence_features(df: DataFrame, vowels: str = VOWELS, weights: Mapping[str, int] = EMOTIONS, markers=MARKERS, limit: int = 500) -> DataFrame:
     """All features that need no annotation, added to the rows of ``df``; empty sentences go."""
-    df = prepare(df, limit).withColumn("tokens", token_array(F.col("sentence")))
-    return df.select(
+    df = once(prepare(df, limit), token_array(F.col("sentence")).alias("tokens"), first_letters(F.col("sentence")).alias("_first"))
+    rows = df.select(
         "*",
         lexical_diversity(F.col("tokens")).alias("lexical_diversity"),
         F.size("tokens").alias("sentence_length"),
         emotional_score(F.col("tokens"), weights).alias("emotional_score"),
         contains_marker(F.col("sentence"), markers).alias("contains_metaphor"),
-        alliteration(F.col("sentence")).alias("alliteration_score"),
+        most_frequent(F.col("_first")).alias("alliteration_score"),
         rhythm(F.col("sentence"), vowels).alias("rhythm_score"),
     )
+    return rows.drop("_first")
 
 
 def flatten_lists(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRIP = r"(?U)^\s+|\s+$"
@@ -46,6 +46,18 @@ def contains_word(sentence: Column, word: Column) -> Column:
     return F.when(word.rlike(r"[%_\\]"), F.call_function("ilike", sentence, pattern)).otherwise(plain)
 
 
+def contains_literal(sentence: Column, low: Column, word: str) -> Column:
+    """The same for a word that is known when the plan is made; ``low`` is the sentence in small letters."""
+    if any(c in word for c in "%_\\"):
+        return F.call_function("ilike", sentence, F.lit(f"%{word}%"))
+    return F.contains(low, F.lit(word.lower()))
+
+
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once a row: what reads them later doesn't repeat their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def text_label(title: Column, author: Column, year: Column | None = None) -> Column:
     """``title (author)`` or ``title (author, year)``."""
     inner = [author] if year is None else [F.concat_ws(", ", author, year.cast("string"))]

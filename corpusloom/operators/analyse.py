@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.functions.text import WORD, contains_word, strip, strip_punct, token_array
+from corpusloom.functions.text import WORD, contains_literal, contains_word, once, strip, strip_punct, token_array
 
+#: Words of a request.
+MOST_WORDS = 1_000
 ANNOTATION = "array<struct<i:int,text:string,lemma:string,pos:string,head:int>>"
 
 
@@ -30,9 +32,18 @@ def lemmatise(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     return words.join(forms, "word", "left").select("position", "word", F.coalesce("lemma", F.lower("word")).alias("token"))
 
 
+def request_list(words: DataFrame) -> list[Row]:
+    """The rows (position, word, token) of a request, which a user typed; more than MOST_WORDS are an error."""
+    rows = words.select("position", "word", "token").orderBy("position").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"a request has at most {MOST_WORDS} words")
+    return rows
+
+
 def request_pairs(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """All (text_id, position, word, token) of a request. ``words`` is a user's list, broadcast whatever the number of texts."""
-    return texts.select("text_id").crossJoin(F.broadcast(words))
+    """All (text_id, position, word, token) of a request: its words are a literal beside each text, so nothing is joined."""
+    each = [F.struct(F.lit(r.position).alias("position"), F.lit(r.word).alias("word"), F.lit(r.token).alias("token")) for r in request_list(words)]
+    return texts.select("text_id", F.inline(F.array(*each)))
 
 
 def new_pairs_only(pairs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -54,6 +65,16 @@ def candidate_sentences(sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.withColumn("targets", F.transform(hits, lambda a: a["token"])).drop("asked").where("size(targets) > 0")
 
 
+def candidates_of_request(sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """The same where nothing is stored yet and every text is asked for all words: the request is part of the plan, so nothing is joined."""
+    first: dict[str, Row] = {}
+    for r in request_list(words):
+        first.setdefault(r.token, r)
+    low = once(sentences, F.lower("sentence").alias("_low"))
+    hits = [F.when(contains_literal(F.col("sentence"), F.col("_low"), r.word), F.lit(r.token)) for r in first.values()]
+    return once(low, F.array_compact(F.array(*hits)).alias("targets")).where("size(targets) > 0").drop("_low")
+
+
 def rule_annotation(sentence: Column) -> Column:
     """A stand-in annotator for tests: lemma is the lower-cased token, the part of speech follows spelling, the head is the token before."""
     def pos(t: Column) -> Column:
@@ -93,7 +114,7 @@ def occurrences(annotated: DataFrame) -> DataFrame:
         return F.concat(verb, F.filter(named, lambda x: x["word"] != ""))
 
     per_target = annotated.select("text_id", "sentence_id", "tokens", F.explode("targets").alias("token"))
-    matched = per_target.withColumn("matches", F.filter("tokens", lambda t: t["lemma"] == F.col("token")))
+    matched = once(per_target, F.filter("tokens", lambda t: t["lemma"] == F.col("token")).alias("matches"))
     return matched.select("text_id", "sentence_id", "token", F.size("matches").cast("long").alias("n"), F.flatten(F.transform("matches", around)).alias("found"))
 
 

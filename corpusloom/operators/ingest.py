@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentence_array, strip, text_label
 
-#: Sentences of one text that an id has room for.
+#: Sentences of a text that have ids of the plain form.
 ID_SPAN = 100_000
 
 
@@ -27,19 +27,26 @@ def validate_year(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_sentences(texts: DataFrame) -> DataFrame:
-    """Rows (text_id, pos, sentence_id, sentence); the id is text_id * 100000 + pos. A text of more sentences than that raises."""
-    found = texts.select("text_id", F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
-    room = F.when(F.col("pos") >= ID_SPAN, F.raise_error(F.lit("a text has more sentences than its ids have room for")).cast("long"))
-    return found.select("text_id", "pos", F.coalesce(room, F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
-
+    """Rows (text_id, pos, sentence_id, sentence); the id is text_id * 100000 + pos.
 
-def list_texts(texts: DataFrame) -> DataFrame:
-    """Texts numbered from 1 by id. The numbers come from counts per range partition, so no task sees all texts."""
-    ranged = texts.select("text_id", "title").repartitionByRange("text_id").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("text_id"))
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_part").select((F.col("_i") + F.col("_before")).alias("number"), "text_id", "title")
+    From its 100,000th sentence on, a text has ids that fall between no other text's: negative ones, 2**40 a text.
+    """
+    found = texts.select("text_id", F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
+    far = -(F.col("text_id") * F.lit(1 << 40) + F.col("pos"))
+    return found.select("text_id", "pos", F.when(F.col("pos") >= ID_SPAN, far).otherwise(F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
+
+
+def list_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:
+    """Texts numbered from 1 by id, equal ids by title. A text's number is its place within its span of ids and the number of texts in spans before it: all
+    by id alone, so no step depends on how Spark deals rows out, and a task sees one span, or the running sum of spans of spans."""
+    base = texts.select("text_id", "title", F.floor(F.col("text_id") / span).alias("_s"))
+    counts = base.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_w", F.floor(F.col("_s") / span))
+    wide = counts.groupBy("_w").agg(F.sum("_n").alias("_m"))
+    before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = wide.select("_w", before("_m", "_w").alias("_start"))
+    spans = counts.withColumn("_in", before("_n", "_w", "_s")).join(starts, "_w").select("_s", (F.col("_start") + F.col("_in")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_s").orderBy("text_id", "title"))
+    return base.withColumn("_i", within).join(spans, "_s").select((F.col("_i") + F.col("_before")).alias("number"), "text_id", "title")
 
 
 def labelled(texts: DataFrame, with_year: bool = False) -> DataFrame:

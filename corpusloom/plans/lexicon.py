@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import once
 from corpusloom.operators import analyse, ingest
-from corpusloom.sources.corpus import Corpus, texts_from_documents
+from corpusloom.sources.corpus import Corpus, read_corpus, texts_from_documents, write_corpus
+from corpusloom.sources.shared import new_path
 
 
 @dataclass(frozen=True)
@@ -23,13 +25,19 @@ class Analysis:
 
 
 def run_analysis(spark: SparkSession, texts: DataFrame, request: str, stored: DataFrame | None = None) -> Analysis:
-    """All steps, lazily, with the rule annotator. Write the corpus (``write_corpus``) before several reports read it."""
-    sentences = ingest.split_sentences(texts)
+    """All steps, lazily, with the rule annotator. ``store_analysis`` writes the corpus for reports to read."""
+    return _analysed(spark, texts, ingest.split_sentences(texts), request, stored)
+
+
+def _analysed(spark: SparkSession, texts: DataFrame, sentences: DataFrame, request: str, stored: DataFrame | None = None) -> Analysis:
     words = analyse.lemmatise(analyse.parse_search_words(spark, request))
     pairs = analyse.new_pairs_only(analyse.request_pairs(texts, words), stored)
-    candidates = analyse.candidate_sentences(sentences, pairs)
-    annotated = candidates.withColumn("tokens", analyse.rule_annotation(F.col("sentence")))
-    occurrences = analyse.occurrences(annotated)
+    candidates = analyse.candidates_of_request(sentences, words) if stored is None else analyse.candidate_sentences(sentences, pairs)
+    annotated = once(candidates, analyse.rule_annotation(F.col("sentence")).alias("tokens"))
+    return _assembled(texts, sentences, pairs, candidates, analyse.occurrences(annotated))
+
+
+def _assembled(texts: DataFrame, sentences: DataFrame, pairs: DataFrame, candidates: DataFrame, occurrences: DataFrame) -> Analysis:
     collocates = analyse.collocates(occurrences)
     corpus = Corpus(
         texts=texts.select("text_id", "title", "author", "year", "genre"),
@@ -41,5 +49,30 @@ def run_analysis(spark: SparkSession, texts: DataFrame, request: str, stored: Da
     return Analysis(corpus, pairs, candidates, occurrences, collocates)
 
 
+def store_analysis(spark: SparkSession, texts: DataFrame, request: str, path: str) -> Corpus:
+    """The five tables under ``path``. Texts are split once and annotated once: sentences and occurrences are files before the tables are built from them."""
+    ingest.split_sentences(texts).write.parquet(f"{path}/_split")
+    split = spark.read.parquet(f"{path}/_split")
+    analysis = _analysed(spark, texts, split, request)
+    analysis.occurrences.write.parquet(f"{path}/_occurrences")
+    whole = _assembled(texts, split, analysis.pairs, analysis.candidates, spark.read.parquet(f"{path}/_occurrences")).corpus
+    write_corpus(whole, path)
+    return read_corpus(spark, path)
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str, request: str) -> Corpus:
+    """The corpus of generated documents as stored tables: the first query of a Spark application that asks for it writes it to the
+    shared folder, and later ones read it there. Documents that change under one path need a new application, or ``store_analysis``."""
+    key = (spark.sparkContext.applicationId, sf_dir, request)
+    if key not in _stored:
+        path = new_path(spark, "corpus")
+        store_analysis(spark, texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), request, path)
+        _stored[key] = path
+    return read_corpus(spark, _stored[key])
+
+
 def analysis_of_documents(spark: SparkSession, sf_dir: str, request: str) -> Analysis:
     return run_analysis(spark, texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), request)
