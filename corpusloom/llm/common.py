@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.sources.shared import materialise
+
 #: White space of the word definitions: tab, line feeds, carriage return and blank.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a folder of our own is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of whole texts that go to a Python worker at once.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at replicated files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows, unless the session does so itself: texts may be long, and whole partitions of them
+    would otherwise stand in memory on both sides."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def text_of(column: str = "text") -> Column:

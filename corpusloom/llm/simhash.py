@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, materialise, text_of
+from corpusloom.llm.common import bounded_batches, components, materialise, text_of
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once.
@@ -55,9 +55,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(raw) for raw in batch.column(2).to_pylist()]
+            values = [fingerprint(raw.as_py()) for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
+    bounded_batches(docs.sparkSession)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, fp long")

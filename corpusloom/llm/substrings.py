@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of, with_fields
+from corpusloom.llm.common import bounded_batches, text_of, with_fields
 
 WINDOW = 35
-#: Words of a task that are looked at together before rows are shipped.
-BLOCK_WORDS = 3_000_000
-KEPT_WORDS = 300_000
+#: Words of a task, and rows of a shuffle partition, that are looked at together before rows are shipped.
+BLOCK_WORDS, BLOCK_ROWS = 1_500_000, 200_000
+KEPT_WORDS = 200_000
 LONE, SETTLED, MARKER = 0, 1, 2
 #: A row stands for the ``cnt`` windows from word ``pos`` on; chk and seg are further hashes of it.
 ROW = "key long, chk long, seg long, id long, th int, pos int, cnt short, kind byte"
@@ -149,7 +149,7 @@ def _picked(rows: dict[str, np.ndarray], which: np.ndarray, **other) -> dict[str
 def _ship(rows: dict[str, np.ndarray], also: str | None) -> pa.RecordBatch:
     """Rows for the next level: lone ones under their key, settled ones dealt evenly, one marker for each settled key.
 
-    Rows settle if they share the key, and ``also`` where it is named, with another row of the task.
+    Rows settle if they share the key, and ``also`` where it is named, with another of these rows.
     """
     second = rows[also] if also else np.zeros(0, dtype=np.uint64)
     lone = rows["kind"] == LONE
@@ -161,44 +161,60 @@ def _ship(rows: dict[str, np.ndarray], also: str | None) -> pa.RecordBatch:
     return _batch(_joined([_picked(rows, ~rep), _picked(rows, at, key=even, kind=SETTLED), _picked(rows, at[first], kind=MARKER)]), list(_KINDS))
 
 
-def _partition(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    """All rows of one partition."""
-    parts = [b for b in batches if b.num_rows]
-    found = {}
-    for k, (name, kind) in enumerate(_KINDS.items()):
-        column = np.concatenate([np.asarray(b.column(k)) for b in parts]) if parts else np.zeros(0)
-        found[name] = column.astype(np.int64).view(np.uint64) if kind == np.uint64 else column.astype(kind)
-    return found
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of a partition sorted by key, some BLOCK_ROWS at a time; all rows of a key are together."""
+    parts, size = [], 0
+    for batch in batches:
+        part = {}
+        for k, (name, kind) in enumerate(_KINDS.items()):
+            column = np.asarray(batch.column(k))
+            part[name] = column.astype(np.int64).view(np.uint64) if kind == np.uint64 else column.astype(kind)
+        parts.append(part)
+        size += batch.num_rows
+        if size >= BLOCK_ROWS:
+            rows = _joined(parts)
+            before = np.flatnonzero(rows["key"] != rows["key"][-1])
+            if len(before):
+                yield _picked(rows, slice(0, before[-1] + 1))
+                rows = _picked(rows, slice(before[-1] + 1, None))
+            # of one key a task has a row from each task before, and a marker: those wait for the rest
+            parts, size = [rows], 0
+    yield _joined(parts)
 
 
 def _settled(rows: dict[str, np.ndarray], also: str | None) -> np.ndarray:
-    """Which rows of a partition repeat, by key and by ``also``; markers count twice and aren't named."""
+    """Which rows of whole groups repeat, by key and by ``also``; markers count twice and aren't named."""
     out, at = rows["kind"] == SETTLED, np.flatnonzero(rows["kind"] != SETTLED)
     rep = _repeated(rows["key"][at], rows[also][at] if also else None, np.where(rows["kind"][at] == MARKER, 2, 1))
     out[at[rep & (rows["kind"][at] == LONE)]] = True
     return out
 
 
-def _raw(batch: pa.RecordBatch, text_col: str) -> list[bytes]:
-    texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-    return [t or b"" for t in texts]
+def _raw(batch: pa.RecordBatch, text_col: str) -> Iterator[bytes]:
+    for text in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()):
+        yield text.as_py() or b""
 
 
-def _texts_in_blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[list[tuple]]:
-    """(id, th, text, runs or None) of each row until about BLOCK_WORDS words are together."""
-    block, size = [], 0
+def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple]:
+    """(id, th, text, runs or None) of each row."""
     for batch in batches:
         names = batch.schema.names
         ids, ths = (batch.column(names.index(n)).to_pylist() for n in ("_sub_id", "_sub_th"))
         runs = _runs(batch.column(names.index("_sub_runs"))) if "_sub_runs" in names else [None] * len(ids)
         for i, th, raw, run in zip(ids, ths, _raw(batch, text_col), runs, strict=True):
-            text = _Text(raw)
-            block.append((i, th, text, run))
-            size += text.n + 100
-            if size >= BLOCK_WORDS:
-                yield block
-                block, size = [], 0
-    yield block
+            yield i, th, _Text(raw), run
+
+
+def _shipped(found: Iterator[tuple[int, dict]], also: str | None) -> Iterator[pa.RecordBatch]:
+    """What is to be shipped of (words, rows) of one text after another, some BLOCK_WORDS at a time."""
+    held, size = [], 0
+    for words, rows in found:
+        held.append(rows)
+        size += words + 100
+        if size >= BLOCK_WORDS:
+            yield _ship(_joined(held), also)
+            held, size = [], 0
+    yield _ship(_joined(held), also)
 
 
 def _runs(lists: pa.ListArray) -> list[list[np.ndarray]]:
@@ -226,59 +242,63 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, text_col: str = "tex
     first, second = _lengths(window)
 
     def anchors(batches):
-        for block in _texts_in_blocks(batches, text_col):
-            found = []
-            for i, th, text, _ in block:
+        def found():
+            for i, th, text, _ in _texts(batches, text_col):
                 if text.n >= window:
                     at, pos, cnt = np.unique(_anchor_of(text, window), return_index=True, return_counts=True)
-                    found.append(_rows_of(i, th, key=text.sequences(first)[at], chk=text.sequences(second)[at], seg=text.stretches(pos, pos + cnt - 1 + window), pos=pos, cnt=cnt))
-            yield _ship(_joined(found), None)
+                    yield text.n, _rows_of(i, th, key=text.sequences(first)[at], chk=text.sequences(second)[at], seg=text.stretches(pos, pos + cnt - 1 + window), pos=pos, cnt=cnt)
+
+        yield from _shipped(found(), None)
 
     def double(batches):
-        rows = _partition(batches)
-        keep = _settled(rows, None)
-        rows = _picked(rows, keep, key=rows["chk"][keep], kind=LONE)
-        yield _ship(rows, "seg")
+        for rows in _groups(batches):
+            keep = _settled(rows, None)
+            yield _ship(_picked(rows, keep, key=rows["chk"][keep], kind=LONE), "seg")
 
     def extend(batches):
-        rows = _partition(batches)
-        done = _settled(rows, "seg")
-        out = [_picked(rows, done, kind=SETTLED)]
-        at = np.flatnonzero(rows["kind"] != SETTLED)
-        if len(at):
-            rest = _picked(rows, at)
-            order = np.lexsort((rest["seg"], rest["key"]))
-            rest = _picked(rest, order)
-            new_key = np.concatenate([[True], rest["key"][1:] != rest["key"][:-1]])
-            new = new_key | np.concatenate([[True], rest["seg"][1:] != rest["seg"][:-1]])
-            group = np.cumsum(new_key) - 1
-            several = (np.bincount(group, new) > 1)[group]  # stretches of one anchor differ: compare windows
-            settled = _repeated(rest["key"], rest["seg"], np.where(rest["kind"] == MARKER, 2, 1))
-            out += [_picked(rest, several & ~settled, kind=LONE), _picked(rest, several & settled & new, kind=MARKER)]
-        yield _batch(_joined(out), RUN_NAMES)
+        for rows in _groups(batches):
+            done = _settled(rows, "seg")
+            out = [_picked(rows, done, kind=SETTLED)]
+            at = np.flatnonzero(rows["kind"] != SETTLED)
+            if len(at):
+                rest = _picked(rows, at)
+                order = np.lexsort((rest["seg"], rest["key"]))
+                rest = _picked(rest, order)
+                new_key = np.concatenate([[True], rest["key"][1:] != rest["key"][:-1]])
+                new = new_key | np.concatenate([[True], rest["seg"][1:] != rest["seg"][:-1]])
+                group = np.cumsum(new_key) - 1
+                several = (np.bincount(group, new) > 1)[group]  # stretches of one anchor differ: compare windows
+                settled = _repeated(rest["key"], rest["seg"], np.where(rest["kind"] == MARKER, 2, 1))
+                out += [_picked(rest, several & ~settled, kind=LONE), _picked(rest, several & settled & new, kind=MARKER)]
+            yield _batch(_joined(out), RUN_NAMES)
 
     def whole(batches):
-        for block in _texts_in_blocks(batches, text_col):
-            found = []
-            for i, th, text, (pos, cnt, kind) in block:
+        def found():
+            for i, th, text, (pos, cnt, kind) in _texts(batches, text_col):
                 at = np.repeat(pos - np.concatenate([[0], np.cumsum(cnt)[:-1]]), cnt) + np.arange(cnt.sum())
-                found.append(_rows_of(i, th, key=text.sequences(window)[at], chk=text.sequences(window, 1)[at], pos=at, cnt=np.ones(len(at)), kind=np.repeat(kind, cnt)))
-            yield _ship(_joined(found), "chk")
+                yield text.n, _rows_of(i, th, key=text.sequences(window)[at], chk=text.sequences(window, 1)[at], pos=at, cnt=np.ones(len(at)), kind=np.repeat(kind, cnt))
+
+        yield from _shipped(found(), "chk")
 
     def compared(batches):
-        rows = _partition(batches)
-        yield _batch(_picked(rows, _settled(rows, "chk"), kind=SETTLED), RUN_NAMES)
+        for rows in _groups(batches):
+            yield _batch(_picked(rows, _settled(rows, "chk"), kind=SETTLED), RUN_NAMES)
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        """Sorted, so that a worker takes group after group and never a whole partition."""
+        return rows.repartition("key").sortWithinPartitions("key")
 
     def of_each(runs: DataFrame, *fields: str) -> DataFrame:
         return runs.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th")).agg(F.collect_list(F.struct(*fields)).alias("_sub_runs"))
 
-    level_1 = rows.mapInArrow(anchors, ROW).repartition("key")
-    level_2 = level_1.mapInArrow(double, ROW).repartition("key")
+    bounded_batches(rows.sparkSession)
+    level_1 = by_key(rows.mapInArrow(anchors, ROW))
+    level_2 = by_key(level_1.mapInArrow(double, ROW))
     stretches = level_2.mapInArrow(extend, RUN)
     open_ = of_each(stretches.where(F.col("kind") != SETTLED), "pos", "cnt", "kind")
     # all columns go along, so that this join and the last one deal the texts out once
-    windows = rows.join(open_, ["_sub_id", "_sub_th"]).select(*rows.columns, "_sub_runs").mapInArrow(whole, ROW).repartition("key")
-    found = stretches.where(F.col("kind") == SETTLED).unionByName(windows.mapInArrow(compared, RUN))
+    windows = rows.join(open_, ["_sub_id", "_sub_th"]).select(*rows.columns, "_sub_runs").mapInArrow(whole, ROW)
+    found = stretches.where(F.col("kind") == SETTLED).unionByName(by_key(windows).mapInArrow(compared, RUN))
     return of_each(found, "pos", "cnt")
 
 
@@ -317,8 +337,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated passages; rows stay, texts that lose nothing stay as they are."""
     out = without_repeats(docs, rejoin=False)
-    size = F.when(F.col("_sub_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("_sub_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+        out = out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, text_of, with_fields
+from corpusloom.llm.common import bounded_batches, materialise, text_of, with_fields
 
 #: Bounds of what is fitted: labelled rows that teach (chosen by hash of their id), and features.
 LABELLED_ROWS, FEATURES, LEAST_SUPPORT = 20_000, 4_096, 4
 THRESHOLD, HELD_OUT, FOLDS = 0.3, 2, 4
-KEPT_WORDS = 400_000
+#: Words of one generation of a worker's memory; what a full, older one holds moves on when it is asked for again.
+KEPT_WORDS = 100_000
 #: Characters whose trigrams are counted at once.
 PORTION = 2_000_000
 # Letters that digits and signs are written for.
@@ -164,12 +165,16 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
 
 class Kept(dict):
     def __init__(self, make: Callable):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        if len(self) > KEPT_WORDS:
+        if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -247,6 +252,7 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
     Null and empty texts get the score of a text without features. Rows with equal texts get equal scores. Repeated labels of
     one document count as toxic if one of them does; where no label of one class is left, each score is the share of toxic ones.
     """
+    bounded_batches(docs.sparkSession)
     model = trigram_model(trigram_counts(docs, text_col))
     weights = learn(teaching_rows(docs.withColumn("text", F.col(text_col)), labels), model)
     context = docs.sparkSession.sparkContext
