@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_of
+from corpusloom.llm.common import bounded_batches, text_of
 from corpusloom.llm.token_files import in_portions
 
 MARK = "▁"
@@ -287,6 +287,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), id_lists([own.encode(t) for t in texts])], names=["doc_id", "ids"])
                 at += len(texts)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 

@@ -115,7 +115,7 @@ def test_spans_are_those_of_the_whole_text(make_docs):
     got = {(r.doc_id, r.label, r.begin, r.stop) for r in licenses.detections(rows).collect()}
     words = WORD.findall(text.lower())
     at = words.index("apache") - 3
-    assert (1, "apache-header", at, at + 7) in got and (2, "mit", 0, 2) in got and not [g for g in got if g[0] == 3]
+    assert (1, "apache-header", at, at + 8) in got and (2, "mit", 0, 2) in got and not [g for g in got if g[0] == 3]
     assert {" ".join(words[b:e]) for d, label, b, e in got if d == 1 and label.startswith("mit")} == {"released under the mit license", "mit license"}
 
 
