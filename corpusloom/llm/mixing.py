@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, materialise, text_of
+from corpusloom.llm.common import WORD, text_of
+from corpusloom.sources.shared import materialise
 
 BITS, LEVELS = 10, 6  # six levels of 1,024 buckets resolve all 60 bits
 #: Rows of the per-source table up to which it is broadcast (under 100 bytes each).

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_batches, components, materialise, text_of
+from corpusloom.llm.common import bounded_batches, components, text_of
+from corpusloom.sources.shared import materialise
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once.

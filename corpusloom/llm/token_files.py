@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shared_dir, text_of
+from corpusloom.llm.common import bounded_batches, text_of
+from corpusloom.sources.shared import materialise, new_path
 
 FILE_COLUMNS = "doc_id long, range_id int, before long, ids array<int>"
 END_ID = 0
-#: Distinct pre-tokens whose ids a Python worker keeps; beyond, it forgets them and starts anew.
-KEPT_WORDS = 500_000
+#: Pre-tokens of one generation of a worker's memory; what a full, older one holds moves on when it is asked for again.
+KEPT_WORDS = 250_000
 #: New pre-tokens that the library gets at once.
 LINES = 20_000
 #: Characters on which Python's own classes agree with the tokenizer's pattern (ASCII, Latin letters, punctuation, Greek, Cyrillic, CJK).
@@ -34,12 +35,16 @@ BATCH_IDS = 1 << 20
 class _Kept(dict):
     """Ids by pre-token. One that is asked for and not there gets an empty place, which is filled before it is read."""
 
-    def __init__(self):
+    def __init__(self, older: dict | None = None):
         self.open: list[str] = []
+        self.older = older or {}
 
     def __missing__(self, word: str) -> bytearray:
-        place = self[word] = bytearray()
-        self.open.append(word)
+        place = self.older.get(word)
+        if place is None:
+            place = bytearray()
+            self.open.append(word)
+        self[word] = place
         return place
 
 
@@ -86,7 +91,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT_WORDS:
-            self.kept = _Kept()
+            self.kept = _Kept(dict(self.kept))
         look, parts = self.kept.__getitem__, []
         for text in texts:
             if PLAIN.fullmatch(text) is None or any(a in text for a in self.added):
@@ -145,6 +150,7 @@ def encode_sorted(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 )
                 before, at = int(starts[-1]), at + len(parts)
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(encode, FILE_COLUMNS)
 
@@ -190,14 +196,10 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts count as empty, so every row gets at least the end id; rows with equal ids stand in the order of their texts."""
-    import uuid
-
     import public_tokenizers
 
-    from corpusloom.llm.common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = f"{shared_dir(spark)}/token-orc-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-orc")
     write_token_files(encode_sorted(docs, public_tokenizers.path("byte_bpe_50k.json")), path)
     rows = materialise(digests(read_token_files(spark, path)), "token-digests")
     return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
