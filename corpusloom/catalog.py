@@ -11,7 +11,9 @@ from corpusloom.catalog_sql import EMOTIONS, KEYWORDS, MARKERS, PAIR, SOME, TARG
 from corpusloom.functions import features
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
 from corpusloom.plans.lexicon import Analysis, analysis_of_documents, stored_corpus
+from corpusloom.sources import files
 from corpusloom.sources.corpus import Corpus, texts_from_documents
+from corpusloom.sources.shared import new_path
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -95,8 +97,9 @@ def cross_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _analysis(spark, sf_dir)
-    german = a.corpus.texts.where("genre = 'de'").select("text_id")
-    return analyse.analysis_report(a.pairs, a.corpus.tokens.where("token_count > 0").join(german, "text_id", "left_semi"), a.candidates)
+    stored = _corpus(spark, sf_dir)
+    german = stored.texts.where("genre = 'de'").select("text_id")
+    return analyse.analysis_report(a.pairs, stored.tokens.where("token_count > 0").join(german, "text_id", "left_semi"), a.candidates)
 
 
 def new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +110,62 @@ def new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyse.new_pairs_only(analyse.request_pairs(texts, words), stored).select("text_id", "position", "word", "token")
 
 
+def lemmatised_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon with the languages as forms and sources as lemmas, of which the smallest counts."""
+    lexicon = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("form"), F.col("source").alias("lemma"))
+    return analyse.lemmatise(analyse.parse_search_words(spark, "EN, fr,, unknown ,de"), lexicon)
+
+
+def stored_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that have a stored annotation, here those of German texts."""
+    c, a = _corpus(spark, sf_dir), _analysis(spark, sf_dir)
+    german = c.sentences.join(c.texts.where("genre = 'de'").select("text_id"), "text_id", "left_semi")
+    annotations = german.select("sentence_id", analyse.rule_annotation(F.col("sentence")).alias("tokens"))
+    return analyse.with_annotations(a.candidates, annotations).select("sentence_id", F.size("tokens").alias("n_tokens"), F.size("targets").alias("n_targets"))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as catalogue lines, every third one with a range of years, read back."""
+    t = _texts(spark, sf_dir)
+    year = F.col("year").cast("string")
+    years = F.when(F.col("text_id") % 3 == 0, F.concat(F.lit("("), year, F.lit("-"), (F.col("year") + 5).cast("string"), F.lit(")"))).otherwise(year)
+    line = F.concat(F.col("text_id").cast("string"), F.lit(". "), F.concat_ws(" / ", "title", F.col("author"), F.when(F.col("text_id") % 2 == 0, F.col("genre")), years), F.lit("  "))
+    return files.parse_catalogue(t.where("author is not null").select(F.col("text_id").alias("n"), line.alias("value")))
+
+
+def sentence_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with authors written as CSV and read back."""
+    c, path = _corpus(spark, sf_dir), new_path(spark, "sentences-csv")
+    rows = search.sentences_with_author(c.sentences, c.cross, c.tokens, c.texts)
+    files.write_csv(rows.select(F.col("text_id").alias("TextID"), F.col("author").alias("Author"), F.col("title").alias("Title"), F.col("sentence").alias("Sentence")), path)
+    return files.read_sentences_csv(spark, path)
+
+
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all texts as CSV with JSON columns, read back and decoded."""
+    c, path = _corpus(spark, sf_dir), new_path(spark, "metrics-csv")
+    r = _report(c)
+    files.write_csv(
+        r.select(
+            F.col("text_id").alias("TextID"), F.col("title").alias("TextTitle"), F.col("author").alias("Text_Author"), F.col("year").alias("Text_year_creation"), "total_sentences", "token_sentences",
+            "token_sentence_percent", F.to_json("top_tokens").alias("top_tokens"), F.col("avg_links").alias("avg_words_per_token_sentence"),
+            F.col("avg_links_weighted").alias("avg_words_for_token_sentence"), F.to_json("top_pos_stats").alias("top_pos_stats"),
+        ),
+        path,
+    )
+    lists = F.size(F.filter(F.map_values("top_pos_stats"), lambda p: p.isNotNull()))
+    return _listed_tokens(files.read_metrics_csv(spark, path)).withColumn("n_pos_lists", lists).drop("top_pos_stats")
+
+
+def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as node and edge files: edges joined to the labels of both ends."""
+    c, path = _corpus(spark, sf_dir), new_path(spark, "graph")
+    files.write_graph(*report.token_graph(c.texts, c.tokens), path)
+    nodes, edges = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges"))
+    named = lambda end: nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    return edges.join(named("src"), "src").join(named("dst"), "dst").select("src", "dst", "src_label", "dst_label")
+
+
 def _hits(c: Corpus) -> DataFrame:
     return search.sentences_with_tokens(c.sentences, c.cross, c.tokens)
 
@@ -174,6 +233,17 @@ def remove_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.tokens.join(links, ["text_id", "token_id"], "left").select("text_id", "token", "token_count", F.coalesce("n", F.lit(0)).alias("n_cross"))
 
 
+def remove_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of the target token in German texts go by their ids; the count of one named token is lowered by their number."""
+    c = _corpus(spark, sf_dir)
+    german = c.texts.where("genre = 'de'").select("text_id")
+    gone = c.cross.join(c.tokens.where(F.col("token") == TARGET).join(german, "text_id", "left_semi").select("token_id"), "token_id", "left_semi")
+    token_id = spark.range(1).select(F.xxhash64(F.lit(PAIR[0]).cast("long"), F.lit(TARGET))).first()[0]
+    left = maintain.remove_cross(c, token_id, gone.select(F.col("cross_id").cast("string").alias("cross_id")).unionByName(spark.range(1).select(F.lit("no id").alias("cross_id"))))
+    links = left.cross.groupBy("text_id", "token_id").agg(F.count("*").alias("n"))
+    return left.tokens.join(links, ["text_id", "token_id"], "left").select("text_id", "token", "token_count", F.coalesce("n", F.lit(0)).alias("n_cross"))
+
+
 def explode_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     contexts = items.groupBy(F.col("l_orderkey").alias("word_id")).agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), ", ").alias("sentence_ids"))
@@ -191,7 +261,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_sentences": lambda s, d: ingest.split_sentences(_texts(s, d)),
         "author_style_stats": author_style_stats,
         "author_overview": lambda s, d: _rounded(features.author_overview(_features(s, d)), "lexical_diversity"),
+        "author_list": lambda s, d: features.author_list(_features(s, d)),
         "sentence_features": sentence_features,
+        "lemmatised_request": lemmatised_request,
+        "stored_annotations": stored_annotations,
+        "catalogue": catalogue,
+        "sentence_csv": sentence_csv,
+        "metrics_csv": metrics_csv,
+        "graph_files": graph_files,
+        "remove_cross": remove_cross,
         "sentence_annotation": sentence_annotation,
         "new_texts": new_texts,
         "validate_year": validate_year,

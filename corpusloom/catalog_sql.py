@@ -39,7 +39,7 @@ parts AS (
   SELECT doc_id AS text_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?…\n]+[.!?…]*'),
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
 sentences AS (
-  SELECT text_id, CAST(i - 1 AS INTEGER) AS pos, text_id * 100000 + i - 1 AS sentence_id, s[i] AS sentence
+  SELECT text_id, CAST(i - 1 AS INTEGER) AS pos, text_id * 134217728 + i - 1 AS sentence_id, s[i] AS sentence
   FROM (SELECT text_id, s, unnest(generate_series(1, len(s))) AS i FROM parts))
 """
 _CORPUS = _SENTENCES + f""",
@@ -129,6 +129,28 @@ def oracle_sql() -> dict[str, str]:
             CAST(sum(emotional_score) AS BIGINT) AS emotional_score, CAST(sum(CAST(contains_metaphor AS BIGINT)) AS BIGINT) AS metaphors,
             round(avg(alliteration_score), 6) AS alliteration_score, round(avg(rhythm_score), 6) AS rhythm_score FROM feats WHERE author IS NOT NULL GROUP BY author""",
         "author_overview": _FEATURES + "SELECT author, round(avg(lexical_diversity), 6) AS lexical_diversity, count(*) AS n_sentences FROM feats GROUP BY author",
+        "author_list": _FEATURES + "SELECT DISTINCT author FROM feats WHERE author IS NOT NULL",
+        "lemmatised_request": """SELECT CAST(p AS INTEGER) AS position, word, coalesce((SELECT min(source) FROM documents WHERE lower(lang) = word), word) AS token
+            FROM (VALUES (0, 'en'), (1, 'fr'), (3, 'unknown'), (4, 'de')) AS w(p, word)""",
+        "stored_annotations": _CORPUS + """SELECT a.sentence_id, len(a.t) AS n_tokens, (SELECT count(*) FROM kw k WHERE contains(lower(a.sentence), k.token)) AS n_targets
+            FROM ann a JOIN texts x USING (text_id) WHERE x.genre = 'de' AND EXISTS (SELECT 1 FROM kw k WHERE contains(lower(a.sentence), k.token))""",
+        "catalogue": _SENTENCES + """SELECT text_id, title, author, CASE WHEN text_id % 2 = 0 THEN genre END AS genre, year AS year_from,
+            CASE WHEN text_id % 3 = 0 THEN year + 5 ELSE year END AS year_to FROM texts WHERE author IS NOT NULL""",
+        "sentence_csv": _CORPUS + """SELECT s.text_id AS "TextID", x.author AS "Author", x.title AS "Title", s.sentence AS "Sentence"
+            FROM sentences s JOIN hits h USING (sentence_id) JOIN texts x ON x.text_id = s.text_id""",
+        "metrics_csv": _CORPUS + _COVER + _POSLIST + f"""SELECT c.text_id AS "TextID", c.title AS "TextTitle", c.author AS "Text_Author", c.year AS "Text_year_creation",
+              c.total_sentences, c.token_sentences, c.token_sentence_percent, coalesce(l.top_tokens, '') AS top_tokens, a.avg_links AS avg_words_per_token_sentence,
+              a.avg_links_weighted AS avg_words_for_token_sentence, CAST((SELECT count(*) FROM pos_l p WHERE p.text_id = c.text_id) AS INTEGER) AS n_pos_lists
+            FROM cover c LEFT JOIN ({_TOPLIST}) l ON l.text_id = c.text_id LEFT JOIN averages a ON a.text_id = c.text_id""",
+        "graph_files": _CORPUS + """, r AS (SELECT text_id, token, token_count FROM tokens WHERE token_count > 0 QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY token_count DESC, token) <= 5),
+            n AS (SELECT token, token || ' (' || arg_max(token_count, text_id) || ')' AS label FROM r GROUP BY token)
+            SELECT 'text_' || x.text_id AS src, r.token AS dst, x.title || ' (' || coalesce(x.author, '') || ')' AS src_label, n.label AS dst_label
+            FROM r JOIN texts x USING (text_id) JOIN n USING (token)""",
+        "remove_cross": _CORPUS + f""", de AS (SELECT text_id FROM texts WHERE genre = 'de'),
+            gone AS (SELECT * FROM crossed WHERE token = '{TARGET}' AND text_id IN (SELECT text_id FROM de)),
+            e AS (SELECT text_id, token, count(*) AS n FROM crossed WHERE NOT (token = '{TARGET}' AND text_id IN (SELECT text_id FROM de)) GROUP BY ALL)
+            SELECT t.text_id, t.token, CASE WHEN t.text_id = {a} AND t.token = '{TARGET}' THEN greatest(0, t.token_count - (SELECT count(*) FROM gone)) ELSE t.token_count END AS token_count,
+              coalesce(e.n, 0) AS n_cross FROM tokens t LEFT JOIN e USING (text_id, token)""",
         "sentence_features": _FEATURES + """SELECT sentence_id, author, sentence, array_to_string(t, ', ') AS tokens, round(lexical_diversity, 6) AS lexical_diversity,
             sentence_length, emotional_score, contains_metaphor, alliteration_score, rhythm_score FROM feats""",
         "sentence_annotation": _CORPUS + f""", c AS (SELECT sentence_id, list_transform(t, lambda x: lower(x)) AS l, list_transform(t, lambda x: {_pos('x')}) AS p FROM ann WHERE {_FLAG})

@@ -12,7 +12,7 @@ from corpusloom.functions.text import clean_text, once, token_array
 #: Markers of a comparison, vowels, and the sample weights of the emotional score.
 MARKERS = ("как", "словно", "подобно")
 VOWELS = "аеёиоуыэюя"
-EMOTIONS = {"радость": 2, "грусть": -2, "страх": -3}
+EMOTIONS = {"сладкий": 1, "горький": -1, "приторный": -1}
 
 
 def most_frequent(signs: Column) -> Column:
@@ -106,6 +106,11 @@ def author_stats(features: DataFrame) -> DataFrame:
     )
 
 
+def author_list(features: DataFrame) -> DataFrame:
+    """The authors that there are rows of, each once."""
+    return features.where("author is not null").select("author").distinct()
+
+
 def author_overview(features: DataFrame) -> DataFrame:
     """Mean lexical diversity and row count per author."""
     return features.groupBy("author").agg(F.avg("lexical_diversity").alias("lexical_diversity"), F.count("*").alias("n_sentences"))

@@ -96,7 +96,7 @@ def with_annotations(sentences: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def annotate(sentences: DataFrame, fn: Callable[[Iterator], Iterator]) -> DataFrame:
     """Hook for a linguistic model: ``fn`` gets pandas batches of ``sentences`` and yields them with a ``tokens`` column."""
-    schema = StructType(list(sentences.schema.fields)).add("tokens", ANNOTATION)
+    schema = StructType([*sentences.schema.fields, *StructType.fromDDL(f"tokens {ANNOTATION}").fields])
     return sentences.mapInPandas(fn, schema)
 
 

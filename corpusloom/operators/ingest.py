@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentence_array, strip, text_label
 
-#: Sentences of a text that have ids of the plain form.
-ID_SPAN = 100_000
+#: Distance of the sentence ids of two texts. An array of so many sentences wouldn't fit the 2 GB of a row, so no text runs out of ids.
+ID_SPAN = 1 << 27
 
 
 def new_texts_only(incoming: DataFrame, texts: DataFrame) -> DataFrame:
@@ -27,13 +27,9 @@ def validate_year(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_sentences(texts: DataFrame) -> DataFrame:
-    """Rows (text_id, pos, sentence_id, sentence); the id is text_id * 100000 + pos.
-
-    From its 100,000th sentence on, a text has ids that fall between no other text's: negative ones, 2**40 a text.
-    """
+    """Rows (text_id, pos, sentence_id, sentence); the id is text_id * 2**27 + pos, so ids follow the order of texts and places."""
     found = texts.select("text_id", F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
-    far = -(F.col("text_id") * F.lit(1 << 40) + F.col("pos"))
-    return found.select("text_id", "pos", F.when(F.col("pos") >= ID_SPAN, far).otherwise(F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
+    return found.select("text_id", "pos", (F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
 
 
 def list_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:

@@ -35,16 +35,25 @@ def write_corpus(corpus: Corpus, path: str, mode: str = "errorifexists") -> None
         getattr(corpus, f.name).write.mode(mode).parquet(f"{path}/{f.name}")
 
 
-def read_corpus_jdbc(spark: SparkSession, url: str, properties: dict[str, str], bounds: dict[str, tuple[str, int, int, int]]) -> Corpus:
+def write_corpus_jdbc(corpus: Corpus, url: str, properties: dict[str, str], connections: int = 8, mode: str = "errorifexists", names: dict[str, str] | None = None) -> None:
+    """The tables into a relational database, over at most ``connections`` connections at a time; ``names`` has other names of tables, such
+    as quoted ones where ``cross`` is a reserved word. What a failed task wrote before it failed isn't taken back by the database, so
+    write to empty tables and check the counts, or append under a unique key."""
+    for f in fields(Corpus):
+        getattr(corpus, f.name).write.option("numPartitions", connections).jdbc(url, (names or {}).get(f.name, f.name), mode=mode, properties=properties)
+
+
+def read_corpus_jdbc(spark: SparkSession, url: str, properties: dict[str, str], bounds: dict[str, tuple[str, int, int, int]], names: dict[str, str] | None = None) -> Corpus:
     """The tables from a relational database; ``bounds`` names per table the partition column, its lowest and highest value and the
     number of partitions. Credentials come from the caller's ``properties``. A table without bounds is read by one task."""
     out = {}
     for name in SCHEMAS:
+        table = (names or {}).get(name, name)
         if name in bounds:
             column, low, high, parts = bounds[name]
-            out[name] = spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
+            out[name] = spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
         else:
-            out[name] = spark.read.jdbc(url, name, properties=properties)
+            out[name] = spark.read.jdbc(url, table, properties=properties)
     return Corpus(**out)
 
 
