@@ -1,6 +1,6 @@
 """Tool-call linking in DataFrame expressions: results join calls by identifier, calls are ordered after what they depend on,
-arguments keep their JSON types and are checked against schemas, and each linked call becomes canonical JSON (keys sorted at every
-depth, nulls written)."""
+arguments keep their JSON types and are checked against schemas, and each call becomes canonical JSON (keys sorted at every
+depth, nulls written). Nothing vanishes: rows without identifier, conflicting repeats and results without a call say so."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ KEY = ["conv_id", "call_id"]
 NAMES = {r"BIGINT|DECIMAL\(\d+,0\)": "integer", r"DECIMAL\(\d+,\d+\)|DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
-def _once(df: DataFrame, *values: str) -> DataFrame:
-    """One row an identifier: of repeated ones the smallest; rows without an identifier go. Minima combine before the shuffle."""
-    kept = df.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min(F.struct(*values)).alias("v"))
-    return kept.select(*KEY, "v.*")
+def _told_apart(df: DataFrame, *values: str) -> DataFrame:
+    """Distinct rows with ``copies``, their number, and ``first``: whether a row stands for its identifier, which of several different ones
+    the smallest does, and null without an identifier. Counts and minima combine before they shuffle; no identifier is one task's."""
+    rows = df.groupBy(*KEY, *values).agg(F.count("*").alias("copies")).withColumn("_v", F.struct(*values))
+    least = rows.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min("_v").alias("_least"))
+    return rows.join(least, KEY, "left").withColumn("first", F.when(F.col("_least").isNotNull(), F.col("_v").eqNullSafe(F.col("_least")))).drop("_v", "_least")
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -55,29 +57,66 @@ def arguments_valid(arguments: Column, required: Column, types: Column) -> Colum
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call of calls(conv_id, call_id, parent_id, name, arguments JSON): its level, whether its arguments are valid,
-    whether a result of results(conv_id, call_id, content) links to it, and its canonical JSON.
-
-    schemas(name, required array, types map) holds one row a tool. A call of an unknown tool or with malformed arguments is invalid
-    and stays. Empty tables give no rows; a result without a call links to nothing.
+    """(conv_id, call_id, kind, status, copies, level, valid, json) of calls(conv_id, call_id, parent_id, name, arguments JSON) and
+    results(conv_id, call_id, content), whose equal rows are one with a number of ``copies``.
+
+    A call (kind ``call``) is ``linked`` or ``unanswered``; a result that links is part of its call's JSON, one without a call is a row of its
+    own (kind ``result``, ``orphan``). Of different calls or results with one identifier the smallest counts, the others are ``repeat``;
+    without identifier rows are ``unnamed``. ``level`` is null where calls depend on themselves, and for rows that don't count.
+    schemas(name, required array, types map): of several for one tool the smallest counts. A call of an unknown tool or with malformed
+    arguments (repeated keys too) is invalid; malformed text stays as ``raw``. Null content is a result like any other. Texts of any length are
+    one value of one row. Empty tables give no rows, further columns are ignored.
     """
-    calls = _once(calls, "name", "arguments", "parent_id")
-    joined = calls.join(_once(results, "content").withColumn("linked", F.lit(True)), KEY, "left").join(call_levels(calls.select(*KEY, "parent_id")), KEY)
-    full = joined.join(schemas.select("name", "required", "types"), "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    calls, results = _told_apart(calls, "name", "arguments", "parent_id"), _told_apart(results, "content")
+    answers = results.where("first").select(*KEY, "content", F.lit(True).alias("first"), F.lit(True).alias("linked"))
+    levels = call_levels(calls.where("first").select(*KEY, "parent_id")).withColumn("first", F.lit(True))
+    tools = schemas.groupBy("name").agg(F.min(F.struct("required", F.map_entries("types").alias("types"))).alias("s"))
+    tools = tools.select("name", "s.required", F.map_from_entries("s.types").alias("types"))
+    full = calls.join(answers, [*KEY, "first"], "left").join(levels, [*KEY, "first"], "left").join(tools, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
     # a variant holds the fields of its objects in the order of their names
-    body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("parent_id").alias("parent"), F.col("content").alias("result"))
-    return full.select(
-        *KEY, "level", arguments_valid(F.col("parsed"), F.col("required"), F.col("types")).alias("valid"),
-        F.coalesce("linked", F.lit(False)).alias("linked"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
-    )
+    raw = F.when(F.col("parsed").isNull(), F.col("arguments"))
+    body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("parent_id").alias("parent"), raw.alias("raw"), F.col("content").alias("result"))
+    named = F.when(F.col("first").isNull(), "unnamed").when(~F.col("first"), "repeat")
+    out = full.select(
+        *KEY, F.lit("call").alias("kind"), F.coalesce(named, F.when(F.col("linked"), "linked").otherwise("unanswered")).alias("status"), "copies", "level",
+        arguments_valid(F.col("parsed"), F.col("required"), F.col("types")).alias("valid"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
+    )
+    asked = calls.where("first").select(*KEY, "first", F.lit(True).alias("asked"))
+    lone = results.join(asked, [*KEY, "first"], "left").where("asked is null")
+    text = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return out.unionByName(lone.select(*KEY, F.lit("result").alias("kind"), F.coalesce(named, F.lit("orphan")).alias("status"), "copies", nothing("long").alias("level"), nothing("boolean").alias("valid"), text.alias("json")))
+
+
+#: Tools that turns of the generated conversations are read as calls of: (name, required, types).
+TOOLS = (
+    ("reply", ("text",), {"text": "string", "length": "integer"}),
+    ("outline", ("lines", "options"), {"lines": "array<string>", "options": "object<numbered:boolean,words:integer>"}),
+)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table names no tools: a user turn reads as a call of ``reply``, depending on the user turn two before, the turn after it as
-    the result when it is the assistant's."""
+    """Every turn of ``conversations``: system turns as messages, user turns as calls with what the assistant says next, other turns of
+    the assistant as results without a call.
+
+    The table names no tools. A user turn of several lines reads as a call of ``outline``, with the number of words as a string, which its
+    schema rejects, where the last line has a comma; any other one as a call of ``reply``. It depends on the user turn
+    two before. Turns of other roles count as messages, too.
+    """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    arguments = F.to_json(F.struct("text", F.length("text").alias("length")))
-    calls = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("call_id"), (F.col("turn") - 2).alias("parent_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    lines = F.split("text", "\n")
+    words, numbered = F.size(F.split("text", r"\s+")), F.size(lines) > 2
+    options = lambda n: F.struct(numbered.alias("numbered"), n.alias("words"))
+    reply = F.to_json(F.struct("text", F.length("text").alias("length")))
+    outline = F.when(~F.contains(F.element_at(lines, -1), F.lit(",")), F.to_json(F.struct(lines.alias("lines"), options(words).alias("options")))).otherwise(F.to_json(F.struct(lines.alias("lines"), options(words.cast("string")).alias("options"))))
+    several = F.contains("text", F.lit("\n"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", F.col("turn").alias("call_id"), (F.col("turn") - 2).alias("parent_id"), F.when(several, "outline").otherwise("reply").alias("name"), F.when(several, outline).otherwise(reply).alias("arguments")
+    )
     results = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    schemas = spark.range(1).select(F.lit("reply").alias("name"), F.array(F.lit("text")).alias("required"), F.create_map(F.lit("text"), F.lit("string"), F.lit("length"), F.lit("integer")).alias("types"))
-    return link_calls(calls, results, schemas)
+    each = [F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, r)).alias("required"), F.create_map(*[F.lit(x) for pair in t.items() for x in pair]).alias("types")) for n, r, t in TOOLS]
+    linked = link_calls(calls, results, spark.range(1).select(F.inline(F.array(*each))))
+    said = turns.where("role is null or role not in ('user', 'assistant')").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    message = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return linked.unionByName(said.select("conv_id", F.col("turn").alias("call_id"), F.lit("message").alias("kind"), F.lit("said").alias("status"), "copies", nothing("long").alias("level"), nothing("boolean").alias("valid"), message.alias("json")))

@@ -1,12 +1,19 @@
 """op1 against a per-conversation walk in plain Python."""
 
 import json
+import re
+
+from pyspark.sql import functions as F
 
 from corpusloom.llm import chat
 
 DATA = "/root/testdata/sf0.001"
 
 
+def canonical(value):
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_whole_table(spark):
     rows = spark.read.parquet(f"{DATA}/conversations.parquet").collect()
     users = {(r.conv_id, r.turn): r.text for r in rows if r.role == "user"}
@@ -16,24 +23,58 @@ def test_whole_table(spark):
         return 1 + level(c, t - 2) if (c, t - 2) in users else 0
 
     expected = {}
+    for r in rows:
+        if r.role not in ("user", "assistant"):
+            expected[r.conv_id, r.turn, "message"] = ("said", 1, None, None, canonical({"role": r.role, "content": r.text}))
     for (c, t), text in users.items():
-        body = {"arguments": {"length": str(len(text)), "text": text}, "id": t, "name": "reply", "parent": t - 2, "result": answers.get((c, t + 1))}
-        expected[c, t] = (level(c, t), True, (c, t + 1) in answers, body)
+        lines, n = text.split("\n"), len(re.split(r"\s+", text))
+        ok = len(lines) == 1 or "," not in lines[-1]
+        arguments = {"length": len(text), "text": text} if len(lines) == 1 else {"lines": lines, "options": {"numbered": len(lines) > 2, "words": n if ok else str(n)}}
+        body = {"arguments": arguments, "id": t, "name": "reply" if len(lines) == 1 else "outline", "parent": t - 2, "raw": None, "result": answers.get((c, t + 1))}
+        expected[c, t, "call"] = ("linked" if (c, t + 1) in answers else "unanswered", 1, level(c, t), ok, canonical(body))
+    for (c, t), text in answers.items():
+        if (c, t - 1) not in users:
+            expected[c, t - 1, "result"] = ("orphan", 1, None, None, canonical({"id": t - 1, "result": text}))
     found = chat.op1_chat_format(spark, DATA).collect()
-    assert {(r.conv_id, r.call_id): (r.level, r.valid, r.linked, json.loads(r.json)) for r in found} == expected
-    assert all(list(json.loads(r.json)) == sorted(json.loads(r.json)) for r in found)
+    assert {(r.conv_id, r.call_id, r.kind): (r.status, r.copies, r.level, r.valid, r.json) for r in found} == expected
+    assert {r.valid for r in found} == {True, False, None} and len(found) == len(expected)
 
 
 def test_cycles_repeats_and_bad_arguments(spark):
     calls = spark.createDataFrame(
-        [(1, 1, None, "f", '{"n": 3}'), (1, 2, 1, "f", '{"n": "x"}'), (1, 3, 2, "g", "{}"), (1, 4, 5, "f", "bad"), (1, 5, 4, "f", "{}"), (1, 6, 99, None, None), (1, 1, None, "f", '{"n": 3}'), (None, 1, None, "f", "{}")],
+        [
+            (1, 1, None, "f", '{"n": 3}'), (1, 2, 1, "f", '{"n": "x"}'), (1, 3, 2, "g", "{}"), (1, 4, 5, "f", "bad"), (1, 5, 4, "f", "{}"), (1, 6, 99, None, None),
+            (1, 1, None, "f", '{"n": 3}'), (None, 1, None, "f", "{}"), (1, 7, None, "f", '{"n": 1, "n": 2}'), (1, 7, None, "g", "{}"),
+        ],
         "conv_id long, call_id long, parent_id long, name string, arguments string",
-    )
-    results = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 77, "c")], "conv_id long, call_id long, content string")
-    schemas = spark.createDataFrame([("f", ["n"], {"n": "integer"})], "name string, required array<string>, types map<string,string>")
-    found = sorted((r.call_id, r.level, r.valid, r.linked) for r in chat.link_calls(calls, results, schemas).select("call_id", "level", "valid", "linked").fillna(-1, ["level"]).collect())
-    assert found == [(1, 0, True, True), (2, 1, False, False), (3, 2, False, False), (4, -1, False, False), (5, -1, False, False), (6, 0, False, False)]
-    assert chat.link_calls(calls.limit(0), results, schemas).count() == 0
+    ).withColumns({c: F.lit("x") for c in ("level", "status", "first", "copies", "parsed", "required")})
+    results = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 77, "c"), (1, 77, "c"), (1, None, "d"), (1, 3, None)], "conv_id long, call_id long, content string")
+    schemas = spark.createDataFrame([("f", ["n"], {"n": "integer"}), ("f", ["n", "z"], {"n": "integer"})], "name string, required array<string>, types map<string,string>")
+    found = chat.link_calls(calls, results, schemas).collect()
+    got = sorted(((r.kind, r.conv_id, r.call_id, r.status, r.copies, r.level, r.valid) for r in found), key=repr)
+    assert got == sorted(
+        [
+            ("call", 1, 1, "linked", 2, 0, True), ("call", 1, 2, "unanswered", 1, 1, False), ("call", 1, 3, "linked", 1, 2, False), ("call", 1, 4, "unanswered", 1, None, False),
+            ("call", 1, 5, "unanswered", 1, None, False), ("call", 1, 6, "unanswered", 1, 0, False), ("call", None, 1, "unnamed", 1, None, False),
+            ("call", 1, 7, "unanswered", 1, 0, False), ("call", 1, 7, "repeat", 1, None, False),
+            ("result", 1, 1, "repeat", 1, None, None), ("result", 1, 77, "orphan", 2, None, None), ("result", 1, None, "unnamed", 1, None, None),
+        ],
+        key=repr,
+    )
+    texts = {(r.kind, r.call_id, r.status): json.loads(r.json) for r in found}
+    assert texts["call", 1, "linked"]["result"] == "a" and texts["result", 1, "repeat"]["result"] == "b"
+    assert texts["call", 4, "unanswered"]["raw"] == "bad" and texts["call", 7, "unanswered"]["raw"] == '{"n": 1, "n": 2}'
+    assert chat.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
+    assert chat.link_calls(calls.limit(0), results, schemas.limit(0)).where("status = 'orphan'").count() == 3
+
+
+def test_long_texts(spark):
+    text = "x" * 2_000_000
+    calls = spark.createDataFrame([(1, 1, None, "f", json.dumps({"t": text}))], "conv_id long, call_id long, parent_id long, name string, arguments string")
+    results = spark.createDataFrame([(1, 1, text)], "conv_id long, call_id long, content string")
+    schemas = spark.createDataFrame([("f", ["t"], {"t": "string"})], "name string, required array<string>, types map<string,string>")
+    row = chat.link_calls(calls, results, schemas).first()
+    assert row.valid and json.loads(row.json)["arguments"]["t"] == text == json.loads(row.json)["result"]
 
 
 def test_arguments_keep_their_types_at_every_depth(spark):
@@ -46,7 +87,3 @@ def test_arguments_keep_their_types_at_every_depth(spark):
     for k, t in enumerate(texts):
         assert json.dumps(json.loads(found[k].json)["arguments"]) == json.dumps(json.loads(t), sort_keys=True)
     assert [k for k in found if found[k].valid] and sorted(k for k in found if found[k].valid) == [0, 4, 5, 7, 8, 9, 11]
-
-
-def test_lengths_of_the_query_are_numbers(spark):
-    assert all(json.loads(r.json)["arguments"]["length"] == len(json.loads(r.json)["arguments"]["text"]) for r in chat.op1_chat_format(spark, DATA).where("valid").collect())
