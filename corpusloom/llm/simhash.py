@@ -1,13 +1,14 @@
 """SimHash near-dedup by an index over byte positions with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most four bits share at least four of them, so
-four is the guaranteed count. Tallying single bytes would pair every 256th document; the index here posts each
-fingerprint under every set of four positions with their bytes (70 keys), and two meet if and only if their
-tally reaches the guaranteed count. What meets is verified on all 64 bits.
-
-Equal fingerprints are one class from the start. Within a posting, links are found by growing components: a
-member looks only at those that no component holds yet, so a large group of near copies costs its size, not its square,
-and yields a tree of links.
+four is the guaranteed count. Lists of single bytes would hold every 256th document, so the inverted index has lists of four positional
+bytes, under every set of four positions (70 keys): two that reach the count meet, and no others do. The shared bytes of
+each pair that meets are tallied; a pair that reaches the count is looked at in the list of its first four shared positions alone, and verified on all
+64 bits.
+
+Equal fingerprints are one class from the start. In a long list, links are found by growing components in blocks of the other bits, of
+which near copies share one: a member looks only at those that no component holds yet, so a large group of near copies costs its size,
+not its square, and yields a tree of links.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from corpusloom.sources.shared import materialise
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
-#: Postings up to this size are compared by shifts over all postings of a task together; larger ones one by one.
+#: Lists up to this size are compared by shifts over many lists together; longer ones one by one.
 SHORT = 12
+#: Rows of sorted lists that a worker takes at once, and length from which a list is cut into blocks.
+LIST_ROWS, LONG = 200_000, 256
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -86,8 +89,20 @@ def postings(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The positions of each pair's shared bytes, as bits of a number."""
+    shared = (a ^ b).view(np.uint8).reshape(-1, 8) == 0
+    return np.packbits(shared, axis=1, bitorder="little")[:, 0]
+
+
+def first_sets(distance: int = DISTANCE) -> np.ndarray:
+    """For each set of shared positions the number of the first key that it holds, or -1 below the guaranteed count."""
+    sets = [sum(1 << p for p in chosen) for chosen in combinations(range(8), 8 - distance)]
+    return np.array([next((n for n, s in enumerate(sets) if s & shared == s), -1) for shared in range(256)])
+
+
 def _grown(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Links (a, b) that span the components of one posting; every pair within the distance is connected by them."""
+    """Links (a, b) that span the components of these members; every pair within the distance is connected by them."""
     left, right, rest = [], [], members
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
@@ -103,38 +118,75 @@ def _grown(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _linked_in(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """The same for a list of any length. A long one is cut by each of distance + 1 blocks of its bits in turn: of two within the distance
+    one block is equal, so no link is lost, and only members that share a block are compared."""
+    if len(members) < LONG:
+        return _grown(members, distance)
+    left, right = [], []
+    varying = np.bitwise_or.reduce(members ^ members[0])
+    bits = [k for k in range(64) if int(varying) >> k & 1]  # what all share doesn't tell any apart
+    edges = np.linspace(0, len(bits), distance + 2).astype(int).tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        mask = np.uint64(sum(1 << k for k in bits[low:high]))
+        block = members & mask
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for part in np.split(members[order], cuts):
+            if len(part) > 1:
+                a, b = _grown(part, distance)
+                left += a
+                right += b
+    return left, right
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, fp) of whole lists of a partition sorted by key, some LIST_ROWS at a time."""
+    parts, size = [], 0
+    for batch in batches:
+        parts.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        size += batch.num_rows
+        if size >= LIST_ROWS:
+            key, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+            before = np.flatnonzero(key != key[-1])
+            cut = before[-1] + 1 if len(before) else 0
+            if cut:
+                yield key[:cut], fp[:cut].view(np.uint64)
+            parts, size = [(key[cut:], fp[cut:])], 0
+    if parts:
+        key, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        yield key, fp.view(np.uint64)
+
+
 def links(posted: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): verified links between fingerprints that connect all that lie within the distance."""
+    first = first_sets(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        key = np.concatenate([np.asarray(b.column(0)) for b in parts])
-        fp = np.concatenate([np.asarray(b.column(1)) for b in parts]).view(np.uint64)
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([begin, [len(key)]]))
-        short = np.repeat(size <= SHORT, size)
-        left, right = [], []
-        for step in range(1, min(SHORT, len(key))):
-            met = (key[step:] == key[:-step]) & short[step:]
-            if not met.any():
-                break
-            a, b = fp[:-step][met], fp[step:][met]
-            near = np.bitwise_count(a ^ b) <= distance
-            left.append(a[near])
-            right.append(b[near])
-        for at, n in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-            a, b = _grown(np.unique(fp[at : at + n]), distance)
-            left.append(np.array(a, dtype=np.uint64))
-            right.append(np.array(b, dtype=np.uint64))
-        if left and sum(map(len, left)):
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-    return posted.repartition("key").mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for key, fp in _lists(b for b in batches if b.num_rows):
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(key)]]))
+            short = np.repeat(size <= SHORT, size)
+            left, right = [], []
+            for step in range(1, min(SHORT, len(key))):
+                met = (key[step:] == key[:-step]) & short[step:]
+                if not met.any():
+                    break
+                a, b = fp[:-step][met], fp[step:][met]
+                here = first[tally(a, b)] == (key[step:][met] >> (8 * (8 - distance)))  # counted, and in no list before
+                near = here & (np.bitwise_count(a ^ b) <= distance)
+                left.append(a[near])
+                right.append(b[near])
+            for at, n in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+                a, b = _linked_in(np.unique(fp[at : at + n]), distance)
+                left.append(np.array(a, dtype=np.uint64))
+                right.append(np.array(b, dtype=np.uint64))
+            if left and sum(map(len, left)):
+                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+    lists = posted.repartition("key").sortWithinPartitions("key")
+    return lists.mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

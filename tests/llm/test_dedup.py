@@ -129,3 +129,36 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (5000, 5000), (None, 3)], "a long, b long")
     label = {r.node: r.component for r in components(edges).collect()}
     assert {label[k] for k in range(301)} == {0} and label[1001] == 1000 and label[5000] == 5000
+
+
+def test_tallies_and_first_lists():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
+    shared = simhash.tally(a, b)
+    for x, y, s in zip(a.tolist(), b.tolist(), shared.tolist()):
+        assert s == sum(1 << p for p in range(8) if x >> 8 * p & 255 == y >> 8 * p & 255)
+    first = simhash.first_sets()
+    assert first[0] == first[0b111] == -1 and first[0b1111] == 0 and first[255] == 0 and first[0b11110000] == 69
+
+
+def test_long_lists_lose_no_link():
+    rng = np.random.default_rng(2)
+    members = np.unique(np.concatenate([rng.integers(0, 1 << 32, 600, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 32, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 300, dtype=np.uint64))]))
+    assert len(members) > simhash.LONG
+
+    def classes(left, right):
+        root = {m: m for m in members.tolist()}
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for x, y in zip(left, right):
+            root[find(int(x))] = find(int(y))
+        groups = {}
+        for m in root:
+            groups.setdefault(find(m), set()).add(m)
+        return sorted(map(sorted, groups.values()))
+
+    near = np.bitwise_count(members[:, None] ^ members) <= 4
+    assert classes(*simhash._linked_in(members, 4)) == classes(members[np.nonzero(near)[0]], members[np.nonzero(near)[1]])
