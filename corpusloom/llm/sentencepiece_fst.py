@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from the model file: the normaliser (blanks to the word mark, a mark before the text), the piece
+Three machines are compiled from the model file: the normaliser (rewriting rules by longest match, white space squeezed where the model asks
+for it, blanks to the word mark, a mark before the text), the piece
 lexicon with a byte loop for characters that no piece holds, and an acceptor over neighbouring pieces. Their composition with
 an input is searched left to right for the shortest path in the tropical semiring. For a unigram model an arc costs minus
 the piece's score and every neighbour is accepted. For a BPE model pieces cost nothing and the acceptor gives infinity to
@@ -62,6 +63,62 @@ def _fields(buffer: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Rewriter:
+    """Rewriting rules of a model, as the file has them: a double-array trie over the bytes of what is rewritten, and the new strings."""
+
+    def __init__(self, table: bytes):
+        size = int.from_bytes(table[:4], "little")
+        self.units = np.frombuffer(table[4 : 4 + size], dtype="<u4").tolist()
+        self.strings = table[4 + size :]
+        self.starts: dict[str, bool] = {}
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & (1 << 9)) >> 6)
+
+    def longest(self, raw: bytes) -> tuple[int, bytes]:
+        """Length of the longest rule that ``raw`` begins with (0: none), and its new string."""
+        node, length, place = self._offset(self.units[0]), 0, 0
+        for at, byte in enumerate(raw, 1):
+            node ^= byte
+            unit = self.units[node]
+            if unit & (1 << 31 | 255) != byte:
+                break
+            node ^= self._offset(unit)
+            if unit >> 8 & 1:
+                length, place = at, self.units[node] & (1 << 31) - 1
+        return length, self.strings[place : self.strings.index(b"\0", place)] if length else b""
+
+    def _may_start(self, character: str) -> bool:
+        """Whether the bytes of a character are the beginning of any rule, or a rule is the beginning of them."""
+        node, raw = self._offset(self.units[0]), character.encode("utf-8", "surrogatepass")
+        for at, byte in enumerate(raw, 1):
+            node ^= byte
+            unit = self.units[node]
+            if unit & (1 << 31 | 255) != byte:
+                return False
+            node ^= self._offset(unit)
+            if unit >> 8 & 1 or at == len(raw):
+                return True
+        return False
+
+    def rewrite(self, text: str) -> str:
+        out, at, plain = [], 0, 0
+        while at < len(text):
+            c = text[at]
+            may = self.starts.get(c)
+            if may is None:
+                may = self.starts[c] = self._may_start(c)
+            length, new = self.longest(text[at : at + 32].encode("utf-8", "surrogatepass")) if may else (0, b"")
+            if not length:
+                at += 1
+                continue
+            out += [text[plain:at], new.decode("utf-8", "replace")]
+            at += len(text[at : at + 32].encode("utf-8", "surrogatepass")[:length].decode("utf-8", "replace"))
+            plain = at
+        return "".join([*out, text[plain:]])
+
+
 class _Paths(dict):
     """Ids of the shortest path by stretch, searched for when first asked for."""
 
@@ -89,8 +146,10 @@ class Transducer:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         spec = dict(_fields(model.serialized_model_proto()))
         trainer, normaliser = dict(_fields(spec[2])), dict(_fields(spec[3]))
-        if normaliser.get(2) or normaliser.get(4, 1):
-            raise ValueError("only identity normalisers that keep white space are compiled")
+        self.rewriter = Rewriter(normaliser[2]) if normaliser.get(2) else None
+        self.squeezes = bool(normaliser.get(4, 1))
+        if not normaliser.get(5, 1):
+            raise ValueError("models that keep blanks as they are aren't compiled")
         self.prefix = MARK if normaliser.get(3, 1) else ""
         self.merges = trainer.get(3, 1) == 2
         ids = range(model.get_piece_size())
@@ -104,7 +163,7 @@ class Transducer:
         self.worst = 10 - min((self.score[i] for i in self.pieces.values()), default=0.0)
         # the lexicon's states by the characters read so far: the piece that ends there, or "" inside a piece
         self.states = {p[:k]: "" for p in self.pieces for k in range(1, len(p))} | {p: p for p in self.pieces}
-        if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
+        if any("\n" in p[1:] + p[:-1] or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("a piece crosses the cuts between stretches")
         # marks of punctuation end a stretch of letters, but for those letters after which some piece holds the mark
         stops = ".,;:!?*&%#-)"
@@ -176,7 +235,8 @@ class Transducer:
         for symbol in (self._accepted if self.merges else self._weighted)(stretch):
             i = self.pieces.get(symbol)
             if i is None:
-                ids += self._bytes(symbol)
+                if self.byte_id or ids[-1:] != [self.unknown]:  # a run of unknown characters is one unknown piece
+                    ids += self._bytes(symbol)
             else:
                 ids.append(i)
         return ids
@@ -251,13 +311,18 @@ class Transducer:
             at = back[at]
         return path[::-1]
 
+    def normalised(self, text: str) -> str:
+        if self.rewriter:
+            text = self.rewriter.rewrite(text)
+        if self.squeezes:
+            text = re.sub(" {2,}", " ", text.strip(" "))
+        return self.prefix + text.replace(" ", MARK) if text else ""
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        if not text:
-            return b""
         if len(self.fits) > KEPT_FITS:
             self.fits.clear()
-        return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.prefix + text.replace(" ", MARK))))
+        return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.normalised(text))))
 
     def decode(self, ids: list[int]) -> str:
         out = self.out

@@ -1,7 +1,7 @@
 """Toxicity of whole texts, scored on words restored by a noisy-channel decoder.
 
 The source model is a character trigram model counted over every text of the table. Words that may be disguised (a letter and look-alike digits
-or signs at any place, letters repeated three times or more, letters set apart) become lattices of what each sign may stand for, and the
+or signs at any place, letters of two scripts, letters repeated three times or more, letters set apart) become lattices of what each sign may stand for, and the
 Viterbi path through a lattice under the trigram model is the word that is scored. The score is a logistic model on the presence of
 restored words and their beginnings, learned from labelled rows outside the held-out quarter.
 """
@@ -33,23 +33,27 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
+#: The same in Cyrillic words, and Cyrillic letters that stand for Latin ones in words of both scripts.
+CYRILLIC_LOOK_ALIKES = {"0": "о", "1": "і", "3": "з", "4": "ч", "6": "б", "8": "в", "@": "а", "$": "с"}
+TWINS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h"}
 #: Costs of the channel, in nats: a look-alike, a run written longer, a mark set between letters, a sign that is just a mark.
 SWAP, STRETCH, APART, BREAK = 0.5, 0.5, 0.2, 2.0
-_SIGNS = re.escape("".join(LOOK_ALIKES))
-DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|([^\W\d_])\1\1", re.DOTALL)
+_SIGNS = re.escape("".join({**LOOK_ALIKES, **CYRILLIC_LOOK_ALIKES}))
+DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|([^\W\d_])\1\1|[a-z].*[а-яі]|[а-яі].*[a-z]", re.DOTALL)
+CYRILLIC, LATIN = re.compile("[а-яёі]"), re.compile("[a-z]")
 SET_APART = re.compile(r"(?:^|(?<=\s)|(?<=^[^\w\s])|(?<=\s[^\w\s]))[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?=[^\w\s]*(?:\s|$))")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-CODES = 64
+CODES = 128
 
 
 def _alphabet() -> np.ndarray:
-    """Codes of the Latin-1 bytes: small letters have their own, everything else is a boundary (0)."""
-    table = np.zeros(256, dtype=np.int32)
-    letters = [c for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
-    for code, c in enumerate(letters, 1):
-        table[c] = code
-    if len(letters) >= CODES:
+    """Codes of the 16-bit units: small letters of Latin-1, Greek and Cyrillic have their own, other letters share one, and everything
+    else is a boundary (0)."""
+    letters = [c for c in (*range(256), *range(0x3B1, 0x3CA), *range(0x430, 0x450), 0x451, 0x454, 0x456, 0x457) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+    if len(letters) + 1 >= CODES:
         raise ValueError("the alphabet doesn't fit the codes")
+    table = np.array([CODES - 1 if chr(c).isalpha() else 0 for c in range(1 << 16)], dtype=np.int32)
+    table[letters] = np.arange(1, len(letters) + 1)
     return table
 
 
@@ -61,7 +65,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def tally(texts: list[str]) -> np.ndarray:
         joined = "  ".join(["", *texts, ""]).lower()
-        code = ALPHABET[np.frombuffer(joined.encode("latin-1", "replace"), dtype=np.uint8)]
+        code = ALPHABET[np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), dtype="<u2")]
         return np.bincount((code[:-2] * CODES + code[1:-1]) * CODES + code[2:], minlength=CODES**3)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,15 +85,18 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def trigram_model(counts: DataFrame) -> np.ndarray:
-    """Log-probabilities [a, b, c] of c after a, b, mixed with those of shorter histories. At most 64**3 counts reach the driver."""
-    table = np.zeros(CODES**3)
+    """Log-probabilities [a, b, c] of c after a, b, mixed with those of shorter histories. At most 128**3 counts reach the driver."""
+    table = np.zeros(CODES**3, dtype=np.float32)
     for row in counts.collect():
         table[row.code] = row.n
     three = table.reshape(CODES, CODES, CODES)
     two, one = three.sum(0), three.sum((0, 1))
     p1 = (one + 1) / (one.sum() + CODES)
     p2 = (two + 50 * p1) / (two.sum(1, keepdims=True) + 50)
-    return np.log((three + 50 * p2[None]) / (three.sum(2, keepdims=True) + 50)).astype(np.float32)
+    totals = three.sum(2, keepdims=True) + 50
+    three += (50 * p2)[None]
+    three /= totals
+    return np.log(three, out=three)
 
 
 class Decoder:
@@ -101,14 +108,19 @@ class Decoder:
     @staticmethod
     def lattice(word: str) -> list[list[tuple[float, str]]]:
         """What each run of one sign may stand for, with its cost; a blank stands for a boundary."""
-        arcs, apart = [], bool(SET_APART.fullmatch(word))
+        arcs, apart, cyrillic = [], bool(SET_APART.fullmatch(word)), bool(CYRILLIC.search(word))
+        mixed, look_alikes = cyrillic and bool(LATIN.search(word)), dict(LOOK_ALIKES)
+        if cyrillic:
+            for sign, letter in CYRILLIC_LOOK_ALIKES.items():
+                look_alikes[sign] = look_alikes.get(sign, "") * mixed + letter
         for run in re.finditer(r"(.)\1*", word, re.DOTALL):
             sign, n = run[1], len(run[0])
             if sign.isalpha():
-                arcs.append([(0.0, sign * n)] if n < 3 else [(STRETCH, sign), (STRETCH, sign * 2)])
-            elif sign in LOOK_ALIKES:
+                signs = [(0.0, sign)] + ([(SWAP, TWINS[sign])] if mixed and sign in TWINS else [])
+                arcs.append([(cost, c * n) for cost, c in signs] if n < 3 else [(cost + STRETCH, c * m) for cost, c in signs for m in (1, 2)])
+            elif sign in look_alikes:
                 # as for letters, one or two stand for as many and only longer runs are stretched
-                letters = [(SWAP, c * n) if n < 3 else (SWAP + STRETCH, c * m) for c in LOOK_ALIKES[sign] for m in range(1, 2 + (n > 2))]
+                letters = [(SWAP, c * n) if n < 3 else (SWAP + STRETCH, c * m) for c in look_alikes[sign] for m in range(1, 2 + (n > 2))]
                 arcs.append(letters + [(BREAK, " ")])
             else:
                 arcs.append([(APART if n == 1 else 2 * APART, ""), (BREAK, " ")] if apart or sign in ".-_* " else [(0.0, " ")])
@@ -116,7 +128,7 @@ class Decoder:
 
     def restore(self, word: str) -> str:
         """The likeliest reading of a disguised stretch; of equal readings the first in the lattice's order."""
-        code = lambda c: int(ALPHABET[ord(c)]) if ord(c) < 256 else 0
+        code = lambda c: int(ALPHABET[ord(c)]) if ord(c) < 1 << 16 else 0
         best = {(0, 0): (0.0, None)}
         for arcs in [*self.lattice(word), [(0.0, " ")]]:
             following: dict = {}

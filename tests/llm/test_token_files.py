@@ -42,3 +42,44 @@ def test_read_by_predicate(spark, make_docs, mixed_rows, tmp_path):
 def test_empty_table(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert token_files.op3_token_orc(spark, str(tmp_path)).count() == 0
+
+
+def orc_reader(spark, path):
+    jvm = spark._jvm
+    return jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+
+
+def rows_scanned(df):
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().get("numOutputRows").get().value()
+
+
+def test_stripes_indexes_filters_and_pruning(spark, make_docs, tmp_path):
+    rows = [(2 * k, f"document {k} " + " ".join(str(k * n % 9973) for n in range(40))) for k in range(20_000)]
+    at = tmp_path / "ids"
+    encoded = token_files.encode_sorted(make_docs(rows), public_tokenizers.path("byte_bpe_50k.json")).coalesce(1)
+    token_files.write_token_files(encoded, str(at), stripe_bytes=512 << 10)
+    (file,) = at.glob("*.orc")
+    reader = orc_reader(spark, file)
+    stripes = list(reader.getStripes())
+    assert len(stripes) > 1 and sum(s.getNumberOfRows() for s in stripes) == len(rows) and reader.getRowIndexStride() == 1000
+    names = list(reader.getSchema().getFieldNames())
+    for stripe in stripes:
+        footer = reader.rows().readStripeFooter(stripe)
+        kinds = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+        assert ("BLOOM_FILTER_UTF8", 1 + names.index("doc_id")) in kinds and not [k for k in kinds if k[0] == "BLOOM_FILTER_UTF8" and k[1] != 1 + names.index("doc_id")]
+        assert {("ROW_INDEX", c) for c in range(len(names) + 1)} <= kinds
+        encodings = [footer.getColumns(c).getKind().toString() for c in range(footer.getColumnsCount())]
+        assert encodings[1 + names.index("doc_id")] == encodings[-1] == "DIRECT_V2"  # integer run lengths, version 2
+    one = token_files.read_token_files(spark, str(at), F.col("doc_id") == 2 * 7_777)
+    assert one.count() == 1 and rows_scanned(one) <= 1_000  # one row group
+    assert rows_scanned(token_files.read_token_files(spark, str(at), F.col("doc_id") == 2 * 7_777 + 1)) == 0  # within the bounds, not in the filter
+    assert rows_scanned(token_files.read_token_files(spark, str(at), F.col("doc_id") > 10**6)) == 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600k")
+    try:
+        parts = token_files.read_token_files(spark, str(at))
+        sizes = [n for n in parts.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+        assert len(sizes) > 1 and sum(sizes) == len(rows)  # stripes are read by several tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

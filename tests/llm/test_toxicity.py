@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +60,26 @@ def test_disguises_at_any_place_reach_the_decoder(make_docs):
     assert read("2019") == ("2019",) and read("stupid.")[0] == "stupid"
     for text in ("you i d i o t, go", "i d i o t!", "(i d i o t) and", "an i d i o t"):
         assert "idiot" in toxicity.words_of(text, decoder)
+
+
+def test_viterbi_finds_the_best_of_all_readings(make_docs):
+    docs = make_docs([(k, "an ass and a whore hate the stupid idiot , the lass is a bass ! дурак и дубина всё знает") for k in range(20)])
+    model = toxicity.trigram_model(toxicity.trigram_counts(docs))
+    decoder = toxicity.Decoder(model)
+    code = lambda c: int(toxicity.ALPHABET[ord(c)])
+
+    def cost(letters):
+        total, x, y = 0.0, 0, 0
+        for c in letters:
+            total += float(model[x, y, code(c)])
+            x, y = y, code(c)
+        return total
+
+    for word in ("a55", "h4t3", "1d10t", "s.t.u.p.1.d", "iiidiot", "wh0r3!", "$tup|d", "дур@к", "ду6ин@", "idi\u043et", "l\u0430ss", "a$$$"):
+        readings = {}
+        for path in itertools.product(*decoder.lattice(word)):
+            letters = "".join(p[1] for p in path)
+            readings[letters] = max(readings.get(letters, -math.inf), cost(letters + " ") - sum(p[0] for p in path))
+        best = max(readings.values())
+        assert decoder.restore(word) in {r.strip() for r, v in readings.items() if abs(v - best) < 1e-3}, word
+    assert [decoder.restore(w) for w in ("дур@к", "ду6ин@", "idi\u043et", "l\u0430ss")] == ["дурак", "дубина", "idiot", "lass"]
