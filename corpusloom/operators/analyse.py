@@ -27,19 +27,24 @@ def lemmatise(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Adds ``token``, the lemma from lexicon(form, lemma), or the lower-cased word where it has none."""
     if lexicon is None:
         return words.withColumn("token", F.lower("word"))
-    # The request is a user's list, so it is the side that travels.
-    forms = lexicon.select(F.lower("form").alias("word"), "lemma").join(F.broadcast(words.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.min("lemma").alias("lemma"))
+    # The request is a user's list, so it becomes a filter of the lexicon.
+    asked = [r.word for r in _bounded(words.select("word").distinct())]
+    forms = lexicon.select(F.lower("form").alias("word"), "lemma").where(F.col("word").isin(asked)).groupBy("word").agg(F.min("lemma").alias("lemma"))
     return words.join(forms, "word", "left").select("position", "word", F.coalesce("lemma", F.lower("word")).alias("token"))
 
 
-def request_list(words: DataFrame) -> list[Row]:
-    """The rows (position, word, token) of a request, which a user typed; more than MOST_WORDS are an error."""
-    rows = words.select("position", "word", "token").orderBy("position").limit(MOST_WORDS + 1).collect()
+def _bounded(words: DataFrame) -> list[Row]:
+    """The rows of a request, which a user typed; more than MOST_WORDS are an error."""
+    rows = words.limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
         raise ValueError(f"a request has at most {MOST_WORDS} words")
     return rows
 
 
+def request_list(words: DataFrame) -> list[Row]:
+    return _bounded(words.select("position", "word", "token").orderBy("position"))
+
+
 def request_pairs(texts: DataFrame, words: DataFrame) -> DataFrame:
     """All (text_id, position, word, token) of a request: its words are a literal beside each text, so nothing is joined."""
     each = [F.struct(F.lit(r.position).alias("position"), F.lit(r.word).alias("word"), F.lit(r.token).alias("token")) for r in request_list(words)]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import contains_word
+from corpusloom.functions.text import contains_literal, once
 
 #: Fixed value: what a concordance shows where the sentence is missing.
 MISSING = "Текст не найден"
@@ -81,8 +81,8 @@ def keyword_sentences(sentences: DataFrame, cross: DataFrame, texts: DataFrame,
         raise ValueError("no keywords")
     hit = F.lit(False)
     for k in keywords:
-        hit = hit | contains_word(F.col("sentence"), F.lit(k))
-    found = sentences.where(hit).select("sentence_id", "sentence")
+        hit = hit | contains_literal(F.col("sentence"), F.col("_low"), k)
+    found = once(sentences.select("sentence_id", "sentence"), F.lower("sentence").alias("_low")).where(hit).select("sentence_id", "sentence")
     links = cross.select("sentence_id", "text_id")
     return found.join(links, "sentence_id").join(texts.select("text_id", "author", "genre"), "text_id").select("sentence", "author", "genre")
 

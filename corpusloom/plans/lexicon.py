@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +64,19 @@ def store_analysis(spark: SparkSession, texts: DataFrame, request: str, path: st
 _stored: dict[tuple[str, str, str], str] = {}
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    """Whether the last table that ``store_analysis`` writes is still there; somebody may have cleared the shared folder."""
+    try:
+        return bool(spark.read.parquet(f"{path}/cross").columns)
+    except AnalysisException:
+        return False
+
+
 def stored_corpus(spark: SparkSession, sf_dir: str, request: str) -> Corpus:
     """The corpus of generated documents as stored tables: the first query of a Spark application that asks for it writes it to the
     shared folder, and later ones read it there. Documents that change under one path need a new application, or ``store_analysis``."""
     key = (spark.sparkContext.applicationId, sf_dir, request)
-    if key not in _stored:
+    if key not in _stored or not _is_there(spark, _stored[key]):
         path = new_path(spark, "corpus")
         store_analysis(spark, texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), request, path)
         _stored[key] = path

@@ -82,6 +82,20 @@ def test_a_stored_analysis_equals_the_lazy_one(spark, small, tmp_path):
     assert sorted((r.text_id, r.token, r.token_count) for r in stored.tokens.where("token_count > 0").collect()) == [(1, "smoke", 3), (2, "smell", 1), (2, "smoke", 1)]
 
 
+def test_a_corpus_is_stored_once_and_again_when_it_is_gone(spark):
+    import shutil
+
+    from corpusloom.plans import lexicon
+
+    data = "/root/testdata/sf0.001"
+    first = lexicon.stored_corpus(spark, data, "the, and")
+    key = (spark.sparkContext.applicationId, data, "the, and")
+    path, n = lexicon._stored[key], first.cross.count()
+    assert n and lexicon.stored_corpus(spark, data, "the, and").cross.count() == n and lexicon._stored[key] == path
+    shutil.rmtree(path.removeprefix("file://").removeprefix("file:"))
+    assert lexicon.stored_corpus(spark, data, "the, and").cross.count() == n and lexicon._stored[key] != path
+
+
 def test_corpus_through_a_database(spark, small, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     names = {"cross": '"cross"'}
