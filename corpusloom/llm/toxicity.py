@@ -25,7 +25,7 @@ from corpusloom.sources.shared import materialise
 LABELLED_ROWS, FEATURES, LEAST_SUPPORT = 20_000, 4_096, 4
 THRESHOLD, HELD_OUT, FOLDS = 0.3, 2, 4
 #: Words of one generation of a worker's memory; what a full, older one holds moves on when it is asked for again.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 150_000
 #: Characters whose trigrams are counted at once.
 PORTION = 2_000_000
 # Letters that digits and signs are written for.
@@ -42,6 +42,10 @@ _SIGNS = re.escape("".join({**LOOK_ALIKES, **CYRILLIC_LOOK_ALIKES}))
 DISGUISED = re.compile(rf"[^\W\d_].*[{_SIGNS}]|[{_SIGNS}].*[^\W\d_]|([^\W\d_])\1\1|[a-z].*[а-яі]|[а-яі].*[a-z]", re.DOTALL)
 CYRILLIC, LATIN = re.compile("[а-яёі]"), re.compile("[a-z]")
 SET_APART = re.compile(r"(?:^|(?<=\s)|(?<=^[^\w\s])|(?<=\s[^\w\s]))[^\W\d_](?:[ .\-_*][^\W\d_]){2,}(?=[^\w\s]*(?:\s|$))")
+#: What every stretch of letters set apart holds; cheaper to look for.
+LETTER_APART = re.compile(r"[ .\-_*][^\W\d_][ .\-_*][^\W\d_](?![^\W\d_])")
+#: Letters, with signs after them that stand for none; and what makes such a word a disguise nevertheless.
+LETTERS, DOUBTFUL = re.compile(r"([^\W\d_]+)[.,;:?)\"'*&%-]*"), re.compile(r"([^\W\d_])\1\1|[а-яі]")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 CODES = 128
 
@@ -153,6 +157,10 @@ def features_of(decoder: Decoder) -> Callable[[str], tuple[str, ...]]:
     """From a lower-cased word (no white space) to its features: the restored words and their first four and five letters."""
 
     def features(word: str) -> tuple[str, ...]:
+        plain = LETTERS.fullmatch(word)
+        if plain and not DOUBTFUL.search(word):
+            w = plain[1]
+            return (w, f"{w[:4]}~", f"{w[:5]}~")[: 1 + (len(w) > 4) + (len(w) > 5)]
         found = []
         inner = EDGES.sub("", word)
         restored = decoder.restore(inner) if SET_APART.fullmatch(inner) else decoder.restore(word) if DISGUISED.search(word) else word
@@ -170,7 +178,7 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
     """Distinct lower-cased words; letters set apart over several words are read as one stretch."""
     low = text.lower()
     words = set(low.split())
-    for m in SET_APART.finditer(low):
+    for m in SET_APART.finditer(low) if LETTER_APART.search(low) else ():
         if " " in m[0] and len(set(m[0]) - set(" .-_*")) > 2:
             words.update(decoder.restore(m[0]).split())
     return words
