@@ -17,10 +17,12 @@ NAMES = {r"BIGINT|DECIMAL\(\d+,0\)": "integer", r"DECIMAL\(\d+,\d+\)|DOUBLE": "n
 
 def _told_apart(df: DataFrame, *values: str) -> DataFrame:
     """Distinct rows with ``copies``, their number, and ``first``: whether a row stands for its identifier, which of several different ones
-    the smallest does, and null without an identifier. Counts and minima combine before they shuffle; no identifier is one task's."""
-    rows = df.groupBy(*KEY, *values).agg(F.count("*").alias("copies")).withColumn("_v", F.struct(*values))
-    least = rows.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min("_v").alias("_least"))
-    return rows.join(least, KEY, "left").withColumn("first", F.when(F.col("_least").isNotNull(), F.col("_v").eqNullSafe(F.col("_least")))).drop("_v", "_least")
+    the one of the smallest SHA-256 does, and null without an identifier. Counts and minima combine before they shuffle, and minima are those of
+    digests, so texts travel twice; no identifier is one task's."""
+    digest = F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
+    rows = df.groupBy(*KEY, *values).agg(F.count("*").alias("copies")).withColumn("_v", digest)
+    least = df.select(*KEY, digest.alias("_v")).where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min("_v").alias("_least"))
+    return rows.join(least, KEY, "left").withColumn("first", F.when(F.col("_least").isNotNull(), F.col("_v") == F.col("_least"))).drop("_v", "_least")
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -61,18 +63,19 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     results(conv_id, call_id, content), whose equal rows are one with a number of ``copies``.
 
     A call (kind ``call``) is ``linked`` or ``unanswered``; a result that links is part of its call's JSON, one without a call is a row of its
-    own (kind ``result``, ``orphan``). Of different calls or results with one identifier the smallest counts, the others are ``repeat``;
+    own (kind ``result``, ``orphan``). Of different calls or results with one identifier the one of the smallest digest counts, the others are ``repeat``;
     without identifier rows are ``unnamed``. ``level`` is null where calls depend on themselves, and for rows that don't count.
     schemas(name, required array, types map): of several for one tool the smallest counts. A call of an unknown tool or with malformed
     arguments (repeated keys too) is invalid; malformed text stays as ``raw``. Null content is a result like any other. Texts of any length are
     one value of one row. Empty tables give no rows, further columns are ignored.
     """
     calls, results = _told_apart(calls, "name", "arguments", "parent_id"), _told_apart(results, "content")
-    answers = results.where("first").select(*KEY, "content", F.lit(True).alias("first"), F.lit(True).alias("linked"))
-    levels = call_levels(calls.where("first").select(*KEY, "parent_id")).withColumn("first", F.lit(True))
+    answers = results.where("first").select(*KEY, "content", F.lit(True).alias("linked"))
+    levels = call_levels(calls.where("first").select(*KEY, "parent_id"))
     tools = schemas.groupBy("name").agg(F.min(F.struct("required", F.map_entries("types").alias("types"))).alias("s"))
     tools = tools.select("name", "s.required", F.map_from_entries("s.types").alias("types"))
-    full = calls.join(answers, [*KEY, "first"], "left").join(levels, [*KEY, "first"], "left").join(tools, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    full = calls.join(answers, KEY, "left").join(levels, KEY, "left").join(tools, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    full = full.withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("content", "linked", "level")})
     # a variant holds the fields of its objects in the order of their names
     raw = F.when(F.col("parsed").isNull(), F.col("arguments"))
     body = F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("parent_id").alias("parent"), raw.alias("raw"), F.col("content").alias("result"))
@@ -81,8 +84,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
         *KEY, F.lit("call").alias("kind"), F.coalesce(named, F.when(F.col("linked"), "linked").otherwise("unanswered")).alias("status"), "copies", "level",
         arguments_valid(F.col("parsed"), F.col("required"), F.col("types")).alias("valid"), F.to_json(body, {"ignoreNullFields": "false"}).alias("json"),
     )
-    asked = calls.where("first").select(*KEY, "first", F.lit(True).alias("asked"))
-    lone = results.join(asked, [*KEY, "first"], "left").where("asked is null")
+    asked = calls.where("first").select(*KEY, F.lit(True).alias("asked"))
+    lone = results.join(asked, KEY, "left").where("asked is null or first is null or not first")
     text = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
     nothing = lambda kind: F.lit(None).cast(kind)
     return out.unionByName(lone.select(*KEY, F.lit("result").alias("kind"), F.coalesce(named, F.lit("orphan")).alias("status"), "copies", nothing("long").alias("level"), nothing("boolean").alias("valid"), text.alias("json")))

@@ -62,8 +62,8 @@ def test_cycles_repeats_and_bad_arguments(spark):
         key=repr,
     )
     texts = {(r.kind, r.call_id, r.status): json.loads(r.json) for r in found}
-    assert texts["call", 1, "linked"]["result"] == "a" and texts["result", 1, "repeat"]["result"] == "b"
-    assert texts["call", 4, "unanswered"]["raw"] == "bad" and texts["call", 7, "unanswered"]["raw"] == '{"n": 1, "n": 2}'
+    assert {texts["call", 1, "linked"]["result"], texts["result", 1, "repeat"]["result"]} == {"a", "b"}
+    assert texts["call", 4, "unanswered"]["raw"] == "bad" and {texts["call", 7, s]["raw"] for s in ("unanswered", "repeat")} == {'{"n": 1, "n": 2}', None}
     assert chat.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
     assert chat.link_calls(calls.limit(0), results, schemas.limit(0)).where("status = 'orphan'").count() == 3
 
