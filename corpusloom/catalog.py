@@ -12,7 +12,7 @@ from corpusloom.functions import features
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
 from corpusloom.plans.lexicon import Analysis, analysis_of_documents, stored_corpus
 from corpusloom.sources import files
-from corpusloom.sources.corpus import Corpus, texts_from_documents
+from corpusloom.sources.corpus import Corpus, spread, texts_from_documents
 from corpusloom.sources.shared import new_path
 
 __all__ = ["oracle_sql", "queries"]
@@ -37,8 +37,7 @@ def _on_corpus(build: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession,
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir)
-    rows = ingest.split_sentences(texts).join(texts.select("text_id", "author"), "text_id")
+    rows = ingest.split_sentences(spread(_texts(spark, sf_dir)), "author")
     return features.sentence_features(search.flag_keywords(rows, KEYWORDS), VOWELS, EMOTIONS, MARKERS)
 
 

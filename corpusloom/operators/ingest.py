@@ -26,10 +26,11 @@ def validate_year(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(whole.isNotNull()).select(*trimmed), checked.where(whole.isNull()).select(*df.columns)
 
 
-def split_sentences(texts: DataFrame) -> DataFrame:
-    """Rows (text_id, pos, sentence_id, sentence); the id is text_id * 2**27 + pos, so ids follow the order of texts and places."""
-    found = texts.select("text_id", F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
-    return found.select("text_id", "pos", (F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
+def split_sentences(texts: DataFrame, *keep: str) -> DataFrame:
+    """Rows (text_id, pos, sentence_id, sentence) with the columns of the text to keep; the id is text_id * 2**27 + pos, so ids follow the
+    order of texts and places."""
+    found = texts.select("text_id", *keep, F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
+    return found.select("text_id", *keep, "pos", (F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
 
 
 def list_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import once
 from corpusloom.operators import analyse, ingest
-from corpusloom.sources.corpus import Corpus, read_corpus, texts_from_documents, write_corpus
+from corpusloom.sources.corpus import Corpus, read_corpus, spread, texts_from_documents, write_corpus
 from corpusloom.sources.shared import new_path
 
 
@@ -52,7 +52,7 @@ def _assembled(texts: DataFrame, sentences: DataFrame, pairs: DataFrame, candida
 
 def store_analysis(spark: SparkSession, texts: DataFrame, request: str, path: str) -> Corpus:
     """The five tables under ``path``. Texts are split once and annotated once: sentences and occurrences are files before the tables are built from them."""
-    ingest.split_sentences(texts).write.parquet(f"{path}/_split")
+    ingest.split_sentences(spread(texts)).write.parquet(f"{path}/_split")
     split = spark.read.parquet(f"{path}/_split")
     analysis = _analysed(spark, texts, split, request)
     analysis.occurrences.write.parquet(f"{path}/_occurrences")

@@ -57,6 +57,12 @@ def read_corpus_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
     return Corpus(**out)
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt out by id where their files make fewer parts than the cluster has cores; a table of many files stays as it is, unshuffled."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores, "text_id") if texts.rdd.getNumPartitions() < cores else texts
+
+
 def texts_from_documents(documents: DataFrame) -> DataFrame:
     """Generated ``documents`` as texts with their raw text; year is made up from the id."""
     return documents.select(
