@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, chat, licenses, mixing, sentencepiece_fst, simhash, substrings, token_files, toxicity, vector_dups
+from corpusloom.llm import ann, chat, licenses, mixing, phrases, quality, sentencepiece_fst, simhash, substrings, token_files, toxicity, vector_dups, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_ann": ann.op9_ann,
         "op10_vector_dups": vector_dups.op10_vector_dups,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_quality": quality.op12_quality,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op7_mixing": mixing.OP7_SQL, "op11_phrases": phrases.OP11_SQL}
