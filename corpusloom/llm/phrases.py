@@ -1,9 +1,10 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Numpy prefix polynomials over word hashes give every n-gram of a block of texts a fingerprint and a check value in a few vector
-operations. A block ships each fingerprint once, with its count and a pointer (hash of the row, place in its text); the shuffle adds the
-counts up. A phrase can only be frequent if both phrases one word shorter inside it are, so from three words on a fixed-size bitmap of the
-frequent fingerprints of the level below decides what is shipped at all.
+operations. A first pass ships packed halves of the fingerprints of words and pairs, no more copies of each per block than make it frequent, and counts
+them by bucket; what is frequent there becomes a bitmap of fixed size. The second pass ships each fingerprint once per block, with its count and a
+pointer (hash of the row, place in its text), if it is in the bitmap, longer ones if all their pairs are: no other phrase can be frequent. The shuffle adds
+the counts up.
 
 Phrases exist as text only once their fingerprint is frequent: the pointer leads to the words, whose fingerprint must come out again. Where
 one fingerprint has met two check values, or a pointer leads to other words, occurrences are counted anew by their words; so no collision
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,11 @@ from corpusloom.sources.shared import materialise
 LONGEST, LEAST_COUNT, SHARE, BEST = 3, 10, 50, 2_000
 UNKNOWN = "und"
 #: Words that a task looks at together before it ships rows, and words whose hashes a worker keeps.
-BLOCK_WORDS, KEPT_WORDS = 1_000_000, 200_000
+BLOCK_WORDS, KEPT_WORDS = 2_500_000, 200_000
 #: Bits of the bitmap of frequent fingerprints. More of them than bits make it let more pass, never less.
 BITMAP = 1 << 27
+#: Buckets of the first pass for each shuffle partition; one is counted at a time.
+BUCKETS = 4
 #: Parts in which a language's phrases are ranked before the last ranking.
 SALT = 64
 BREAK, BREAKS = b"\xff", re.compile(rb"[.,;:!?\x0A-\x0D]+")
@@ -81,32 +83,37 @@ def pieces_and_words(text: str | None) -> list[bytes]:
     return BREAKS.sub(b" " + BREAK + b" ", (text or "").encode().lower()).split()
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 class Block:
-    """The words of some texts in one array, with a break after each text."""
+    """The words of some texts, as hashes, in one array, with a break after each text."""
 
-    def __init__(self, texts: list[tuple[int, str, list[bytes]]], bits: tuple[int, int] = (64, 64)):
+    def __init__(self, texts: list[tuple[int, str, np.ndarray]], bits: tuple[int, int] = (64, 64)):
+        gap = np.zeros(1, dtype=np.uint64)
         sizes = np.array([len(words) + 1 for _, _, words in texts], dtype=np.int64)
-        self.words = np.zeros(int(sizes.sum()), dtype=np.uint64)
+        self.words = np.concatenate([x for _, _, words in texts for x in (words, gap)])
         self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for at, (_, _, words) in zip(self.first.tolist(), texts, strict=True):
-            self.words[at : at + len(words)] = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
         self.rows = np.array([row for row, _, _ in texts], dtype=np.int64)
-        langs = np.array([_hashes[b"lang " + lang.encode()] for _, lang, _ in texts], dtype=np.uint64)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
-        self.lang = langs[self.text] * _LANG
-        self.breaks = np.concatenate([[0], np.cumsum(self.words == 0)])
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        self.lang = (np.array([_hashes[b"lang " + lang.encode()] for _, lang, _ in texts], dtype=np.uint64) * _LANG)[self.text]
+        self.breaks = np.concatenate([[0], np.cumsum(self.words == 0)]).astype(np.int32)
         self.masks = [np.uint64((1 << b) - 1) for b in bits]
-        self.sums = []
-        for which in range(2):
-            up = _powers.get(which, len(self.words))[0]
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _sums(self, which: int) -> np.ndarray:
+        if which not in self.sums:
             words = self.words if not which else _mixed(self.words)
-            self.sums.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up, dtype=np.uint64)]))
+            self.sums[which] = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * _powers.get(which, len(words))[0], dtype=np.uint64)])
+        return self.sums[which]
 
     def fingerprints(self, size: int, which: int) -> np.ndarray:
         """Of the ``size`` words from each place on, told apart by language and size."""
         count = max(len(self.words) - size + 1, 0)
         down = _powers.get(which, len(self.words))[1][:count]
-        window = (self.sums[which][size : size + count] - self.sums[which][:count]) * down
+        sums = self._sums(which)
+        window = (sums[size : size + count] - sums[:count]) * down
         return _mixed(window + self.lang[:count] + np.uint64(size)) & self.masks[which]
 
     def whole(self, size: int) -> np.ndarray:
@@ -115,7 +122,7 @@ class Block:
         return np.flatnonzero(self.breaks[size : size + count] == self.breaks[:count])
 
 
-def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block: Block, weight: np.ndarray | None = None) -> pa.RecordBatch:
+def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block: Block) -> pa.RecordBatch:
     """One row per fingerprint and check value of the block, with its count and its first place."""
     order = np.argsort(fp, kind="stable")
     f, c = fp[order], chk[order]
@@ -126,42 +133,92 @@ def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block:
         new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
     begin = np.flatnonzero(new)
     first = at[order[begin]]
-    count = np.diff(np.concatenate([begin, [len(f)]])) if weight is None else np.add.reduceat(weight[order], begin) if len(f) else begin
-    text = block.text[first]
+    count, text = np.diff(np.concatenate([begin, [len(f)]])), block.text[first]
     columns = [np.full(len(begin), size, dtype=np.int8), f[begin].view(np.int64), c[begin].view(np.int64), count.astype(np.int64), block.rows[text], (first - block.first[text]).astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["size", "fp", "chk", "cnt", "row", "at"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterator[tuple[Block, list]]:
+def _blocks(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterator[Block]:
     """Blocks of (row, lang, text) rows; a text stands whole in one block."""
     held, size = [], 0
     for batch in batches:
         for row, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = pieces_and_words(text.as_py())
+            words = hashed(pieces_and_words(text.as_py()))
             held.append((row, lang, words))
             size += len(words) + 1
             if size >= BLOCK_WORDS:
-                yield Block(held, bits), held
+                yield Block(held, bits)
                 held, size = [], 0
     if held:
-        yield Block(held, bits), held
+        yield Block(held, bits)
+
+
+def _split(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket and the upper half of fingerprints."""
+    return (fp & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), fp >> np.uint64(32)
+
 
+def _place(bucket: np.ndarray, half: np.ndarray, size: int) -> np.ndarray:
+    """The bit that stands for a bucket and a half."""
+    return _mixed(bucket * _LANG + half) & np.uint64(size - 1)
 
-def _marked(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    at = fp & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+def _marked(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def bitmap_of(fps: DataFrame, size: int = BITMAP) -> np.ndarray:
-    """A bitmap of the fingerprints in ``fps(fp)``: built by Spark in parts of 32,768 bits; its size doesn't depend on the input."""
-    place = F.pmod(F.col("fp"), F.lit(size)) + 1
-    parts = fps.select(place.alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("k")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits"))
+
+def _capped(keys: np.ndarray, most: int) -> np.ndarray:
+    """Sorted keys with at most so many copies of each."""
+    keep = np.ones(len(keys), dtype=bool)
+    keep[most:] = keys[most:] != keys[:-most]
+    return keys[keep]
+
+
+def bitmap_of(places: DataFrame, size: int = BITMAP) -> np.ndarray:
+    """A bitmap of ``places(place)``: built by Spark in parts of 32,768 bits; its size doesn't depend on the input."""
+    parts = places.select((F.col("place") + 1).alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("k"))
+    parts = parts.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits"))
     out = np.zeros(size // 8, dtype=np.uint8)
     for k, bits in zip(*parts.toArrow().to_pydict().values(), strict=True):
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, dtype=np.uint8)
     return out
 
 
+def frequent_places(rows: DataFrame, least: int, buckets: int, bits: tuple[int, int] = (64, 64), size: int = BITMAP) -> DataFrame:
+    """(place): the bits of all words and pairs that occur ``least`` times or more, of rows(row, lang, text); of some others that share half and bucket, too."""
+
+    def halves(batches):
+        for block in _blocks(batches, bits):
+            for n in (1, 2):
+                bucket, half = _split(block.fingerprints(n, 0)[block.whole(n)], buckets)
+                # a block of more than `least` copies is as good as one of so many
+                keys = _capped(np.sort(bucket << np.uint64(32) | half), least)
+                edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                packed = keys.astype("<u4").tobytes()
+                met = np.flatnonzero(np.diff(edges)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([packed[4 * edges[k] : 4 * edges[k + 1]] for k in met], pa.binary())], names=["bucket", "halves"])
+
+    def counted(batches):
+        def frequent(bucket, held):
+            halves = np.sort(np.frombuffer(b"".join(held), dtype="<u4"))
+            found = np.unique(halves[least - 1 :][halves[least - 1 :] == halves[: len(halves) - least + 1]]).astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(_place(np.uint64(bucket), found, size).view(np.int64))], names=["place"])
+
+        now, held = None, []
+        for batch in batches:
+            for bucket, halves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now:
+                    if held:
+                        yield frequent(now, held)
+                    now, held = bucket, []
+                held.append(halves)
+        if held:
+            yield frequent(now, held)
+
+    dealt = rows.mapInArrow(halves, "bucket int, halves binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(counted, "place long")
+
+
 def _summed(grams: DataFrame, least: int, tag: str) -> DataFrame:
     """Frequent fingerprints. Blocks have combined their rows already, so rows are dealt out once and added up there."""
     one = grams.repartition("fp").groupBy("fp", "size").agg(F.sum("cnt").alias("cnt"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
@@ -179,28 +236,27 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(lang, text).alias("row"), lang.alias("lang"), text.alias("text"))
 
-    def shortest(batches):
-        for block, _ in _blocks(batches, bits):
-            for size in (1, 2)[: min(longest, 2)]:
-                at = block.whole(size)
-                yield _gathered(size, block.fingerprints(size, 0)[at], block.fingerprints(size, 1)[at], at, block)
+    buckets = BUCKETS * int(session.conf.get("spark.sql.shuffle.partitions"))
+    known = session.sparkContext.broadcast(bitmap_of(frequent_places(rows, least, buckets, bits)))
+
+    def pointed(batches):
+        for block in _blocks(batches, bits):
+            open_ = None
+            for size in range(1, longest + 1):
+                at, fp = block.whole(size), block.fingerprints(size, 0)
+                if size < 3:
+                    marked = _marked(known.value, _place(*_split(fp, buckets), BITMAP))
+                    at = at[marked[at]]
+                    open_ = marked
+                else:  # all pairs inside are marked
+                    inside = np.concatenate([[0], np.cumsum(~open_)])
+                    at = at[inside[at + size - 1] == inside[at]]
+                yield _gathered(size, fp[at], block.fingerprints(size, 1)[at], at, block)
             at = block.whole(1)  # words of each language, under its fingerprint
             tongue = _mixed(block.lang[at])
             yield _gathered(0, tongue & block.masks[0], _mixed(~tongue) & block.masks[1], at, block)
 
-    levels = [_summed(rows.mapInArrow(shortest, GRAM), least, "phrases-short")]
-    for size in range(3, longest + 1):
-        below = session.sparkContext.broadcast(bitmap_of(levels[-1].where(F.col("size") == size - 1)))
-
-        def longer(batches, size=size, below=below):
-            for block, _ in _blocks(batches, bits):
-                at = block.whole(size)
-                open_ = _marked(below.value, block.fingerprints(size - 1, 0))
-                at = at[open_[at] & open_[at + 1]]
-                yield _gathered(size, block.fingerprints(size, 0)[at], block.fingerprints(size, 1)[at], at, block)
-
-        levels.append(_summed(rows.mapInArrow(longer, GRAM), least, f"phrases-{size}"))
-    found = reduce(DataFrame.unionByName, levels)
+    found = _summed(rows.mapInArrow(pointed, GRAM), least, "phrases-found")
     told = materialise(_read(rows, found, bits), "phrases-read")
     doubtful = told.where("not sure").select("fp", "size")
     sure = told.where("sure").select("lang", "size", "phrase", "cnt")
@@ -211,13 +267,13 @@ def _read(rows: DataFrame, found: DataFrame, bits: tuple[int, int]) -> DataFrame
     """(fp, size, cnt, sure, lang, phrase): the words that the pointers lead to, and whether they can be no others."""
     pointed = found.groupBy("row").agg(F.collect_list(F.struct("size", "fp", "chk", "chk2", "cnt", "at")).alias("grams"))
     pointed = materialise(pointed, "phrases-pointed")
-    known = rows.sparkSession.sparkContext.broadcast(bitmap_of(pointed.select(F.col("row").alias("fp"))))
+    known = rows.sparkSession.sparkContext.broadcast(bitmap_of(pointed.select(F.pmod("row", F.lit(BITMAP)).alias("place"))))
 
     def asked(batches):  # texts that no pointer leads to, and copies inside a batch, go no further
         met: set[int] = set()
         for batch in batches:
             at = np.asarray(batch.column(0))
-            marked = np.flatnonzero(_marked(known.value, at.view(np.uint64))).tolist()
+            marked = np.flatnonzero(_marked(known.value, at.view(np.uint64) & np.uint64(BITMAP - 1))).tolist()
             kept = [k for k in marked if at[k] not in met]
             if len(met) > KEPT_WORDS:
                 met.clear()
@@ -231,7 +287,7 @@ def _read(rows: DataFrame, found: DataFrame, bits: tuple[int, int]) -> DataFrame
             out = {n: [] for n in ("fp", "size", "cnt", "sure", "lang", "phrase")}
             for row, lang, text, grams in zip(*(batch.column(k) for k in range(4)), strict=True):
                 words = pieces_and_words(text.as_py())
-                block, lang, grams = Block([(row.as_py(), lang.as_py(), words)], bits), lang.as_py(), grams.values.flatten()
+                block, lang, grams = Block([(row.as_py(), lang.as_py(), hashed(words))], bits), lang.as_py(), grams.values.flatten()
                 size, fp, chk, chk2, cnt, at = (np.asarray(g) for g in grams)
                 true = chk == chk2
                 for s in set(size.tolist()):
@@ -261,23 +317,23 @@ def _read(rows: DataFrame, found: DataFrame, bits: tuple[int, int]) -> DataFrame
 def _counted(rows: DataFrame, doubtful: DataFrame, longest: int, least: int, bits: tuple[int, int]) -> DataFrame:
     """Phrases behind doubtful fingerprints, counted by their words."""
     doubtful = materialise(doubtful.distinct(), "phrases-doubtful")
-    known = rows.sparkSession.sparkContext.broadcast(bitmap_of(doubtful))
+    known = rows.sparkSession.sparkContext.broadcast(bitmap_of(doubtful.select(F.pmod("fp", F.lit(BITMAP)).alias("place"))))
 
     def spelt(batches):
-        for block, held in _blocks(batches, bits):
+        for batch in batches:
             counts: dict[tuple, int] = {}
-            for size in range(1, longest + 1):
-                at, fp = block.whole(size), block.fingerprints(size, 0)
-                at = at[_marked(known.value, fp[at])]
-                text = block.text[at]
-                for f, t, a in zip(fp[at].view(np.int64).tolist(), text.tolist(), (at - block.first[text]).tolist(), strict=True):
-                    key = (f, size, held[t][1], b" ".join(held[t][2][a : a + size]))
-                    counts[key] = counts.get(key, 0) + 1
-            for _, lang, words in held:
-                fp = int((_mixed(np.array([_hashes[b"lang " + lang.encode()]], dtype=np.uint64) * _LANG) & block.masks[0]).view(np.int64)[0])
-                n = sum(w != BREAK for w in words)
+            for row, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = pieces_and_words(text)
+                block = Block([(row, lang, hashed(words))], bits)
+                for size in range(1, longest + 1):
+                    at, fp = block.whole(size), block.fingerprints(size, 0)
+                    at = at[_marked(known.value, fp[at] & np.uint64(BITMAP - 1))]
+                    for f, a in zip(fp[at].view(np.int64).tolist(), at.tolist(), strict=True):
+                        key = (f, size, lang, b" ".join(words[a : a + size]))
+                        counts[key] = counts.get(key, 0) + 1
+                tongue, n = int((_mixed(block.lang[:1]) & block.masks[0]).view(np.int64)[0]), len(block.whole(1))
                 if n:
-                    counts[fp, 0, lang, b""] = counts.get((fp, 0, lang, b""), 0) + n
+                    counts[tongue, 0, lang, b""] = counts.get((tongue, 0, lang, b""), 0) + n
             fps, sizes, langs, phrases = zip(*counts, strict=True) if counts else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(fps, pa.int64()), pa.array(sizes, pa.int8()), pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(list(counts.values()), pa.int64())],

@@ -71,15 +71,27 @@ def test_collisions_are_told_apart_by_text(spark, rows, bits):
     assert found(phrases.collocations(table(spark, rows), least=6, bits=bits)) == brute(rows, least=6)
 
 
-def test_blocks_and_bitmap_of_any_size(spark, rows, monkeypatch):
-    few = rows[:130]
-    blocks = list(phrases._blocks(iter(table(spark, few).selectExpr("xxhash64(text) row", "coalesce(lang, 'und')", "coalesce(text, '')").toArrow().to_batches()), (64, 64)))
-    assert sum(len(held) for _, held in blocks) == len(few)
-    assert phrases.bitmap_of(spark.createDataFrame([(-1,), (0,), (5,), (5,), (32_768,)], "fp long"), 1 << 17).nonzero()[0].tolist() == [0, 4096, (1 << 14) - 1]
+def test_blocks_of_any_size(spark, rows, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 500)
+    few = table(spark, rows).selectExpr("xxhash64(text) row", "coalesce(lang, 'und')", "coalesce(text, '')").toArrow()
+    assert sum(len(b.rows) for b in phrases._blocks(iter(few.to_batches()), (64, 64))) == len(rows)
+
+
+def test_bitmap_has_each_place_and_no_other(spark):
+    bits = phrases.bitmap_of(spark.createDataFrame([(0,), (5,), (5,), (32_768,), ((1 << 17) - 1,)], "place long"), 1 << 17)
+    assert bits.nonzero()[0].tolist() == [0, 4096, (1 << 14) - 1] and (bits[0], bits[4096], bits[-1]) == (33, 1, 128)
+
+
+def test_no_frequent_pair_misses_the_bitmap(spark, rows):
+    texts = table(spark, rows).selectExpr("xxhash64(text) row", "coalesce(lang, 'und') lang", "coalesce(text, '') text")
+    places = {r.place for r in phrases.frequent_places(texts, 10, 7).collect()}
+    block = phrases.Block([(0, "en", phrases.hashed(b"new york city".split())), (0, "de", phrases.hashed(b"mot mot".split()))])
+    found = [int(phrases._place(*phrases._split(block.fingerprints(2, 0)[at : at + 1], 7), phrases.BITMAP)[0]) in places for at in (0, 1, 4)]
+    assert found == [True, True, False]
 
 
 def test_equal_words_have_equal_fingerprints_wherever_they_stand():
-    block = phrases.Block([(1, "en", [b"a", b"b", phrases.BREAK, b"a", b"b"]), (2, "de", [b"a", b"b"])])
+    block = phrases.Block([(1, "en", phrases.hashed([b"a", b"b", phrases.BREAK, b"a", b"b"])), (2, "de", phrases.hashed([b"a", b"b"]))])
     for size, places in ((1, (0, 3)), (2, (0, 3))):
         for which in range(2):
             prints = block.fingerprints(size, which)
