@@ -27,7 +27,7 @@ from corpusloom.sources.shared import materialise
 LONGEST, LEAST_COUNT, SHARE, BEST = 3, 10, 50, 2_000
 UNKNOWN = "und"
 #: Words that a task looks at together before it ships rows, and words whose hashes a worker keeps.
-BLOCK_WORDS, KEPT_WORDS = 2_500_000, 200_000
+BLOCK_WORDS, KEPT_WORDS = 1_000_000, 200_000
 #: Bits of the bitmap of frequent fingerprints. More of them than bits make it let more pass, never less.
 BITMAP = 1 << 27
 #: Buckets of the first pass for each shuffle partition; one is counted at a time.
@@ -69,7 +69,7 @@ class _Powers:
     def get(self, which: int, n: int) -> np.ndarray:
         if self.tables[which].shape[1] < n:
             pair = np.array([[_BASES[which]], [pow(_BASES[which], -1, 1 << 64)]], dtype=np.uint64)
-            steps = np.repeat(pair, max(n, 2 * self.tables[which].shape[1]), axis=1)
+            steps = np.repeat(pair, n + n // 8, axis=1)
             steps[:, 0] = 1
             self.tables[which] = np.cumprod(steps, axis=1, dtype=np.uint64)
         return self.tables[which][:, :n]
