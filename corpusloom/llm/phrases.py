@@ -2,9 +2,9 @@
 
 Numpy prefix polynomials over word hashes give every n-gram of a block of texts a fingerprint and a check value in a few vector
 operations. A first pass ships packed halves of the fingerprints of words and pairs, no more copies of each per block than make it frequent, and counts
-them by bucket; what is frequent there becomes a bitmap of fixed size. The second pass ships each fingerprint once per block, with its count and a
-pointer (hash of the row, place in its text), if it is in the bitmap, longer ones if all their pairs are: no other phrase can be frequent. The shuffle adds
-the counts up.
+them by bucket; what is frequent there becomes a bitmap of fixed size. Each further length has a pass of its own, over phrases whose shorter
+ones are frequent at both ends: no others can be. The last pass gathers what the bitmaps let through and ships each fingerprint with its count and a
+pointer (hash of the row, place in its text); the shuffle adds the counts up.
 
 Phrases exist as text only once their fingerprint is frequent: the pointer leads to the words, whose fingerprint must come out again. Where
 one fingerprint has met two check values, or a pointer leads to other words, occurrences are counted anew by their words; so no collision
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ BITMAP = 1 << 27
 #: Buckets of the first pass for each shuffle partition; one is counted at a time.
 BUCKETS = 4
 #: Parts in which a language's phrases are ranked before the last ranking.
-SALT = 64
+SALT = 16
+#: Fingerprints that a task gathers, over its blocks, before it ships them.
+GATHERED = 1_500_000
 BREAK, BREAKS = b"\xff", re.compile(rb"[.,;:!?\x0A-\x0D]+")
 #: Odd multipliers of the two polynomials, of the language and of the mixing step.
 _BASES, _LANG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -122,20 +125,30 @@ class Block:
         return np.flatnonzero(self.breaks[size : size + count] == self.breaks[:count])
 
 
-def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block: Block) -> pa.RecordBatch:
+def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block: Block) -> list[np.ndarray]:
     """One row per fingerprint and check value of the block, with its count and its first place."""
+    text = block.text[at]
+    return _added([np.full(len(at), size, dtype=np.int8), fp, chk, np.ones(len(at), dtype=np.int64), block.rows[text], (at - block.first[text]).astype(np.int32)])
+
+
+def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of one fingerprint, size and check value made one: counts are added, the first pointer stays."""
+    size, fp, chk, cnt = columns[:4]
     order = np.argsort(fp, kind="stable")
-    f, c = fp[order], chk[order]
-    new = np.concatenate([[True], f[1:] != f[:-1]]) if len(f) else np.zeros(0, dtype=bool)
-    if (~new[1:] & (c[1:] != c[:-1])).any():  # a collision inside the block
-        order = np.lexsort((chk, fp))
-        f, c = fp[order], chk[order]
-        new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
-    begin = np.flatnonzero(new)
-    first = at[order[begin]]
-    count, text = np.diff(np.concatenate([begin, [len(f)]])), block.text[first]
-    columns = [np.full(len(begin), size, dtype=np.int8), f[begin].view(np.int64), c[begin].view(np.int64), count.astype(np.int64), block.rows[text], (first - block.first[text]).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["size", "fp", "chk", "cnt", "row", "at"])
+    f, rest = fp[order], (size[order], chk[order])
+    same = f[1:] == f[:-1]
+    if (same & ((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]))).any():  # a collision among these rows
+        order = np.lexsort((chk, size, fp))
+        f, rest = fp[order], (size[order], chk[order])
+        same = (f[1:] == f[:-1]) & (rest[0][1:] == rest[0][:-1]) & (rest[1][1:] == rest[1][:-1])
+    begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(f) else np.zeros(0, dtype=np.int64)
+    out = [c[order[begin]] for c in columns]
+    out[3] = np.add.reduceat(cnt[order], begin) if len(f) else cnt
+    return out
+
+
+def _shipped(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["size", "fp", "chk", "cnt", "row", "at"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterator[Block]:
@@ -184,13 +197,18 @@ def bitmap_of(places: DataFrame, size: int = BITMAP) -> np.ndarray:
     return out
 
 
-def frequent_places(rows: DataFrame, least: int, buckets: int, bits: tuple[int, int] = (64, 64), size: int = BITMAP) -> DataFrame:
-    """(place): the bits of all words and pairs that occur ``least`` times or more, of rows(row, lang, text); of some others that share half and bucket, too."""
+def frequent_places(rows: DataFrame, sizes: tuple[int, ...], below: Broadcast | None, least: int, buckets: int, bits: tuple[int, int] = (64, 64), size: int = BITMAP) -> DataFrame:
+    """(place): the bits of all phrases of these sizes that occur ``least`` times or more, of rows(row, lang, text); of some others that share half and
+    bucket, too. With ``below``, the bitmap of the next smaller size, phrases that have a rare one at either end are left out."""
 
     def halves(batches):
         for block in _blocks(batches, bits):
-            for n in (1, 2):
-                bucket, half = _split(block.fingerprints(n, 0)[block.whole(n)], buckets)
+            for n in sizes:
+                at = block.whole(n)
+                if below is not None:
+                    shorter = _marked(below.value, _place(*_split(block.fingerprints(n - 1, 0), buckets), size))
+                    at = at[shorter[at] & shorter[at + 1]]
+                bucket, half = _split(block.fingerprints(n, 0)[at], buckets)
                 # a block of more than `least` copies is as good as one of so many
                 keys = _capped(np.sort(bucket << np.uint64(32) | half), least)
                 edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
@@ -220,7 +238,7 @@ def frequent_places(rows: DataFrame, least: int, buckets: int, bits: tuple[int,
 
 
 def _summed(grams: DataFrame, least: int, tag: str) -> DataFrame:
-    """Frequent fingerprints. Blocks have combined their rows already, so rows are dealt out once and added up there."""
+    """Frequent fingerprints. Tasks have combined their rows already, so rows are dealt out once and added up there."""
     one = grams.repartition("fp").groupBy("fp", "size").agg(F.sum("cnt").alias("cnt"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
     return materialise(one.where((F.col("cnt") >= least) | (F.col("size") == 0)), tag)
 
@@ -237,24 +255,27 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     rows = docs.select(F.xxhash64(lang, text).alias("row"), lang.alias("lang"), text.alias("text"))
 
     buckets = BUCKETS * int(session.conf.get("spark.sql.shuffle.partitions"))
-    known = session.sparkContext.broadcast(bitmap_of(frequent_places(rows, least, buckets, bits)))
+    known = [session.sparkContext.broadcast(bitmap_of(frequent_places(rows, (1, 2), None, least, buckets, bits)))]
+    for size in range(3, longest + 1):
+        known.append(session.sparkContext.broadcast(bitmap_of(frequent_places(rows, (size,), known[-1], least, buckets, bits))))
 
     def pointed(batches):
+        held = []
         for block in _blocks(batches, bits):
-            open_ = None
             for size in range(1, longest + 1):
                 at, fp = block.whole(size), block.fingerprints(size, 0)
-                if size < 3:
-                    marked = _marked(known.value, _place(*_split(fp, buckets), BITMAP))
-                    at = at[marked[at]]
-                    open_ = marked
-                else:  # all pairs inside are marked
-                    inside = np.concatenate([[0], np.cumsum(~open_)])
-                    at = at[inside[at + size - 1] == inside[at]]
-                yield _gathered(size, fp[at], block.fingerprints(size, 1)[at], at, block)
+                at = at[_marked(known[max(size - 2, 0)].value, _place(*_split(fp[at], buckets), BITMAP))]
+                held.append(_gathered(size, fp[at], block.fingerprints(size, 1)[at], at, block))
             at = block.whole(1)  # words of each language, under its fingerprint
             tongue = _mixed(block.lang[at])
-            yield _gathered(0, tongue & block.masks[0], _mixed(~tongue) & block.masks[1], at, block)
+            held.append(_gathered(0, tongue & block.masks[0], _mixed(~tongue) & block.masks[1], at, block))
+            del block
+            held = [_added([np.concatenate(c) for c in zip(*held, strict=True)])]
+            if len(held[0][0]) >= GATHERED:
+                yield _shipped(held[0])
+                held = []
+        if held:
+            yield _shipped(held[0])
 
     found = _summed(rows.mapInArrow(pointed, GRAM), least, "phrases-found")
     told = materialise(_read(rows, found, bits), "phrases-read")

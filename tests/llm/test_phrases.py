@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom.llm import phrases
@@ -73,6 +74,9 @@ def test_collisions_are_told_apart_by_text(spark, rows, bits):
 
 def test_blocks_of_any_size(spark, rows, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 500)
+    parts = [[np.array(c) for c in zip(*some)] for some in ([(1, 9, 5, 2, 7, 0), (1, 9, 5, 3, 8, 1), (2, 9, 5, 1, 8, 1)], [(1, 9, 6, 1, 7, 0), (1, 3, 5, 1, 1, 1), (1, 9, 5, 4, 9, 9)])]
+    added = phrases._added([np.concatenate(c) for c in zip(*parts)])
+    assert sorted(zip(*(c.tolist() for c in added))) == [(1, 3, 5, 1, 1, 1), (1, 9, 5, 9, 7, 0), (1, 9, 6, 1, 7, 0), (2, 9, 5, 1, 8, 1)]
     few = table(spark, rows).selectExpr("xxhash64(text) row", "coalesce(lang, 'und')", "coalesce(text, '')").toArrow()
     assert sum(len(b.rows) for b in phrases._blocks(iter(few.to_batches()), (64, 64))) == len(rows)
 
@@ -84,7 +88,7 @@ def test_bitmap_has_each_place_and_no_other(spark):
 
 def test_no_frequent_pair_misses_the_bitmap(spark, rows):
     texts = table(spark, rows).selectExpr("xxhash64(text) row", "coalesce(lang, 'und') lang", "coalesce(text, '') text")
-    places = {r.place for r in phrases.frequent_places(texts, 10, 7).collect()}
+    places = {r.place for r in phrases.frequent_places(texts, (1, 2), None, 10, 7).collect()}
     block = phrases.Block([(0, "en", phrases.hashed(b"new york city".split())), (0, "de", phrases.hashed(b"mot mot".split()))])
     found = [int(phrases._place(*phrases._split(block.fingerprints(2, 0)[at : at + 1], 7), phrases.BITMAP)[0]) in places for at in (0, 1, 4)]
     assert found == [True, True, False]
