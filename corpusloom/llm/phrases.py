@@ -40,7 +40,9 @@ GATHERED = 1_500_000
 BREAK, BREAKS = b"\xff", re.compile(rb"[.,;:!?\x0A-\x0D]+")
 #: Odd multipliers of the two polynomials, of the language and of the mixing step.
 _BASES, _LANG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-GRAM = "size byte, fp long, chk long, cnt long, row long, at int"
+#: What is shipped of a fingerprint: itself; 28 bits of check value, 4 of size and 32 of count; 40 bits of the row's hash and 24 of the place.
+GRAM = "fp long, told long, place long"
+CHECK, ROW, AT, KEYS = 28, 40, 24, 4_000_000
 
 
 class _WordHash(dict):
@@ -93,7 +95,7 @@ def hashed(words: list[bytes]) -> np.ndarray:
 class Block:
     """The words of some texts, as hashes, in one array, with a break after each text."""
 
-    def __init__(self, texts: list[tuple[int, str, np.ndarray]], bits: tuple[int, int] = (64, 64)):
+    def __init__(self, texts: list[tuple[int, str, np.ndarray]], bits: tuple[int, int] = (64, CHECK)):
         gap = np.zeros(1, dtype=np.uint64)
         sizes = np.array([len(words) + 1 for _, _, words in texts], dtype=np.int64)
         self.words = np.concatenate([x for _, _, words in texts for x in (words, gap)])
@@ -128,7 +130,9 @@ class Block:
 def _gathered(size: int, fp: np.ndarray, chk: np.ndarray, at: np.ndarray, block: Block) -> list[np.ndarray]:
     """One row per fingerprint and check value of the block, with its count and its first place."""
     text = block.text[at]
-    return _added([np.full(len(at), size, dtype=np.int8), fp, chk, np.ones(len(at), dtype=np.int64), block.rows[text], (at - block.first[text]).astype(np.int32)])
+    # a place that doesn't fit leads nowhere, and its phrase is counted by its words
+    place = np.minimum(at - block.first[text], (1 << AT) - 1)
+    return _added([np.full(len(at), size, dtype=np.int8), fp, chk, np.ones(len(at), dtype=np.int64), block.rows[text], place.astype(np.int32)])
 
 
 def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -148,7 +152,10 @@ def _added(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _shipped(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["size", "fp", "chk", "cnt", "row", "at"])
+    """Rows packed into three numbers: most of what is written and read in the shuffle of counts is this."""
+    size, fp, chk, cnt, row, at = (c.astype(np.uint64) for c in columns)
+    out = fp, chk << np.uint64(36) | size << np.uint64(32) | cnt, row << np.uint64(AT) | at
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in out], names=["fp", "told", "place"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterator[Block]:
@@ -167,8 +174,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterato
 
 
 def _split(fp: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket and the upper half of fingerprints."""
-    return (fp & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), fp >> np.uint64(32)
+    """The bucket, by the lower half, and the highest 24 bits of fingerprints: buckets are as many as the input asks for, so 24 bits stay enough."""
+    return (fp & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), fp >> np.uint64(40)
 
 
 def _place(bucket: np.ndarray, half: np.ndarray, size: int) -> np.ndarray:
@@ -197,11 +204,12 @@ def bitmap_of(places: DataFrame, size: int = BITMAP) -> np.ndarray:
     return out
 
 
-def frequent_places(rows: DataFrame, sizes: tuple[int, ...], below: Broadcast | None, least: int, buckets: int, bits: tuple[int, int] = (64, 64), size: int = BITMAP) -> DataFrame:
+def frequent_places(rows: DataFrame, sizes: tuple[int, ...], below: Broadcast | None, least: int, buckets: int, bits: tuple[int, int] = (64, CHECK), size: int = BITMAP) -> DataFrame:
     """(place): the bits of all phrases of these sizes that occur ``least`` times or more, of rows(row, lang, text); of some others that share half and
     bucket, too. With ``below``, the bitmap of the next smaller size, phrases that have a rare one at either end are left out."""
 
     def halves(batches):
+        held = []
         for block in _blocks(batches, bits):
             for n in sizes:
                 at = block.whole(n)
@@ -209,16 +217,25 @@ def frequent_places(rows: DataFrame, sizes: tuple[int, ...], below: Broadcast |
                     shorter = _marked(below.value, _place(*_split(block.fingerprints(n - 1, 0), buckets), size))
                     at = at[shorter[at] & shorter[at + 1]]
                 bucket, half = _split(block.fingerprints(n, 0)[at], buckets)
-                # a block of more than `least` copies is as good as one of so many
-                keys = _capped(np.sort(bucket << np.uint64(32) | half), least)
-                edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                packed = keys.astype("<u4").tobytes()
-                met = np.flatnonzero(np.diff(edges)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([packed[4 * edges[k] : 4 * edges[k + 1]] for k in met], pa.binary())], names=["bucket", "halves"])
+                held.append(bucket << np.uint64(24) | half)
+            # more than `least` copies are as good as so many
+            held = [_capped(np.sort(np.concatenate(held)), least)]
+            if len(held[0]) >= KEYS:
+                yield packed(held[0])
+                held = []
+        if held:
+            yield packed(held[0])
+
+    def packed(keys):
+        edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(24))
+        three = keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        met = np.flatnonzero(np.diff(edges)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([three[3 * edges[k] : 3 * edges[k + 1]] for k in met], pa.binary())], names=["bucket", "halves"])
 
     def counted(batches):
         def frequent(bucket, held):
-            halves = np.sort(np.frombuffer(b"".join(held), dtype="<u4"))
+            three = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
+            halves = np.sort(three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16))
             found = np.unique(halves[least - 1 :][halves[least - 1 :] == halves[: len(halves) - least + 1]]).astype(np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(_place(np.uint64(bucket), found, size).view(np.int64))], names=["place"])
 
@@ -239,11 +256,15 @@ def frequent_places(rows: DataFrame, sizes: tuple[int, ...], below: Broadcast |
 
 def _summed(grams: DataFrame, least: int, tag: str) -> DataFrame:
     """Frequent fingerprints. Tasks have combined their rows already, so rows are dealt out once and added up there."""
-    one = grams.repartition("fp").groupBy("fp", "size").agg(F.sum("cnt").alias("cnt"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
+    one = grams.repartition("fp").select(
+        "fp", F.shiftrightunsigned("told", 36).alias("chk"), F.shiftright("told", 32).bitwiseAND(F.lit(15)).cast("byte").alias("size"), F.col("told").bitwiseAND(F.lit((1 << 32) - 1)).alias("cnt"),
+        F.shiftrightunsigned("place", AT).alias("row"), F.col("place").bitwiseAND(F.lit((1 << AT) - 1)).cast("int").alias("at"),
+    )
+    one = one.groupBy("fp", "size").agg(F.sum("cnt").alias("cnt"), F.min("chk").alias("chk"), F.max("chk").alias("chk2"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"))
     return materialise(one.where((F.col("cnt") >= least) | (F.col("size") == 0)), tag)
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, lang_col: str = "lang", text_col: str = "text", bits: tuple[int, int] = (64, 64)) -> DataFrame:
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, lang_col: str = "lang", text_col: str = "text", bits: tuple[int, int] = (64, CHECK)) -> DataFrame:
     """(lang, size, phrase, cnt) of the phrases of 1 to ``longest`` words that occur ``least`` times or more in a language, counted exactly, and
     for each language with words a row of size 0 with the number of its words.
 
@@ -252,7 +273,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     session = docs.sparkSession
     bounded_batches(session)
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(lang, text).alias("row"), lang.alias("lang"), text.alias("text"))
+    rows = docs.select(F.xxhash64(lang, text).bitwiseAND(F.lit((1 << ROW) - 1)).alias("row"), lang.alias("lang"), text.alias("text"))
 
     buckets = BUCKETS * int(session.conf.get("spark.sql.shuffle.partitions"))
     known = [session.sparkContext.broadcast(bitmap_of(frequent_places(rows, (1, 2), None, least, buckets, bits)))]
@@ -314,7 +335,7 @@ def _read(rows: DataFrame, found: DataFrame, bits: tuple[int, int]) -> DataFrame
                 for s in set(size.tolist()):
                     these = np.flatnonzero(size == s)
                     if not s:
-                        tongue = _mixed(block.lang[at[these]])
+                        tongue = _mixed(np.repeat(block.lang[:1], len(these)))
                         pair = tongue & block.masks[0], _mixed(~tongue) & block.masks[1]
                     else:
                         inside = at[these] + s <= len(words)
@@ -365,7 +386,7 @@ def _counted(rows: DataFrame, doubtful: DataFrame, longest: int, least: int, bit
     return each.groupBy("lang", "size", "phrase").agg(F.sum("cnt").alias("cnt")).where((F.col("cnt") >= least) | (F.col("size") == 0))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, share: int = SHARE, best: int = BEST, lang_col: str = "lang", text_col: str = "text", bits: tuple[int, int] = (64, 64)) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT, share: int = SHARE, best: int = BEST, lang_col: str = "lang", text_col: str = "text", bits: tuple[int, int] = (64, CHECK)) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``best`` phrases of 2 to ``longest`` words that occur ``least`` times or more.
 
     A phrase's score is the lowest over its cuts into two, in millionths of a * a / (l * r), floored in whole numbers of 38 digits; phrases that lie

@@ -66,7 +66,7 @@ def test_longer_phrases_and_other_bounds(spark, rows):
     assert found(phrases.collocations(table(spark, rows), longest=2, best=3)) == brute(rows, 2, best=3)
 
 
-@pytest.mark.parametrize("bits", [(4, 40), (9, 48), (64, 1)])
+@pytest.mark.parametrize("bits", [(4, 28), (9, 20), (64, 1)])
 def test_collisions_are_told_apart_by_text(spark, rows, bits):
     """Narrow fingerprints collide all the time; what is counted in the end are words."""
     assert found(phrases.collocations(table(spark, rows), least=6, bits=bits)) == brute(rows, least=6)
@@ -94,6 +94,13 @@ def test_no_frequent_pair_misses_the_bitmap(spark, rows):
     assert found == [True, True, False]
 
 
+def test_places_that_do_not_fit_are_counted_by_words(spark, rows, monkeypatch):
+    """A pointer that leads nowhere, as in texts of more than 2**24 words."""
+    monkeypatch.setattr(phrases, "_gathered", lambda *a, f=phrases._gathered: [c if k < 5 else np.full_like(c, (1 << 24) - 1) for k, c in enumerate(f(*a))])
+    few = rows[:40] + [("en", "new york city hall")] * 12
+    assert found(phrases.collocations(table(spark, few))) == brute(few)
+
+
 def test_equal_words_have_equal_fingerprints_wherever_they_stand():
     block = phrases.Block([(1, "en", phrases.hashed([b"a", b"b", phrases.BREAK, b"a", b"b"])), (2, "de", phrases.hashed([b"a", b"b"]))])
     for size, places in ((1, (0, 3)), (2, (0, 3))):
