@@ -24,7 +24,7 @@ BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all righ
 BASE_CONFIDENCE = 0.9
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: A '+' after the version of a GNU license is marked by this sign, which ends the version's word, before punctuation goes.
+#: A '+' after the version of a GNU license is marked by this sign and a blank, which end the version's word, before punctuation goes: words stay as many.
 PLUS = "\u207a"
 PLUS_AFTER = r"((?:gpl|general[^a-z0-9]{1,8}public[^a-z0-9]{1,8}licen[sc]e)[^a-z0-9]{0,8}(?:version|v)?[^a-z0-9]{0,4}[0-9](?:\.[0-9])?)\+"
 
@@ -255,7 +255,7 @@ def lowered(text: Column) -> Column:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts and base phrases, and the stretches around the stems of the gate, each with the word that it begins with."""
     low = lowered(text_of(text_col))
-    marked = F.when(F.contains(low, F.lit("+")) & (F.contains(low, F.lit("gpl")) | F.contains(low, F.lit("general"))), F.regexp_replace(low, PLUS_AFTER, f"$1{PLUS}")).otherwise(low)
+    marked = F.when(F.contains(low, F.lit("+")) & (F.contains(low, F.lit("gpl")) | F.contains(low, F.lit("general"))), F.regexp_replace(low, PLUS_AFTER, f"$1{PLUS} ")).otherwise(low)
     words = F.trim(F.regexp_replace(marked, NOT_A_WORD, " "))
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("n_words", word_count(F.col("words")))
     # a stem that another one begins with, or ends with, needs no search of its own
@@ -355,7 +355,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the confidence of the surest detection that stays, 0 without one. Null and empty texts have no words and empty
-    labels. Rows that share id and words get the same labels; each stays a row of its own.
+    labels. Rows that share id and words get the same labels; each stays a row of its own. Texts of any length are read whole; empty tables give no
+    rows, and further columns, whatever their names, are ignored.
     """
     rows = materialise(scanned(docs, id_col, text_col), "license-scan")
     kept = detections(rows)

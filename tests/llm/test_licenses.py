@@ -70,6 +70,15 @@ def test_or_later_in_real_headers(make_docs):
     assert base_of(make_docs(rows)) == brute(rows)
 
 
+def test_signs_between_phrases_never_join_words(make_docs):
+    """A plus after a GNU version is a sign like any other to words and base phrases."""
+    said = ["GPL-3.0", "General Public License 2", "CC BY", "all rights reserved", "LGPL2", "GPL v3", "foo"]
+    texts = [a + sign + b for a in said for b in said for sign in ("+", "++", " + ", "+\n", "+-", "-", "_", "/", ".", ";", "\x7f", "\x00", " ")]
+    texts += ["GPL-3.0+CC BY here", "General Public License 2+all rights reserved", "GPL-2.0+foo", "GPL2+LGPL2+x y", "GPL-3.0\u207aCC BY", "GPL-3.0+\u207ax"]
+    rows = list(enumerate(texts))
+    assert base_of(make_docs(rows)) == brute(rows)
+
+
 def samples(pattern, full):
     """A shortest string that the pattern matches, or one with every optional part."""
     from re import _constants as c
