@@ -289,7 +289,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, text_col: str = "tex
         return rows.repartition("key").sortWithinPartitions("key")
 
     def of_each(runs: DataFrame, *fields: str) -> DataFrame:
-        return runs.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th")).agg(F.collect_list(F.struct(*fields)).alias("_sub_runs"))
+        """Each run once: equal rows share their id and hash, and so would each get the runs of all."""
+        return runs.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th")).agg(F.collect_set(F.struct(*fields)).alias("_sub_runs"))
 
     bounded_batches(rows.sparkSession)
     level_1 = by_key(rows.mapInArrow(anchors, ROW))
@@ -307,7 +308,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     Every word that lies in a repeated window goes; windows are judged on the input alone. What stays is joined by single blanks;
     with ``rejoin`` false a text that loses nothing stays as it is. Null and empty texts have no words; texts under one window keep all.
-    Rows that share id and text each count as a document, so long ones lose their words.
+    Rows that share id and text each count as a document, so long ones lose their words. Texts of any length are read whole, one at a time; empty
+    tables give no rows; only columns named _sub_id, _sub_th, _sub_runs, _sub_words or _sub_removed clash.
     """
     schema = with_fields(docs, _sub_words="long", _sub_removed="long")
 

@@ -49,6 +49,25 @@ def test_substrings_small_blocks_and_empty(make_docs, mixed_rows, monkeypatch):
     assert from_operator(docs) == brute_substrings(mixed_rows)
 
 
+def test_substrings_of_many_equal_rows(make_docs, monkeypatch):
+    """Equal rows share one list of runs, however many they are; so do rows of one id. Another text shares only part of it."""
+    text = " ".join(f"w{k % 97}x{k}" for k in range(400))
+    rows = [(None, text)] * 3000 + [(7, text + " end")] * 2000 + [(8, "other words " + " ".join(text.split()[100:180]) + " and more")] + [(None, "short text")] * 50
+    monkeypatch.setattr(substrings, "BLOCK_WORDS", 50_000)
+    docs = make_docs(rows).repartition(8)
+    runs = substrings.repeated_windows(substrings.keyed(docs)).select(F.max(F.size("_sub_runs")), F.count("*")).first()
+    assert runs[0] <= 400 and runs[1] == 3
+    assert from_operator(docs) == brute_substrings(rows)
+
+
+def test_a_text_of_a_million_words(make_docs):
+    words = [f"v{k * k % 1_000_003}" for k in range(1_000_000)]
+    rows = [(1, " ".join(words)), (2, "a b " + " ".join(words[500_000:500_050]) + " c"), (3, None)]
+    assert from_operator(make_docs(rows)) == brute_substrings(rows)
+    prints = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(make_docs([(1, " ".join(words)), (2, " ".join(words)), (3, "one")])).collect()}
+    assert prints[1] == prints[2] and prints[1][1] == 1 and prints[3][1] == 3
+
+
 def test_substrings_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
