@@ -40,6 +40,17 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return state.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
+#: Number literals that a variant doesn't hold as they are: more than 38 digits, or, with an exponent, more than 15 or more than two in the exponent.
+TOO_LARGE = r"[0-9](?:\.?[0-9]){38}|[0-9](?:\.?[0-9]){15,40}[eE]|[0-9.][eE][-+]?[0-9]{3}"
+
+
+def parsed_arguments(text: Column) -> Column:
+    """The arguments as a variant; null where they are no JSON, name a key twice, or have a number that would lose digits."""
+    outside = F.regexp_replace(F.regexp_replace(text, F.lit(r"(?s)\\."), F.lit("")), F.lit('"[^"]*"'), F.lit('""'))
+    lost = F.when(text.rlike(TOO_LARGE), outside.rlike(TOO_LARGE)).otherwise(False)
+    return F.when(~lost, F.try_parse_json(text))
+
+
 def arguments_valid(arguments: Column, required: Column, types: Column) -> Column:
     """Whether the parsed arguments (null: malformed) are an object with every required name, no unknown one, and values of the named types."""
     def fits(name: Column, value: Column) -> Column:
@@ -47,8 +58,9 @@ def arguments_valid(arguments: Column, required: Column, types: Column) -> Colum
         for spark_name, ours in NAMES.items():
             found = F.regexp_replace(found, rf"(?<=^|<|: )(?:{spark_name})(?=$|[,>])", ours)
         found = F.regexp_replace(F.regexp_replace(found, "(?<=^|<|: )(OBJECT|ARRAY)<", "~$1<"), ": ", ":")
-        found = F.replace(F.replace(F.replace(found, F.lit("~OBJECT"), F.lit("object")), F.lit("~ARRAY"), F.lit("array")), F.lit(", "), F.lit(","))
-        kind = F.regexp_replace(F.try_element_at(types, name), " ", "")
+        # names that are no identifiers stand in backticks
+        found = F.translate(F.replace(F.replace(found, F.lit("~OBJECT"), F.lit("object")), F.lit("~ARRAY"), F.lit("array")), "` ", "")
+        kind = F.regexp_replace(F.translate(F.try_element_at(types, name), "` ", ""), r"([-.+*?()\[\]{}^$|\\])", r"\\$1")
         for was, becomes in ((r"\barray<(\w+)>", "array<(?:null|$1)>"), (r"\bnumber(?=$|[,>)])", "(?:number|integer)"), (r"\b(object|array)(?=$|[,>)])", "$1<.*>")):
             kind = F.regexp_replace(kind, was, becomes)
         return F.coalesce(F.regexp_like(found, F.concat(F.lit("^(?:"), kind, F.lit(")$"))), F.lit(False))
@@ -66,7 +78,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     own (kind ``result``, ``orphan``). Of different calls or results with one identifier the one of the smallest digest counts, the others are ``repeat``;
     without identifier rows are ``unnamed``. ``level`` is null where calls depend on themselves, and for rows that don't count.
     schemas(name, required array, types map): of several for one tool the smallest counts. A call of an unknown tool or with malformed
-    arguments (repeated keys too) is invalid; malformed text stays as ``raw``. Null content is a result like any other. Texts of any length are
+    arguments (repeated keys and numbers of more than 38 digits, or 15 with an exponent, too) is invalid; malformed text stays as ``raw``. ``1.0`` is an integer, ``1e2`` a number. Null content is a result like any other. Texts of any length are
     one value of one row. Empty tables give no rows, further columns are ignored.
     """
     calls, results = _told_apart(calls, "name", "arguments", "parent_id"), _told_apart(results, "content")
@@ -74,7 +86,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     levels = call_levels(calls.where("first").select(*KEY, "parent_id"))
     tools = schemas.groupBy("name").agg(F.min(F.struct("required", F.map_entries("types").alias("types"))).alias("s"))
     tools = tools.select("name", "s.required", F.map_from_entries("s.types").alias("types"))
-    full = calls.join(answers, KEY, "left").join(levels, KEY, "left").join(tools, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    full = calls.join(answers, KEY, "left").join(levels, KEY, "left").join(tools, "name", "left").withColumn("parsed", parsed_arguments(F.col("arguments")))
     full = full.withColumns({c: F.when(F.col("first"), F.col(c)) for c in ("content", "linked", "level")})
     # a variant holds the fields of its objects in the order of their names
     raw = F.when(F.col("parsed").isNull(), F.col("arguments"))

@@ -87,3 +87,35 @@ def test_arguments_keep_their_types_at_every_depth(spark):
     for k, t in enumerate(texts):
         assert json.dumps(json.loads(found[k].json)["arguments"]) == json.dumps(json.loads(t), sort_keys=True)
     assert [k for k in found if found[k].valid] and sorted(k for k in found if found[k].valid) == [0, 4, 5, 7, 8, 9, 11]
+
+
+def linked(spark, texts, types):
+    calls = spark.createDataFrame([(1, k, None, "f", t) for k, t in enumerate(texts)], "conv_id long, call_id long, parent_id long, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id long, content string")
+    schemas = spark.createDataFrame([("f", [], types)], "name string, required array<string>, types map<string,string>")
+    return [r for r in chat.link_calls(calls, none, schemas).orderBy("call_id").collect()]
+
+
+def test_numbers_stay_or_their_call_is_malformed(spark):
+    kept = ["1.0", "1e2", "12345678901234567890123456789012345678", "-0.5", "1.5e-7", "99999999999999999999"]
+    lost = ["1e400", "123456789012345678901234567890123456789012", "1.23456789012345678e5", "1e-400"]
+    rows = linked(spark, ['{"n": %s}' % n for n in kept + lost], {"n": "number"})
+    for n, r in zip(kept, rows):
+        assert r.valid and json.loads(r.json, parse_float=float, parse_int=float)["arguments"]["n"] == float(n) and json.loads(r.json)["raw"] is None
+        if "e" not in n and "." not in n:
+            assert f'"n":{n}' in r.json
+    for n, r in zip(lost, rows[len(kept) :]):
+        assert not r.valid and json.loads(r.json)["arguments"] is None and json.loads(r.json)["raw"] == '{"n": %s}' % n
+    assert [r.valid for r in linked(spark, ['{"n": 1.0}', '{"n": 1e2}', '{"n": 1.5}', '{"n": 7}'], {"n": "integer"})] == [True, False, False, True]
+
+
+def test_long_numbers_inside_strings_are_text(spark):
+    texts = [json.dumps({"t": t}) for t in ("1" * 60, '1e999 "quoted" \\ 1e999', "\n" * 50_000 + "5" * 50)]
+    assert [(r.valid, json.loads(r.json)["arguments"]) for r in linked(spark, texts, {"t": "string"})] == [(True, json.loads(t)) for t in texts]
+
+
+def test_names_of_any_signs(spark):
+    types = {"o": "object<a-b:integer,c.d:string,e f:boolean>", "x-y": "array<integer>"}
+    good = ['{"o": {"a-b": 1, "c.d": "x", "e f": true}}', '{"x-y": [1, 2]}']
+    bad = ['{"o": {"a-b": "1", "c.d": "x", "e f": true}}', '{"o": {"a-b": 1, "cxd": "x", "e f": true}}', '{"x-y": ["1"]}', '{"x_y": [1]}']
+    assert [r.valid for r in linked(spark, good + bad, types)] == [True] * 2 + [False] * 4
