@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.catalog_sql import EMOTIONS, KEYWORDS, MARKERS, PAIR, SOME, TARGET, VOWELS, WORD, oracle_sql
+from corpusloom.catalog_sql import EMOTIONS, FIRST, KEYWORDS, MARKERS, PAIR, PATTERNS, SOME, TARGET, VOWELS, WORD, oracle_sql
 from corpusloom.functions import features
+from corpusloom.functions.text import token_array
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
-from corpusloom.plans.lexicon import Analysis, analysis_of_documents, stored_corpus
-from corpusloom.sources import files
+from corpusloom.plans.lexicon import Analysis, add_texts, analyse_into, analysis_of_documents, stored_corpus
+from corpusloom.sources import files, store
 from corpusloom.sources.corpus import Corpus, spread, texts_from_documents
 from corpusloom.sources.shared import new_path
 
@@ -170,7 +173,7 @@ def _hits(c: Corpus) -> DataFrame:
 
 
 def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.flag_keywords(ingest.split_sentences(_texts(spark, sf_dir)), KEYWORDS).select("sentence_id", "sentence")
+    return search.flag_keywords(ingest.split_sentences(spread(_texts(spark, sf_dir))), KEYWORDS).select("sentence_id", "sentence")
 
 
 def _concordance(distinct: bool) -> Callable[[SparkSession, str], DataFrame]:
@@ -214,6 +217,100 @@ def text_report(c: Corpus) -> DataFrame:
     return out.withColumn("n_pos_lists", F.size(F.filter(F.map_values("top_pos_stats"), lambda p: p.isNotNull()))).drop("top_pos_stats")
 
 
+def _first_request(c: Corpus) -> Corpus:
+    """The corpus as a request for the words of FIRST left it."""
+    tokens = c.tokens.where(F.col("token").isin(*FIRST))
+    own = tokens.select("text_id", "token_id")
+    return replace(c, tokens=tokens, words=c.words.join(own, ["text_id", "token_id"], "left_semi"), cross=c.cross.join(own, ["text_id", "token_id"], "left_semi"))
+
+
+def second_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that has had one request gets a second one, twice: what it holds in the end, and what the second run added."""
+    path = new_path(spark, "store")
+    store.create_store(spark, _first_request(_corpus(spark, sf_dir)), path)
+    analyse_into(spark, path, REQUEST)
+    version, report_ = analyse_into(spark, path, REQUEST)
+    c = version.corpus(spark)
+    n = lambda df, name: df.groupBy("text_id", "token_id").agg(F.count("*").alias(name))
+    full = c.tokens.join(n(c.words, "n_words"), ["text_id", "token_id"], "left").join(n(c.cross, "n_cross"), ["text_id", "token_id"], "left").join(report_, ["text_id", "token"])
+    return full.select("text_id", "token", "token_count", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_cross", F.lit(0)).alias("n_cross"), "status", F.lit(version.number).alias("version"))
+
+
+def _summary(c: Corpus) -> DataFrame:
+    parts = [getattr(c, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("text_id").alias("ids")) for name in ("texts", "sentences", "tokens", "words", "cross")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stored_drop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German texts dropped from a store: the tables after it, and the rows of the version before, which stays."""
+    path = new_path(spark, "store")
+    first = store.create_store(spark, _corpus(spark, sf_dir), path)
+    last = store.drop_stored_texts(spark, path, first.table(spark, "texts").where("genre = 'de'"))
+    before = _summary(store.read_store(spark, path, first.number)).select("name", F.col("n").alias("n_before"))
+    counted = spark.createDataFrame(sorted(last.rows.items()), "name string, n_counted long")
+    return _summary(last.corpus(spark)).join(before, "name").join(counted, "name")
+
+
+def stored_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One occurrence of every distinct entry removed from a store: what is left per token."""
+    path = new_path(spark, "store")
+    first = store.create_store(spark, _corpus(spark, sf_dir), path)
+    left = store.remove_stored_occurrences(spark, path, first.table(spark, "cross").select("token_id", "sentence_id", "word_id").distinct()).corpus(spark)
+    links = left.cross.groupBy("text_id", "token_id").agg(F.count("*").alias("n"))
+    return left.tokens.join(links, ["text_id", "token_id"], "left").select("text_id", "token", "token_count", F.coalesce("n", F.lit(0)).alias("n_cross"))
+
+
+def added_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the French texts takes in all: sentences per language of what it holds then."""
+    c, path, texts = _corpus(spark, sf_dir), new_path(spark, "store"), _texts(spark, sf_dir)
+    french = c.texts.where("genre = 'fr'")
+    keep = lambda df: df.join(french.select("text_id"), "text_id", "left_semi")
+    store.create_store(spark, Corpus(french, *(keep(df) for df in (c.sentences, c.tokens, c.words, c.cross))), path)
+    full = add_texts(spark, path, texts).corpus(spark)
+    return full.texts.join(full.sentences, "text_id", "left").groupBy("genre").agg(F.countDistinct("text_id").alias("n_texts"), F.count("sentence_id").alias("n_sentences"))
+
+
+def stored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate sentences of pairs that a store hasn't had, with wildcards in the words."""
+    c = _corpus(spark, sf_dir)
+    words = analyse.lemmatise(analyse.parse_search_words(spark, ", ".join(PATTERNS)))
+    pairs = analyse.new_pairs_only(analyse.request_pairs(c.texts.where("genre = 'de'"), words), c.tokens)
+    return analyse.candidate_sentences(c.sentences, pairs).select("sentence_id", F.array_join(F.array_sort("targets"), ",").alias("targets"))
+
+
+def concordance_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was typed is a form of the target in a lexicon, here names of languages; it is what is highlighted."""
+    c = _corpus(spark, sf_dir)
+    lexicon = c.texts.select(F.col("genre").alias("form"), F.lit(TARGET).alias("lemma"))
+    return search.concordance(c.cross, c.words, c.tokens, c.sentences, None, "de", lexicon=lexicon).select("text_id", "sentence_id", "word", "pos", "shown")
+
+
+def _first_words(texts: DataFrame) -> DataFrame:
+    return texts.select(F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)).alias("word")).where("word <> ''").distinct()
+
+
+def emotional_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a lexicon that is a table: the first words of all texts, weighed by their length."""
+    lexicon = _first_words(_texts(spark, sf_dir)).select("word", (F.length("word") % 5 - 2).alias("weight"))
+    rows = _corpus(spark, sf_dir).sentences.select("sentence_id", token_array(F.col("sentence")).alias("tokens"))
+    return features.emotional_scores(rows, lexicon).select("sentence_id", "emotional_score")
+
+
+def many_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that have one of a table of words as a substring: the first words of all texts."""
+    return search.flag_words(_corpus(spark, sf_dir).sentences, _first_words(_texts(spark, sf_dir))).select("sentence_id")
+
+
+def extraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two extractions, counted while they are written."""
+    c, out = _corpus(spark, sf_dir), []
+    for name, rows in (("linked", _hits(c)), ("context", search.sentences_with_context(c.sentences, _hits(c)))):
+        watched, seen = store.counted(rows.select("text_id", "sentence"))
+        files.write_csv(watched, new_path(spark, f"{name}-csv"))
+        out.append((name, seen()))
+    return spark.createDataFrame(out, "name string, n long")
+
+
 def drop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
     left = maintain.drop_texts(c, c.texts.where("genre = 'de'"))
@@ -257,7 +354,7 @@ def _some(tokens: DataFrame) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on = _on_corpus
     return {
-        "split_sentences": lambda s, d: ingest.split_sentences(_texts(s, d)),
+        "split_sentences": lambda s, d: ingest.split_sentences(spread(_texts(s, d))),
         "author_style_stats": author_style_stats,
         "author_overview": lambda s, d: _rounded(features.author_overview(_features(s, d)), "lexical_diversity"),
         "author_list": lambda s, d: features.author_list(_features(s, d)),
@@ -316,6 +413,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_nodes": on(lambda c: report.token_graph(c.texts, c.tokens)[0]),
         "graph_edges": on(lambda c: report.token_graph(c.texts, c.tokens)[1]),
         "drop_texts": drop_texts,
+        "second_analysis": second_analysis,
+        "stored_drop_texts": stored_drop_texts,
+        "stored_removals": stored_removals,
+        "added_texts": added_texts,
+        "stored_candidates": stored_candidates,
+        "concordance_lemma": concordance_lemma,
+        "emotional_lexicon": emotional_lexicon,
+        "many_words": many_words,
+        "extraction_counts": extraction_counts,
         "remove_occurrences": remove_occurrences,
         "explode_links": explode_links,
     }

@@ -5,6 +5,9 @@ from __future__ import annotations
 #: Parameters of the registered queries, chosen for the invented prose of the generated tables.
 KEYWORDS = ("the", "and", "que", "les", "und", "der", "los")
 SOME = ("the", "les")
+#: Words of an earlier request, and words with wildcards.
+FIRST = ("the", "und")
+PATTERNS = ("und", "d_s", "e%x", "sch")
 TARGET = "the"
 WORD = "of"
 PAIR = (10, 11)
@@ -112,7 +115,7 @@ _CONTEXT = """
 near AS (SELECT *, max(hit) OVER ({part} ORDER BY sentence_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM marked)
 SELECT DISTINCT text_id, sentence FROM near WHERE m = 1"""
 _CONCORDANCE = """
-SELECT {distinct} c.text_id, c.sentence_id, c.word, c.pos, CASE WHEN c.word = '' THEN s.sentence ELSE replace(s.sentence, c.word, '<mark>' || c.word || '</mark>') END AS shown
+SELECT {distinct} c.text_id, c.sentence_id, c.word, c.pos, replace(s.sentence, '{typed}', '<mark>{typed}</mark>') AS shown
 FROM crossed c JOIN sentences s USING (sentence_id) WHERE c.token = '{target}'"""
 _SOME = ", ".join(f"'{t}'" for t in SOME)
 
@@ -179,8 +182,9 @@ def oracle_sql() -> dict[str, str]:
         "context_global": _CORPUS + _CONTEXT.format(part=""),
         "keyword_flags": _SENTENCES + f"SELECT sentence_id, sentence FROM sentences WHERE {_FLAG}",
         "keyword_sentences": _CORPUS + f"SELECT s.sentence, x.author, x.genre FROM sentences s JOIN crossed c USING (sentence_id) JOIN texts x ON x.text_id = c.text_id WHERE {_FLAG}",
-        "concordance": _CORPUS + _CONCORDANCE.format(distinct="DISTINCT", target=TARGET),
-        "concordance_all": _CORPUS + _CONCORDANCE.format(distinct="", target=TARGET),
+        "concordance": _CORPUS + _CONCORDANCE.format(distinct="DISTINCT", target=TARGET, typed=TARGET),
+        "concordance_lemma": _CORPUS + _CONCORDANCE.format(distinct="DISTINCT", target=TARGET, typed="de"),
+        "concordance_all": _CORPUS + _CONCORDANCE.format(distinct="", target=TARGET, typed=TARGET),
         "tokens_of_text": _CORPUS + f"SELECT token, token_count FROM tokens WHERE text_id = {a}",
         "words_of_token": _CORPUS + f"SELECT text_id, pos, word, frequency FROM words WHERE token = '{TARGET}'",
         "sentences_of_word": _CORPUS + f""", f AS (SELECT * FROM words WHERE word = '{WORD}' QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY pos, token) = 1)
@@ -231,6 +235,29 @@ def oracle_sql() -> dict[str, str]:
         "remove_occurrences": _CORPUS + """, e AS (SELECT text_id, token, count(*) AS links, count(DISTINCT (sentence_id, pos, word)) AS gone FROM crossed GROUP BY ALL)
             SELECT t.text_id, t.token, greatest(0, t.token_count - coalesce(e.gone, 0)) AS token_count, coalesce(e.links - e.gone, 0) AS n_cross
             FROM tokens t LEFT JOIN e USING (text_id, token)""",
+        "second_analysis": _CORPUS + """, w AS (SELECT text_id, token, count(*) AS n FROM words GROUP BY ALL), c AS (SELECT text_id, token, count(*) AS n FROM crossed GROUP BY ALL)
+            SELECT t.text_id, t.token, t.token_count, coalesce(w.n, 0) AS n_words, coalesce(c.n, 0) AS n_cross, 'exists' AS status, CAST(2 AS INTEGER) AS version
+            FROM tokens t LEFT JOIN w USING (text_id, token) LEFT JOIN c USING (text_id, token)""",
+        "stored_drop_texts": _CORPUS + ", k AS (SELECT text_id FROM texts WHERE genre IS DISTINCT FROM 'de') " + " UNION ALL ".join(
+            f"SELECT '{name}' AS name, count(*) FILTER (WHERE text_id IN (SELECT text_id FROM k)) AS n, CAST(sum(text_id) FILTER (WHERE text_id IN (SELECT text_id FROM k)) AS BIGINT) AS ids, count(*) AS n_before, count(*) FILTER (WHERE text_id IN (SELECT text_id FROM k)) AS n_counted FROM {table}"
+            for name, table in (("texts", "texts"), ("sentences", "sentences"), ("tokens", "tokens"), ("words", "words"), ("cross", "crossed"))
+        ),
+        "stored_removals": _CORPUS + """, e AS (SELECT text_id, token, count(*) AS links, count(DISTINCT (sentence_id, pos, word)) AS gone FROM crossed GROUP BY ALL)
+            SELECT t.text_id, t.token, greatest(0, t.token_count - coalesce(e.gone, 0)) AS token_count, coalesce(e.links - e.gone, 0) AS n_cross
+            FROM tokens t LEFT JOIN e USING (text_id, token)""",
+        "added_texts": _SENTENCES + """SELECT x.genre, count(DISTINCT x.text_id) AS n_texts, count(s.sentence_id) AS n_sentences
+            FROM texts x LEFT JOIN sentences s USING (text_id) GROUP BY x.genre""",
+        "stored_candidates": _SENTENCES + f""", w AS (SELECT unnest([{', '.join(f"'{p}'" for p in PATTERNS if p not in KEYWORDS)}]) AS word)
+            SELECT s.sentence_id, string_agg(w.word, ',' ORDER BY w.word) AS targets FROM sentences s JOIN texts x USING (text_id) JOIN w ON s.sentence ILIKE '%' || w.word || '%'
+            WHERE x.genre = 'de' GROUP BY s.sentence_id""",
+        "emotional_lexicon": _SENTENCES + rf""", l AS (SELECT DISTINCT lower(regexp_extract(text, '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
+            t AS (SELECT sentence_id, lower(unnest(regexp_extract_all(sentence, '{_TOKEN}'))) AS word FROM sentences),
+            v AS (SELECT t.sentence_id, sum(length(l.word) % 5 - 2) AS score FROM t JOIN l USING (word) WHERE l.word <> '' GROUP BY ALL)
+            SELECT s.sentence_id, CAST(coalesce(v.score, 0) AS BIGINT) AS emotional_score FROM sentences s LEFT JOIN v USING (sentence_id)""",
+        "many_words": _SENTENCES + r""", l AS (SELECT DISTINCT lower(regexp_extract(text, '[\p{L}\p{N}_]+')) AS word FROM documents)
+            SELECT sentence_id FROM sentences s WHERE EXISTS (SELECT 1 FROM l WHERE l.word <> '' AND contains(lower(s.sentence), l.word))""",
+        "extraction_counts": _CORPUS + ", near_text AS (" + _CONTEXT.format(part="PARTITION BY text_id").replace(", marked AS", "WITH marked AS", 1) + """)
+            SELECT 'linked' AS name, (SELECT count(*) FROM hits) AS n UNION ALL SELECT 'context', (SELECT count(*) FROM near_text)""",
         "explode_links": """SELECT DISTINCT l_orderkey AS word_id, l_partkey AS sentence_id FROM lineitem
             WHERE (l_orderkey, l_partkey) NOT IN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1)""",
     }

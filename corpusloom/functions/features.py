@@ -40,6 +40,16 @@ def emotional_score(tokens: Column, weights: Mapping[str, int]) -> Column:
     return F.aggregate(scores, F.lit(0), lambda a, x: a + x)
 
 
+def emotional_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "sentence_id", tokens_col: str = "tokens") -> DataFrame:
+    """``df`` with ``emotional_score`` from lexicon(word, weight) of any length: equal words of a sentence are counted before they are joined. A word
+    that the lexicon has twice weighs the least of its weights. Rows need distinct ids; null ids and rows without a listed word score 0."""
+    listed = lexicon.groupBy("word").agg(F.min("weight").cast("long").alias("_weight"))
+    words = df.select(F.col(id_col).alias("_id"), F.explode(F.transform(tokens_col, F.lower)).alias("word")).groupBy("_id", "word").agg(F.count("*").alias("_n"))
+    sums = words.join(listed, "word").groupBy("_id").agg(F.sum(F.col("_n") * F.col("_weight")).alias("_sum"))
+    joined = df.join(sums, F.col(id_col) == F.col("_id"), "left")
+    return joined.select(*df.columns, F.coalesce("_sum", F.lit(0)).cast("long").alias("emotional_score"))
+
+
 def contains_marker(sentence: Column, markers=MARKERS) -> Column:
     edge = r"[^\p{L}\p{N}_]"
     return sentence.rlike(rf"(?iu)(^|{edge})({'|'.join(markers)})($|{edge})")

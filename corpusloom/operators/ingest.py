@@ -9,6 +9,8 @@ from corpusloom.functions.text import sentence_array, strip, text_label
 
 #: Distance of the sentence ids of two texts. An array of so many sentences wouldn't fit the 2 GB of a row, so no text runs out of ids.
 ID_SPAN = 1 << 27
+#: Text ids, or numbers, that have sentence ids are below this, and not below its negative.
+IDS = 1 << 36
 
 
 def new_texts_only(incoming: DataFrame, texts: DataFrame) -> DataFrame:
@@ -26,24 +28,42 @@ def validate_year(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(whole.isNotNull()).select(*trimmed), checked.where(whole.isNull()).select(*df.columns)
 
 
-def split_sentences(texts: DataFrame, *keep: str) -> DataFrame:
+def ids_fit(texts: DataFrame) -> bool:
+    """Whether sentence ids can be made from all text ids as they are; reads the ids alone."""
+    wrong = F.col("text_id").isNull() | ~F.col("text_id").between(-IDS, IDS - 1)
+    return texts.where(wrong).isEmpty()
+
+
+def split_sentences(texts: DataFrame, *keep: str, numbered: bool = False) -> DataFrame:
     """Rows (text_id, pos, sentence_id, sentence) with the columns of the text to keep; the id is text_id * 2**27 + pos, so ids follow the
-    order of texts and places."""
-    found = texts.select("text_id", *keep, F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
-    return found.select("text_id", *keep, "pos", (F.col("text_id") * ID_SPAN + F.col("pos")).alias("sentence_id"), "sentence")
+    order of texts and places. An id that doesn't fit (``ids_fit``) gives null sentence ids; with ``numbered`` the texts' numbers (``numbered_texts``) take
+    the place of their ids there, at the cost of dealing the texts out, so any 64-bit id will do, and none, and ids that repeat."""
+    if numbered:
+        texts = numbered_texts(texts.select("text_id", *({"title"} & set(texts.columns)), *[k for k in keep if k != "title"], "text"))
+    key = "number" if numbered else "text_id"
+    found = texts.select("text_id", *keep, F.col(key).alias("_key"), F.posexplode(sentence_array(F.col("text"))).alias("pos", "sentence"))
+    sentence_id = F.when(F.col("_key").between(-IDS, IDS - 1), F.col("_key") * ID_SPAN + F.col("pos"))
+    return found.select("text_id", *keep, "pos", sentence_id.alias("sentence_id"), "sentence")
 
 
 def list_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:
-    """Texts numbered from 1 by id, equal ids by title. A text's number is its place within its span of ids and the number of texts in spans before it: all
+    """(number, text_id, title) of all texts."""
+    return numbered_texts(texts.select("text_id", "title"), span).select("number", "text_id", "title")
+
+
+def numbered_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:
+    """Texts numbered from 1 by id, equal ids by title, those without id last. A text's number is its place within its span of ids and the number of texts in spans before it: all
     by id alone, so no step depends on how Spark deals rows out, and a task sees one span, or the running sum of spans of spans."""
-    base = texts.select("text_id", "title", F.floor(F.col("text_id") / span).alias("_s"))
+    last = F.lit(1 << 60)  # beyond the span of any id
+    base = texts.withColumn("_s", F.coalesce(F.floor(F.col("text_id") / span), last))
     counts = base.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_w", F.floor(F.col("_s") / span))
     wide = counts.groupBy("_w").agg(F.sum("_n").alias("_m"))
     before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = wide.select("_w", before("_m", "_w").alias("_start"))
     spans = counts.withColumn("_in", before("_n", "_w", "_s")).join(starts, "_w").select("_s", (F.col("_start") + F.col("_in")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_s").orderBy("text_id", "title"))
-    return base.withColumn("_i", within).join(spans, "_s").select((F.col("_i") + F.col("_before")).alias("number"), "text_id", "title")
+    order = [c for c in ("text_id", "title") if c in texts.columns]
+    within = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
+    return base.withColumn("_i", within).join(spans, "_s").select((F.col("_i") + F.col("_before")).alias("number"), *texts.columns)
 
 
 def labelled(texts: DataFrame, with_year: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal, once
+from corpusloom.operators import analyse
 
 #: Fixed value: what a concordance shows where the sentence is missing.
 MISSING = "Текст не найден"
@@ -42,15 +43,15 @@ def sentences_with_context(sentences: DataFrame, hits: DataFrame, before: int =
     base = sentences.select("text_id", "sentence_id", "sentence")
     marks = hits.select("sentence_id").distinct()
     per_text = Window.partitionBy("text_id").orderBy("sentence_id")
+    if scope == "text":
+        marked = base.join(marks.withColumn("_hit", F.lit(True)), "sentence_id", "left")
+        near = F.max("_hit").over(per_text.rowsBetween(-after, before))
+        return marked.withColumn("_near", near).where("_near").dropDuplicates(["text_id", "sentence"]).select("text_id", "sentence")
     placed = base.withColumn("_place", F.row_number().over(per_text).cast("long"))
-    if scope == "global":
-        placed = placed.join(_text_offsets(base), "text_id").withColumn("_place", F.col("_place") + F.col("_before")).drop("_before")
-        keys = ["_place"]
-    else:
-        keys = ["text_id", "_place"]
+    placed = placed.join(_text_offsets(base), "text_id").withColumn("_place", F.col("_place") + F.col("_before")).drop("_before")
     near = F.explode(F.sequence(F.col("_place") - before, F.col("_place") + after)).alias("_place")
-    wanted = placed.join(marks, "sentence_id", "left_semi").select(*[k for k in keys if k != "_place"], near).distinct()
-    return placed.join(wanted, keys, "left_semi").dropDuplicates(["text_id", "sentence"]).select("text_id", "sentence")
+    wanted = placed.join(marks, "sentence_id", "left_semi").select(near).distinct()
+    return placed.join(wanted, "_place", "left_semi").dropDuplicates(["text_id", "sentence"]).select("text_id", "sentence")
 
 
 def _text_offsets(sentences: DataFrame) -> DataFrame:
@@ -87,17 +88,46 @@ def keyword_sentences(sentences: DataFrame, cross: DataFrame, texts: DataFrame,
     return found.join(links, "sentence_id").join(texts.select("text_id", "author", "genre"), "text_id").select("sentence", "author", "genre")
 
 
-def concordance(cross: DataFrame, words: DataFrame, tokens: DataFrame, sentences: DataFrame, text_id: int | None, token: str, distinct: bool = True, tag: str = "mark") -> DataFrame:
-    """Occurrences of a token (of one text, or of all for None) with the collocate highlighted in the sentence."""
-    chosen = tokens.where(F.col("token") == token)
+def words_in_sentences(sentences: DataFrame, words: DataFrame, size: int = 3) -> DataFrame:
+    """Distinct (sentence_id, word) where the sentence has the word, of ``words(word)``, as a substring, in small letters both; for lists of any length.
+
+    Of each word the rarest stretch of ``size`` characters (all of a shorter word) decides which sentences are looked at; what shares it is
+    compared as a whole. The list is joined, not part of the plan, and the join is a broadcast one only as long as Spark finds the list small enough.
+    """
+    low = words.select(F.lower("word").alias("word")).where("word <> ''").distinct()
+    grams = low.withColumn("_n", F.least(F.length("word"), F.lit(size))).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substr("word", i, F.col("_n")))).alias("gram")).distinct()
+    # at most `size` lengths
+    sizes = sorted(r.n for r in low.select(F.least(F.length("word"), F.lit(size)).alias("n")).distinct().collect())
+    small = once(sentences.select("sentence_id", "sentence"), F.lower("sentence").alias("_low"))
+    stretches = lambda n: F.when(F.length("_low") >= n, F.transform(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda i: F.substr("_low", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    listed = F.array_distinct(F.concat(*[stretches(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    found = small.select("sentence_id", "_low", F.explode(listed).alias("gram"))
+    often = found.select("gram").join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = grams.join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rarest = rarest.where("g.n > 0").select("word", "g.gram")
+    return found.join(rarest, "gram").where(F.contains("_low", "word")).select("sentence_id", "word").distinct()
+
+
+def flag_words(sentences: DataFrame, words: DataFrame) -> DataFrame:
+    """As ``flag_keywords``, for a list of any length."""
+    return sentences.join(words_in_sentences(sentences, words), "sentence_id", "left_semi")
+
+
+def concordance(
+    cross: DataFrame, words: DataFrame, tokens: DataFrame, sentences: DataFrame, text_id: int | None, token: str, distinct: bool = True, tag: str = "mark", lexicon: DataFrame | None = None
+) -> DataFrame:
+    """Occurrences of a token (of one text, or of all for None): its lemma, from lexicon(form, lemma), is looked for, and what was typed is highlighted
+    in the sentence wherever it stands just so. An unknown token gives no rows."""
+    typed = tokens.sparkSession.range(1).select(F.lit(0).alias("position"), F.lower(F.lit(token)).alias("word"))
+    chosen = tokens.where(F.col("token") == analyse.request_list(analyse.lemmatise(typed, lexicon))[0].token)
     if text_id is not None:
         chosen = chosen.where(F.col("text_id") == text_id)
     rows = cross.join(chosen.select(*BOTH), BOTH, "left_semi").select("text_id", "sentence_id", "word_id", *([] if distinct else ["cross_id"]))
     if distinct:
         rows = rows.distinct()
     full = rows.join(words.select("text_id", "word_id", "word", "pos"), ["text_id", "word_id"], "left").join(sentences.select("sentence_id", "sentence"), "sentence_id", "left")
-    shown = F.when(F.col("word") == "", F.col("sentence")).otherwise(F.replace("sentence", "word", F.concat(F.lit(f"<{tag}>"), "word", F.lit(f"</{tag}>"))))
-    return full.withColumn("shown", F.when(F.col("sentence").isNull(), MISSING).otherwise(F.coalesce(shown, "sentence"))).drop("sentence")
+    shown = F.replace("sentence", F.lit(token), F.lit(f"<{tag}>{token}</{tag}>"))
+    return full.withColumn("shown", F.when(F.col("sentence").isNull(), MISSING).otherwise(shown)).drop("sentence")
 
 
 def tokens_of_text(tokens: DataFrame, text_id: int) -> DataFrame:
