@@ -14,7 +14,7 @@ from corpusloom.functions import features
 from corpusloom.functions.text import token_array
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
 from corpusloom.plans.lexicon import Analysis, add_texts, analyse_into, analysis_of_documents, stored_corpus
-from corpusloom.sources import files, store
+from corpusloom.sources import files, postings, store
 from corpusloom.sources.corpus import Corpus, spread, texts_from_documents
 from corpusloom.sources.shared import new_path
 
@@ -285,6 +285,20 @@ def concordance_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.concordance(c.cross, c.words, c.tokens, c.sentences, None, "de", lexicon=lexicon).select("text_id", "sentence_id", "word", "pos", "shown")
 
 
+def concordance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concordance of the target from postings that are written and read again."""
+    c, path = _corpus(spark, sf_dir), new_path(spark, "postings")
+    postings.write_postings(c, path)
+    return search.concordance_of_postings(postings.read_postings(spark, path), c.sentences, None, TARGET, distinct=False).select("text_id", "sentence_id", "word", "pos", "shown")
+
+
+def sentences_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as plain files, one for each part of the table, read by ranges of lines: how often each sentence is there."""
+    path = new_path(spark, "texts")
+    _texts(spark, sf_dir).where("text is not null").select(F.col("text").alias("value")).write.text(path)
+    return files.read_sentences(spark, path).groupBy("sentence").agg(F.count("*").alias("n"))
+
+
 def _first_words(texts: DataFrame) -> DataFrame:
     return texts.select(F.lower(F.regexp_extract("text", r"[\p{L}\p{N}_]+", 0)).alias("word")).where("word <> ''").distinct()
 
@@ -422,6 +436,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "emotional_lexicon": emotional_lexicon,
         "many_words": many_words,
         "extraction_counts": extraction_counts,
+        "concordance_index": concordance_index,
+        "sentences_of_files": sentences_of_files,
         "remove_occurrences": remove_occurrences,
         "explode_links": explode_links,
     }

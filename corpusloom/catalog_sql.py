@@ -185,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "concordance": _CORPUS + _CONCORDANCE.format(distinct="DISTINCT", target=TARGET, typed=TARGET),
         "concordance_lemma": _CORPUS + _CONCORDANCE.format(distinct="DISTINCT", target=TARGET, typed="de"),
         "concordance_all": _CORPUS + _CONCORDANCE.format(distinct="", target=TARGET, typed=TARGET),
+        "concordance_index": _CORPUS + _CONCORDANCE.format(distinct="", target=TARGET, typed=TARGET),
+        "sentences_of_files": _SENTENCES + "SELECT sentence, count(*) AS n FROM sentences GROUP BY sentence",
         "tokens_of_text": _CORPUS + f"SELECT token, token_count FROM tokens WHERE text_id = {a}",
         "words_of_token": _CORPUS + f"SELECT text_id, pos, word, frequency FROM words WHERE token = '{TARGET}'",
         "sentences_of_word": _CORPUS + f""", f AS (SELECT * FROM words WHERE word = '{WORD}' QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY pos, token) = 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal, once
@@ -118,14 +118,31 @@ def concordance(
 ) -> DataFrame:
     """Occurrences of a token (of one text, or of all for None): its lemma, from lexicon(form, lemma), is looked for, and what was typed is highlighted
     in the sentence wherever it stands just so. An unknown token gives no rows."""
-    typed = tokens.sparkSession.range(1).select(F.lit(0).alias("position"), F.lower(F.lit(token)).alias("word"))
-    chosen = tokens.where(F.col("token") == analyse.request_list(analyse.lemmatise(typed, lexicon))[0].token)
+    chosen = tokens.where(F.col("token") == lemma_of(tokens.sparkSession, token, lexicon))
     if text_id is not None:
         chosen = chosen.where(F.col("text_id") == text_id)
     rows = cross.join(chosen.select(*BOTH), BOTH, "left_semi").select("text_id", "sentence_id", "word_id", *([] if distinct else ["cross_id"]))
     if distinct:
         rows = rows.distinct()
-    full = rows.join(words.select("text_id", "word_id", "word", "pos"), ["text_id", "word_id"], "left").join(sentences.select("sentence_id", "sentence"), "sentence_id", "left")
+    return _shown(rows.join(words.select("text_id", "word_id", "word", "pos"), ["text_id", "word_id"], "left"), sentences, token, tag)
+
+
+def concordance_of_postings(postings: DataFrame, sentences: DataFrame, text_id: int | None, token: str, distinct: bool = True, tag: str = "mark", lexicon: DataFrame | None = None) -> DataFrame:
+    """The same from stored postings: only row groups that have the token are read, and nothing but sentences is joined."""
+    rows = postings.where(F.col("token") == lemma_of(postings.sparkSession, token, lexicon))
+    rows = rows if text_id is None else rows.where(F.col("text_id") == text_id)
+    rows = rows.select("text_id", "word_id", "sentence_id", *([] if distinct else ["cross_id"]), "word", "pos")
+    return _shown(rows.distinct() if distinct else rows, sentences, token, tag)
+
+
+def lemma_of(spark: SparkSession, typed: str, lexicon: DataFrame | None = None) -> str:
+    """The lemma of one typed word."""
+    word = spark.range(1).select(F.lit(0).alias("position"), F.lower(F.lit(typed)).alias("word"))
+    return analyse.request_list(analyse.lemmatise(word, lexicon))[0].token
+
+
+def _shown(rows: DataFrame, sentences: DataFrame, token: str, tag: str) -> DataFrame:
+    full = rows.join(sentences.select("sentence_id", "sentence"), "sentence_id", "left")
     shown = F.replace("sentence", F.lit(token), F.lit(f"<{tag}>{token}</{tag}>"))
     return full.withColumn("shown", F.when(F.col("sentence").isNull(), MISSING).otherwise(shown)).drop("sentence")
 

@@ -64,9 +64,26 @@ def write_corpus_jdbc(corpus: Corpus, url: str, properties: dict[str, str], conn
         getattr(corpus, f.name).write.option("numPartitions", connections).jdbc(url, (names or {}).get(f.name, f.name), mode=mode, properties=properties)
 
 
-def read_corpus_jdbc(spark: SparkSession, url: str, properties: dict[str, str], bounds: dict[str, tuple[str, int, int, int]], names: dict[str, str] | None = None) -> Corpus:
+def jdbc_bounds(spark: SparkSession, url: str, properties: dict[str, str], names: dict[str, str] | None = None, rows_a_task: int = 1_000_000, column: str = '"text_id"') -> dict[str, tuple[str, int, int, int]]:
+    """Bounds for ``read_corpus_jdbc``: the database tells the least and largest text id and the number of rows of each table; a table of few rows has none.
+    ``column`` is the text id as the database quotes names; Spark's writer keeps small letters."""
+    out = {}
+    for name in SCHEMAS:
+        asked = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi, COUNT(*) AS n FROM {(names or {}).get(name, name)}) b"
+        lo, hi, n = spark.read.jdbc(url, asked, properties=properties).first()
+        parts = -(-n // rows_a_task)
+        if parts > 1 and lo is not None and hi > lo:
+            out[name] = ("text_id", lo, hi, parts)
+    return out
+
+
+def read_corpus_jdbc(
+    spark: SparkSession, url: str, properties: dict[str, str], bounds: dict[str, tuple[str, int, int, int]] | None = None, names: dict[str, str] | None = None, rows_a_task: int = 1_000_000
+) -> Corpus:
     """The tables from a relational database; ``bounds`` names per table the partition column, its lowest and highest value and the
-    number of partitions. Credentials come from the caller's ``properties``. A table without bounds is read by one task."""
+    number of partitions. Credentials come from the caller's ``properties``. A table without bounds is read by one task; where ``bounds`` is left out, the
+    database is asked for them, so that tasks have some ``rows_a_task`` each where ids are dense."""
+    bounds = jdbc_bounds(spark, url, properties, names, rows_a_task) if bounds is None else bounds
     out = {}
     for name in SCHEMAS:
         table = (names or {}).get(name, name)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import clean_text
+from corpusloom.functions.text import clean_text, sentence_array
 
 SENTENCE_CSV = "TextID long, Author string, Title string, Sentence string"
 METRICS_CSV = (
@@ -22,6 +22,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("path"), clean_text(F.col("value")).alias("text"))
 
 
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, sentence) of UTF-8 files of any size: those of ``split_sentences`` over whole texts, without a row that holds a whole file.
+
+    No sentence goes beyond its line, so files are read by ranges of lines, which Spark cuts at ``spark.sql.files.maxPartitionBytes``. A place is the place within
+    its range and the sentences of the ranges before it; one task sees one range, or the counts of one file's ranges. A single line has to fit a row.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    found = lines.select(*place, F.posexplode(sentence_array(F.translate("value", "\x00", ""))).alias("_nth", "sentence"))
+    counts = found.groupBy("path", "_block").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("path").alias("_path"), F.col("_block").alias("_start"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_line", "_nth"))
+    placed = found.withColumn("_i", within).join(before, (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_start")))
+    return placed.select("path", (F.col("_before") + F.col("_i") - 1).alias("pos"), "sentence")
+
+
 def parse_catalogue(lines: DataFrame) -> DataFrame:
     """Rows (text_id, title, author, genre, year_from, year_to) of ``lines(n long, value string)``: ``N. Title / Author[ / genre] / year``.
 
