@@ -97,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, limit:
     """The documents with ``_mix_copies``, how often the mix takes each (0 included), beside their own columns.
 
     Null or empty texts have size 0, follow their hash like others and never use up a budget. Rows with the same id share
-    one hash and are taken together. A null source is a source of its own. Empty input gives an empty result.
+    one hash and are taken together. A null source is a source of its own. Empty input gives an empty result. Texts of any
+    length are counted whole; only columns whose names begin with _mix_ clash.
     """
     sizes = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
     bound = thresholds(sizes, source_targets(sizes, weights, share, limit))
@@ -118,7 +119,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, so none, one or more rows in its own columns; cases as in ``mix``."""
     return mixed_documents(docs)
 
 

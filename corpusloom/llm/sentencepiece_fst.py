@@ -340,7 +340,8 @@ def transducer(path: str) -> Transducer:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) per row: piece ids of the whole text; null and empty texts give an empty list, repeated rows stay."""
+    """(doc_id, ids) per row: piece ids of the whole text; null and empty texts give an empty list, repeated rows stay. A text of any length is
+    encoded as a whole; an empty table gives no rows; further columns, whatever their names, are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusloom.llm.token_files import id_lists
@@ -408,5 +409,5 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: what the encoder makes of each row, with a digest of the ids."""
+    """The pipeline's last stage: what the encoder makes of each row, with a digest of the ids; rows as in ``encode``."""
     return digests(encode(docs, _model()), _model())

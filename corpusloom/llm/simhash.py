@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     """One row per document: doc_id, th, fp, root, component_id.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows are documents of their own. Null ids
-    take part but never name a component.
+    take part but never name a component. Texts of any length are read whole; empty tables give no rows; further columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
     return prints.join(classes(prints, distance), "fp").select("doc_id", "th", "fp", "root", "component_id")
@@ -220,7 +220,7 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, repeated rows and texts without words among them; only columns whose names begin with _keep_ clash."""
     return one_of_each(docs)
 
 

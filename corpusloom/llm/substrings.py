@@ -337,7 +337,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated passages; rows stay, texts that lose nothing stay as they are."""
+    """The documents without their repeated passages; rows stay, texts that lose nothing (null ones, too) stay as they are."""
     out = without_repeats(docs, rejoin=False)
     if "n_chars" in docs.columns:
         size = F.when(F.col("_sub_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))

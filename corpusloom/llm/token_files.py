@@ -195,7 +195,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty, so every row gets at least the end id; rows with equal ids stand in the order of their texts."""
+    """Null texts count as empty, so every row gets at least the end id; rows with equal ids stand in the order of their texts, repeated ones side by
+    side. A text of any length is one row of ids; an empty table gives no rows; further columns, whatever their names, are ignored."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -271,7 +271,8 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
     """The rows of ``docs`` with ``_tox_score`` (0 to 1, higher: likelier toxic) beside their own columns.
 
     Null and empty texts get the score of a text without features. Rows with equal texts get equal scores. Repeated labels of
-    one document count as toxic if one of them does; where no label of one class is left, each score is the share of toxic ones.
+    one document count as toxic if one of them does; where no label of one class is left, each score is the share of toxic ones. Texts of any
+    length are read whole, one at a time; empty tables give no rows; only a column named _tox_score clashes.
     """
     bounded_batches(docs.sparkSession)
     model = trigram_model(trigram_counts(docs, text_col))
@@ -301,6 +302,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected."""
+    """The documents that are not rejected, in their own columns; null and empty texts stay as a text without features does, repeated rows together."""
     rows = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rows.where(F.col("_tox_score") < THRESHOLD).select(*docs.columns)
