@@ -20,7 +20,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again as the next one's documents."""
+    """All stages over documents; what a stage returns is written and read again as the next one's documents.
+
+    Null and empty texts go through every stage; repeated rows are near copies, of which one stays; a text of any length is one row throughout; an empty
+    table gives no rows. Columns beside those of documents stay up to the last stage; names that begin with _tox_, _keep_, _sub_ or _mix_ clash.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
