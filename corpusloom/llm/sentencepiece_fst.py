@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_batches, text_of
+from corpusloom.llm.common import bounded_batches, text_of, tidied
 from corpusloom.llm.token_files import in_portions
 
 MARK = "▁"
@@ -318,6 +318,12 @@ class Transducer:
             text = re.sub(" {2,}", " ", text.strip(" "))
         return self.prefix + text.replace(" ", MARK) if text else ""
 
+    def forget(self) -> None:
+        """Gives up the kept paths, at the end of a task."""
+        self.kept.clear()
+        self.kept.older = {}
+        self.fits.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if len(self.fits) > KEPT_FITS:
@@ -352,9 +358,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for texts in in_portions(batch.column(1).to_pylist(), len, PORTION):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), id_lists([own.encode(t) for t in texts])], names=["doc_id", "ids"])
                 at += len(texts)
+        own.forget()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

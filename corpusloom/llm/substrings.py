@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_batches, text_of, with_fields
+from corpusloom.llm.common import bounded_batches, text_of, tidied, with_fields
 
 WINDOW = 35
 #: Words of a task, and rows of a shuffle partition, that are looked at together before rows are shipped.
@@ -249,6 +249,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, text_col: str = "tex
                     yield text.n, _rows_of(i, th, key=text.sequences(first)[at], chk=text.sequences(second)[at], seg=text.stretches(pos, pos + cnt - 1 + window), pos=pos, cnt=cnt)
 
         yield from _shipped(found(), None)
+        _hashes.clear()
 
     def double(batches):
         for rows in _groups(batches):
@@ -293,13 +294,13 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, text_col: str = "tex
         return runs.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th")).agg(F.collect_set(F.struct(*fields)).alias("_sub_runs"))
 
     bounded_batches(rows.sparkSession)
-    level_1 = by_key(rows.mapInArrow(anchors, ROW))
-    level_2 = by_key(level_1.mapInArrow(double, ROW))
-    stretches = level_2.mapInArrow(extend, RUN)
+    level_1 = by_key(rows.mapInArrow(tidied(anchors), ROW))
+    level_2 = by_key(level_1.mapInArrow(tidied(double), ROW))
+    stretches = level_2.mapInArrow(tidied(extend), RUN)
     open_ = of_each(stretches.where(F.col("kind") != SETTLED), "pos", "cnt", "kind")
     # all columns go along, so that this join and the last one deal the texts out once
-    windows = rows.join(open_, ["_sub_id", "_sub_th"]).select(*rows.columns, "_sub_runs").mapInArrow(whole, ROW)
-    found = stretches.where(F.col("kind") == SETTLED).unionByName(by_key(windows).mapInArrow(compared, RUN))
+    windows = rows.join(open_, ["_sub_id", "_sub_th"]).select(*rows.columns, "_sub_runs").mapInArrow(tidied(whole), ROW)
+    found = stretches.where(F.col("kind") == SETTLED).unionByName(by_key(windows).mapInArrow(tidied(compared), RUN))
     return of_each(found, "pos", "cnt")
 
 
@@ -333,7 +334,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     docs_columns, rows = docs.columns, keyed(docs, id_col, text_col)
     found = repeated_windows(rows, window, text_col)
     joined = rows.join(found, ["_sub_id", "_sub_th"], "left").select(*docs_columns, "_sub_runs")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidied(cut), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

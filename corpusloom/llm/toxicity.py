@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bounded_batches, text_of, with_fields
+from corpusloom.llm.common import bounded_batches, text_of, tidied, with_fields
 from corpusloom.sources.shared import materialise
 
 #: Bounds of what is fitted: labelled rows that teach (chosen by hash of their id), and features.
@@ -85,7 +85,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["code", "n"])
 
-    return docs.select(text_of(text_col)).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(text_col)).mapInArrow(tidied(count), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def trigram_model(counts: DataFrame) -> np.ndarray:
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
             probability = 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probability)], names=[*batch.schema.names, "_tox_score"])
 
-    return docs.mapInArrow(score, with_fields(docs, _tox_score="double"))
+    return docs.mapInArrow(tidied(score), with_fields(docs, _tox_score="double"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
