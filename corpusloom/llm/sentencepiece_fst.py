@@ -3,7 +3,8 @@
 Three machines are compiled from the model file: the normaliser (rewriting rules by longest match, white space squeezed where the model asks
 for it, blanks to the word mark, a mark before the text), the piece
 lexicon with a byte loop for characters that no piece holds, and an acceptor over neighbouring pieces. Their composition with
-an input is searched left to right for the shortest path in the tropical semiring. For a unigram model an arc costs minus
+an input is expanded as far as the search for the shortest path in the tropical semiring goes, which is one routine for all models. The normaliser gives every
+input one output at no cost, so composing with it is taking that output. For a unigram model an arc costs minus
 the piece's score and every neighbour is accepted. For a BPE model pieces cost nothing and the acceptor gives infinity to
 neighbours that the merge order would have joined or split otherwise; one path stays finite, and it is the library's encoding.
 
@@ -18,6 +19,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
 from struct import pack
 
 import numpy as np
@@ -32,8 +34,8 @@ MARK = "▁"
 #: Stretches of one generation of a worker's memory of paths. A full generation becomes the older one, and what is asked for
 #: again moves on from there, so frequent stretches stay while rare ones go.
 KEPT_STRETCHES = 200_000
-#: Left neighbours whose accepted right ones a worker remembers; each has a row of them.
-KEPT_FITS = 30_000
+#: Left neighbours whose weights with right ones a worker remembers; each has a row of them.
+KEPT_JOINS = 30_000
 PORTION = 4 << 20
 
 
@@ -175,7 +177,11 @@ class Transducer:
             self.out[i] = bytes([byte])
         self.bytes_of = np.isin(np.arange(len(self.names)), list(self.byte_id.values()))
         self.spines: dict[str, tuple | None] = {}
-        self.fits: dict[str | None, dict[str, bool]] = {}
+        self.joins: dict[str, dict[str, float]] = {}
+        # a queue by cost wants weights of 0 and more: every path of a stretch pays the same extra for its characters
+        extra = 0.0 if self.merges else max(0.0, -self.worst, *(self.score[i] / len(p) for p, i in self.pieces.items()))
+        self.arcs = {p: 0.0 if self.merges else extra * len(p) - self.score[i] for p, i in self.pieces.items()}
+        self.byte_arc = 0.0 if self.merges else extra + self.worst
         self.kept = _Paths(self)
 
     def _rank(self, piece: str) -> float:
@@ -229,10 +235,16 @@ class Transducer:
     def _bytes(self, character: str) -> list[int]:
         return [self.byte_id.get(b, self.unknown) for b in character.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
+    def _join(self, before: str, symbol: str) -> float:
+        """Weight of two neighbours: nothing, or infinity where merging would have joined or split them otherwise."""
+        if self._spine(symbol) is None or (before and not self._accepts(before, symbol)):
+            return math.inf
+        return 0.0
+
     def shortest_path(self, stretch: str) -> list[int]:
         """Ids on the cheapest path of the stretch; of equal costs the longer last piece."""
         ids = []
-        for symbol in (self._accepted if self.merges else self._weighted)(stretch):
+        for symbol in self._search(stretch):
             i = self.pieces.get(symbol)
             if i is None:
                 if self.byte_id or ids[-1:] != [self.unknown]:  # a run of unknown characters is one unknown piece
@@ -241,74 +253,61 @@ class Transducer:
                 ids.append(i)
         return ids
 
-    def _accepted(self, stretch: str) -> list[str]:
-        """Arcs of weight 0, neighbours by the acceptor: one path is finite, and each place lies on one path from the start at most.
+    def _search(self, stretch: str) -> list[str]:
+        """The symbols of the shortest path, for either kind of model.
 
-        So the search goes depth first, the longest piece first, and never tries a place again that led nowhere.
+        A state is a place and what the acceptor remembers: the last symbol of a BPE model, nothing of a unigram model. Either way one state of a place
+        can have a finite cost at most: what comes before a place has one encoding by merges. Arcs come out of the queue by cost,
+        of equal costs the one that leads furthest, so what weighs nothing is followed in depth. What the acceptor adds is asked for only when an
+        arc comes out, and the first one that comes out for a state is the cheapest.
         """
-        n = len(stretch)
-        state, fits = self.states.get, self.fits
-        reached = bytearray(n + 1)
-        path: list = []
-        open_: list = []
-        at, fresh = 0, True
+        n, state, arcs, joins, merges = len(stretch), self.states.get, self.arcs, self.joins, self.merges
+        symbols, parents = [""], [0]  # one entry for each state that has been reached
+        queue: list[tuple[float, int, int]] = []  # arcs as (cost, what is left after the end * n + start, state that it leaves)
+        settled = bytearray(n + 1)
+        at, cost, context = 0, 0.0, ""
         while at < n:
-            if fresh:  # a place reached for the first time: the pieces from here, the longest last
-                arcs, end = [], at + 1
-                while end <= n:
-                    piece = state(stretch[at:end])
-                    if piece:
-                        arcs.append(piece)
-                    elif piece is None:
-                        break
-                    end += 1
-                open_.append(arcs or [None])
-            arcs, before, fresh = open_[-1], path[-1] if path else None, True
-            row = fits.get(before)
-            if row is None:
-                row = fits[before] = {}
-            while arcs:
-                piece = arcs.pop()
-                if piece is None:  # no piece holds this character: bytes
-                    path.append(stretch[at])
-                    at += 1
+            leaving, first = len(parents) - 1, stretch[at]
+            arc = None if first in arcs else (cost + self.byte_arc, (n - at - 1) * n + at, leaving)
+            for end in range(at + 1, n + 1):
+                piece = state(stretch[at:end])
+                if piece:
+                    if arc:
+                        heappush(queue, arc)
+                    arc = (cost + arcs[piece], (n - end) * n + at, leaving)
+                elif piece is None:
                     break
-                end = at + len(piece)
-                if reached[end]:
+            while True:
+                if arc:
+                    cost, order, leaving = heappushpop(queue, arc)
+                    arc = None
+                elif queue:
+                    cost, order, leaving = heappop(queue)
+                else:
+                    raise ValueError("no path reaches the end of a stretch")
+                left, start = divmod(order, n)
+                at = n - left
+                if settled[at]:
                     continue
-                ok = row.get(piece)
-                if ok is None:
-                    ok = row[piece] = self._spine(piece) is not None and (before not in self.pieces or self._accepts(before, piece))
-                if ok:
-                    reached[end] = 1
-                    path.append(piece)
-                    at = end
-                    break
-            else:
-                open_.pop()
-                if not path:
-                    raise ValueError("the model's merges don't reach the end of a stretch")
-                at, fresh = at - len(path.pop()), False
-        return path
-
-    def _weighted(self, stretch: str) -> list[str]:
-        """Arcs weigh minus the score of their piece; bytes cost more than any piece."""
-        n = len(stretch)
-        cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                piece = self.states.get(stretch[start:end])
-                if piece is None:
-                    break
-                i = self.pieces.get(piece)
-                if i is not None and cost[start] - self.score[i] < cost[end]:
-                    cost[end], back[end] = cost[start] - self.score[i], start
-            if stretch[start] not in self.pieces and cost[start] + self.worst < cost[start + 1]:
-                cost[start + 1], back[start + 1] = cost[start] + self.worst, start
-        path, at = [], n
-        while at:
-            path.append(stretch[back[at] : at])
-            at = back[at]
+                symbol = stretch[start:at]
+                if merges:
+                    context = symbols[leaving]
+                    row = joins.get(context)
+                    if row is None:
+                        row = joins[context] = {}
+                    added = row.get(symbol)
+                    if added is None:
+                        added = row[symbol] = self._join(context, symbol)
+                    if added:
+                        continue
+                settled[at] = 1
+                symbols.append(symbol)
+                parents.append(leaving)
+                break
+        path, k = [], len(parents) - 1
+        while k:
+            path.append(symbols[k])
+            k = parents[k]
         return path[::-1]
 
     def normalised(self, text: str) -> str:
@@ -322,12 +321,12 @@ class Transducer:
         """Gives up the kept paths, at the end of a task."""
         self.kept.clear()
         self.kept.older = {}
-        self.fits.clear()
+        self.joins.clear()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        if len(self.fits) > KEPT_FITS:
-            self.fits.clear()
+        if len(self.joins) > KEPT_JOINS:
+            self.joins.clear()
         return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.normalised(text))))
 
     def decode(self, ids: list[int]) -> str:

@@ -108,7 +108,29 @@ def test_the_cheapest_of_all_paths_is_found(tmp_path):
                 yield from ((cost - own.score[own.pieces[text[:end]]], (text[:end], *path)) for cost, path in every(text[end:]))
 
     for text in ("abcdabcd", "▁abcdab", "dabcab.", "bcbcbcbc", "abcabcd"):
-        assert own._weighted(text) == list(min(every(text))[1])
+        assert own._search(text) == list(min(every(text))[1])
+
+
+def test_scores_above_zero(tmp_path):
+    rng = random.Random(5)
+    path = unigram_model(tmp_path / "p.model", {p: s + 9.5 for p, s in PIECES.items()}, True)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), fst.Transducer(path)
+    for text in ["abcdabcd", "fi1é."] + ["".join(rng.choice("aabbccdd. x\nfi1") for _ in range(rng.randint(1, 40))) for _ in range(200)]:
+        assert list(unpack(f"<{len(own.encode(text)) // 4}i", own.encode(text))) == library.encode(text), text
+
+
+def test_the_acceptor_leaves_one_finite_path():
+    own = fst.Transducer(MODEL)
+
+    def finite(text, before=""):
+        if not text:
+            yield ()
+        for end in range(1, len(text) + 1):
+            if (text[:end] in own.pieces or end == 1) and own._join(before, text[:end]) == 0.0:
+                yield from ((text[:end], *path) for path in finite(text[end:], text[:end]))
+
+    for text in ("▁the", "▁thethe", "▁unreadable", "▁x汉\u0378y", "aaaaaaa", "▁▁▁", "...,,"):
+        assert [own._search(text)] == [list(path) for path in finite(text)], text
 
 
 def test_normalisers_are_compiled(tmp_path):
