@@ -19,7 +19,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from heapq import heappop, heappush, heappushpop
 from struct import pack
 
 import numpy as np
@@ -139,6 +138,28 @@ class _Paths(dict):
         return found
 
 
+class _Row(dict):
+    """Weights of one left neighbour with right ones, worked out when first asked for."""
+
+    def __init__(self, machine: Transducer, left: str):
+        self.machine, self.left = machine, left
+
+    def __missing__(self, right: str) -> float:
+        self[right] = found = self.machine._join(self.left, right)
+        return found
+
+
+class _Joins(dict):
+    """A row for each left neighbour."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+
+    def __missing__(self, left: str) -> _Row:
+        self[left] = row = _Row(self.machine, left)
+        return row
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -177,11 +198,9 @@ class Transducer:
             self.out[i] = bytes([byte])
         self.bytes_of = np.isin(np.arange(len(self.names)), list(self.byte_id.values()))
         self.spines: dict[str, tuple | None] = {}
-        self.joins: dict[str, dict[str, float]] = {}
-        # a queue by cost wants weights of 0 and more: every path of a stretch pays the same extra for its characters
-        extra = 0.0 if self.merges else max(0.0, -self.worst, *(self.score[i] / len(p) for p, i in self.pieces.items()))
-        self.arcs = {p: 0.0 if self.merges else extra * len(p) - self.score[i] for p, i in self.pieces.items()}
-        self.byte_arc = 0.0 if self.merges else extra + self.worst
+        self.joins = _Joins(self)
+        self.arcs = {p: 0.0 if self.merges else -self.score[i] for p, i in self.pieces.items()}
+        self.byte_arc = 0.0 if self.merges else self.worst
         self.kept = _Paths(self)
 
     def _rank(self, piece: str) -> float:
@@ -243,72 +262,48 @@ class Transducer:
 
     def shortest_path(self, stretch: str) -> list[int]:
         """Ids on the cheapest path of the stretch; of equal costs the longer last piece."""
-        ids = []
-        for symbol in self._search(stretch):
-            i = self.pieces.get(symbol)
-            if i is None:
-                if self.byte_id or ids[-1:] != [self.unknown]:  # a run of unknown characters is one unknown piece
-                    ids += self._bytes(symbol)
-            else:
-                ids.append(i)
-        return ids
+        symbols = self._search(stretch)
+        ids = list(map(self.pieces.get, symbols))
+        if None not in ids:
+            return ids
+        out = []
+        for symbol, i in zip(symbols, ids, strict=True):
+            if i is not None:
+                out.append(i)
+            elif self.byte_id or out[-1:] != [self.unknown]:  # a run of unknown characters is one unknown piece
+                out += self._bytes(symbol)
+        return out
 
     def _search(self, stretch: str) -> list[str]:
         """The symbols of the shortest path, for either kind of model.
 
         A state is a place and what the acceptor remembers: the last symbol of a BPE model, nothing of a unigram model. Either way one state of a place
-        can have a finite cost at most: what comes before a place has one encoding by merges. Arcs come out of the queue by cost,
-        of equal costs the one that leads furthest, so what weighs nothing is followed in depth. What the acceptor adds is asked for only when an
-        arc comes out, and the first one that comes out for a state is the cheapest.
+        can have a finite cost at most: what comes before a place has one encoding by merges. Places are taken in order, so the
+        cost of a state is settled when its arcs are followed; what the acceptor adds is asked for only where an arc would be cheaper without it.
         """
         n, state, arcs, joins, merges = len(stretch), self.states.get, self.arcs, self.joins, self.merges
-        symbols, parents = [""], [0]  # one entry for each state that has been reached
-        queue: list[tuple[float, int, int]] = []  # arcs as (cost, what is left after the end * n + start, state that it leaves)
-        settled = bytearray(n + 1)
-        at, cost, context = 0, 0.0, ""
-        while at < n:
-            leaving, first = len(parents) - 1, stretch[at]
-            arc = None if first in arcs else (cost + self.byte_arc, (n - at - 1) * n + at, leaving)
-            for end in range(at + 1, n + 1):
-                piece = state(stretch[at:end])
+        costs, last = [0.0] + [math.inf] * n, [""] * (n + 1)
+        for start, cost in enumerate(costs):
+            if cost == math.inf or start == n:
+                continue
+            row = joins[last[start]] if merges else None
+            if stretch[start] not in arcs and cost + self.byte_arc < costs[start + 1] and not (merges and row[stretch[start]]):
+                costs[start + 1], last[start + 1] = cost + self.byte_arc, stretch[start]
+            for end in range(start + 1, n + 1):
+                piece = state(stretch[start:end])
                 if piece:
-                    if arc:
-                        heappush(queue, arc)
-                    arc = (cost + arcs[piece], (n - end) * n + at, leaving)
+                    total = cost + arcs[piece]
+                    if total < costs[end] and not (merges and row[piece]):
+                        costs[end], last[end] = total, piece
                 elif piece is None:
                     break
-            while True:
-                if arc:
-                    cost, order, leaving = heappushpop(queue, arc)
-                    arc = None
-                elif queue:
-                    cost, order, leaving = heappop(queue)
-                else:
-                    raise ValueError("no path reaches the end of a stretch")
-                left, start = divmod(order, n)
-                at = n - left
-                if settled[at]:
-                    continue
-                symbol = stretch[start:at]
-                if merges:
-                    context = symbols[leaving]
-                    row = joins.get(context)
-                    if row is None:
-                        row = joins[context] = {}
-                    added = row.get(symbol)
-                    if added is None:
-                        added = row[symbol] = self._join(context, symbol)
-                    if added:
-                        continue
-                settled[at] = 1
-                symbols.append(symbol)
-                parents.append(leaving)
-                break
-        path, k = [], len(parents) - 1
-        while k:
-            path.append(symbols[k])
-            k = parents[k]
-        return path[::-1]
+        if costs[n] == math.inf:
+            raise ValueError("no path reaches the end of a stretch")
+        symbols, at = [], n
+        while at:
+            symbols.append(last[at])
+            at -= len(last[at])
+        return symbols[::-1]
 
     def normalised(self, text: str) -> str:
         if self.rewriter:
