@@ -159,6 +159,13 @@ def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed_tokens(files.read_metrics_csv(spark, path)).withColumn("n_pos_lists", lists).drop("top_pos_stats")
 
 
+def wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table of texts, a column for each rank, as CSV and read back."""
+    c, path = _corpus(spark, sf_dir), new_path(spark, "wide-csv")
+    files.write_csv(_rounded(ranking.analytical_table(c.sentences, c.cross, c.tokens, c.words), "avg_words"), path)
+    return files.read_wide_csv(spark, path)
+
+
 def graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph written as node and edge files: edges joined to the labels of both ends."""
     c, path = _corpus(spark, sf_dir), new_path(spark, "graph")
@@ -378,6 +385,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalogue": catalogue,
         "sentence_csv": sentence_csv,
         "metrics_csv": metrics_csv,
+        "wide_csv": wide_csv,
         "graph_files": graph_files,
         "remove_cross": remove_cross,
         "sentence_annotation": sentence_annotation,

@@ -125,6 +125,8 @@ def oracle_sql() -> dict[str, str]:
         f"max(CASE WHEN rank = {i} THEN token END) AS \"Top{i}_Token\", max(CASE WHEN rank = {i} THEN total END) AS \"Top{i}_Count\"" for i in range(1, 6)
     )
     pivot_pos = ", ".join(f"max(CASE WHEN rank = {i} THEN pos END) AS \"POS{i}\", max(CASE WHEN rank = {i} THEN total END) AS \"POS{i}_Count\"" for i in range(1, 6))
+    wide = _CORPUS + _TOTALS + _JOINED + f""", pt AS (SELECT text_id, {pivot} FROM ranked GROUP BY text_id), pp AS (SELECT text_id, {pivot_pos} FROM pos_ranked GROUP BY text_id)
+        SELECT * FROM joined JOIN avg_w USING (text_id) LEFT JOIN pt USING (text_id) LEFT JOIN pp USING (text_id)"""
     a, b = PAIR
     return {
         "split_sentences": _SENTENCES + "SELECT text_id, pos, sentence_id, sentence FROM sentences",
@@ -204,8 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "top_tokens": _CORPUS + _TOTALS + "SELECT text_id, token, total, rank FROM ranked",
         "pos_totals": _CORPUS + _TOTALS + "SELECT text_id, pos, total FROM pos_sums",
         "top_pos": _CORPUS + _TOTALS + "SELECT text_id, pos, total, rank FROM pos_ranked",
-        "analytical_table": _CORPUS + _TOTALS + _JOINED + f""", pt AS (SELECT text_id, {pivot} FROM ranked GROUP BY text_id), pp AS (SELECT text_id, {pivot_pos} FROM pos_ranked GROUP BY text_id)
-            SELECT * FROM joined JOIN avg_w USING (text_id) LEFT JOIN pt USING (text_id) LEFT JOIN pp USING (text_id)""",
+        "analytical_table": wide,
+        "wide_csv": wide,
         "compare_texts": _CORPUS + f""", b AS (SELECT *, row_number() OVER (PARTITION BY pos, text_id ORDER BY frequency DESC, word) AS rn FROM words
               WHERE token IN ({_SOME}) AND text_id IN ({a}, {b}) QUALIFY rn <= 5)
             SELECT pos, coalesce(string_agg(word || ' (' || frequency || ')', ', ' ORDER BY rn) FILTER (WHERE text_id = {a}), '') AS words_a,

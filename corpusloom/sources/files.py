@@ -76,6 +76,12 @@ def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     return parse_json_columns(read_csv(spark, path, METRICS_CSV))
 
 
+def read_wide_csv(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The wide table of texts with its n top tokens and n top parts of speech side by side, as ``analytical_table`` has them."""
+    ranks = [f"{name} {kind}" for names in (("Top{}_Token", "Top{}_Count"), ("POS{}", "POS{}_Count")) for form, kind in zip(names, ("string", "long"), strict=True) for name in (form.format(i) for i in range(1, n + 1))]
+    return read_csv(spark, path, ", ".join(["text_id long, total_sentences long, token_sentences long, avg_words double", *ranks]))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Part files with header; nested columns must be strings by now."""
     df.write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
