@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentence_array, strip, text_label
@@ -11,6 +11,8 @@ from corpusloom.functions.text import sentence_array, strip, text_label
 ID_SPAN = 1 << 27
 #: Text ids, or numbers, that have sentence ids are below this, and not below its negative.
 IDS = 1 << 36
+#: Bits of an id within its span, of a span within its span of spans, and of that within the next.
+SPAN_BITS = (10, 17, 18)
 
 
 def new_texts_only(incoming: DataFrame, texts: DataFrame) -> DataFrame:
@@ -46,21 +48,35 @@ def split_sentences(texts: DataFrame, *keep: str, numbered: bool = False) -> Dat
     return found.select("text_id", *keep, "pos", sentence_id.alias("sentence_id"), "sentence")
 
 
-def list_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:
+def list_texts(texts: DataFrame) -> DataFrame:
     """(number, text_id, title) of all texts."""
-    return numbered_texts(texts.select("text_id", "title"), span).select("number", "text_id", "title")
+    return numbered_texts(texts.select("text_id", "title")).select("number", "text_id", "title")
 
 
-def numbered_texts(texts: DataFrame, span: int = 1_000) -> DataFrame:
+def span_of(column: str = "text_id") -> Column:
+    """The span of 2**10 ids that an id is in; rows without id have one of their own beyond all others."""
+    return F.coalesce(F.shiftright(column, SPAN_BITS[0]), F.lit(1 << 63 - SPAN_BITS[0]))
+
+
+def before_spans(counts: DataFrame) -> DataFrame:
+    """(_s, _before) of counts(_s, _n), one row per span: the sum of _n over all smaller spans.
+
+    Spans are gathered into spans of spans, and those again, so a running sum in one task has at most 2**19 rows wherever in the 64 bits the ids are.
+    """
+    before = lambda n, at, *of: F.coalesce(F.sum(n).over(Window.partitionBy(*of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select("_s", "_n", F.shiftright("_s", SPAN_BITS[1]).alias("_t"))
+    wide = spans.groupBy("_t").agg(F.sum("_n").alias("_m")).withColumn("_u", F.shiftright("_t", SPAN_BITS[2]))
+    widest = wide.groupBy("_u").agg(F.sum("_m").alias("_l"))
+    starts = wide.select("_t", "_u", before("_m", "_t", "_u").alias("_in")).join(widest.select("_u", before("_l", "_u").alias("_start")), "_u")
+    starts = starts.select("_t", (F.col("_in") + F.col("_start")).alias("_start"))
+    return spans.withColumn("_in", before("_n", "_s", "_t")).join(starts, "_t").select("_s", (F.col("_in") + F.col("_start")).alias("_before"))
+
+
+def numbered_texts(texts: DataFrame) -> DataFrame:
     """Texts numbered from 1 by id, equal ids by title, those without id last. A text's number is its place within its span of ids and the number of texts in spans before it: all
-    by id alone, so no step depends on how Spark deals rows out, and a task sees one span, or the running sum of spans of spans."""
-    last = F.lit(1 << 60)  # beyond the span of any id
-    base = texts.withColumn("_s", F.coalesce(F.floor(F.col("text_id") / span), last))
-    counts = base.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_w", F.floor(F.col("_s") / span))
-    wide = counts.groupBy("_w").agg(F.sum("_n").alias("_m"))
-    before = lambda n, *by: F.coalesce(F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = wide.select("_w", before("_m", "_w").alias("_start"))
-    spans = counts.withColumn("_in", before("_n", "_w", "_s")).join(starts, "_w").select("_s", (F.col("_start") + F.col("_in")).alias("_before"))
+    by id alone, so no step depends on how Spark deals rows out."""
+    base = texts.withColumn("_s", span_of())
+    spans = before_spans(base.groupBy("_s").agg(F.count("*").alias("_n")))
     order = [c for c in ("text_id", "title") if c in texts.columns]
     within = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
     return base.withColumn("_i", within).join(spans, "_s").select((F.col("_i") + F.col("_before")).alias("number"), *texts.columns)

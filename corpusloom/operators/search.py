@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal, once
 from corpusloom.operators import analyse
+from corpusloom.operators.ingest import before_spans, span_of
+from corpusloom.sources.shared import materialise
 
 #: Fixed value: what a concordance shows where the sentence is missing.
 MISSING = "Текст не найден"
 BOTH = ["text_id", "token_id"]
+#: Longest list of words that is broadcast.
+BROADCAST_WORDS = 100_000
 
 
 def positive_links(cross: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -56,13 +60,10 @@ def sentences_with_context(sentences: DataFrame, hits: DataFrame, before: int =
 
 def _text_offsets(sentences: DataFrame) -> DataFrame:
     """(text_id, number of sentences of all texts before it)."""
-    counts = sentences.groupBy("text_id").agg(F.count("*").alias("_n"))
-    spans = counts.withColumn("_span", F.floor(F.col("text_id") / 1000))
-    totals = spans.groupBy("_span").agg(F.sum("_n").alias("_total"))
-    running = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_span", F.coalesce(F.sum("_total").over(running), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_span").orderBy("text_id").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, "_span").select("text_id", (F.col("_start") + F.col("_in")).alias("_before"))
+    counts = sentences.groupBy("text_id").agg(F.count("*").alias("_c")).withColumn("_s", span_of())
+    spans = before_spans(counts.groupBy("_s").agg(F.sum("_c").alias("_n")))
+    inside = Window.partitionBy("_s").orderBy("text_id").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(spans, "_s").select("text_id", (F.col("_before") + F.col("_in")).alias("_before"))
 
 
 def flag_keywords(df: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -88,29 +89,42 @@ def keyword_sentences(sentences: DataFrame, cross: DataFrame, texts: DataFrame,
     return found.join(links, "sentence_id").join(texts.select("text_id", "author", "genre"), "text_id").select("sentence", "author", "genre")
 
 
-def words_in_sentences(sentences: DataFrame, words: DataFrame, size: int = 3) -> DataFrame:
+def words_in_sentences(sentences: DataFrame, words: DataFrame, size: int = 3, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Distinct (sentence_id, word) where the sentence has the word, of ``words(word)``, as a substring, in small letters both; for lists of any length.
 
     Of each word the rarest stretch of ``size`` characters (all of a shorter word) decides which sentences are looked at; what shares it is
-    compared as a whole. The list is joined, not part of the plan, and the join is a broadcast one only as long as Spark finds the list small enough.
+    compared as a whole. Stretches are counted by sentence before they are shuffled. A written list of no more than ``broadcast_words`` words, and characters
+    in proportion, goes to every task, so sentences stay where they are; a longer one is joined with pairs of sentence and stretch, and sentences are fetched for what has met.
     """
-    low = words.select(F.lower("word").alias("word")).where("word <> ''").distinct()
-    grams = low.withColumn("_n", F.least(F.length("word"), F.lit(size))).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substr("word", i, F.col("_n")))).alias("gram")).distinct()
+    return _words_met(sentences, words, size, broadcast_words).select("sentence_id", "word").distinct()
+
+
+def _words_met(sentences: DataFrame, words: DataFrame, size: int, broadcast_words: int) -> DataFrame:
+    """Rows (sentence_id, word) as above, which repeat where sentence ids do."""
+    low = words.select(F.lower("word").alias("word")).where("word <> ''").distinct().withColumn("_n", F.least(F.length("word"), F.lit(size)))
+    grams = low.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("_n") + 1), lambda i: F.substr("word", i, F.col("_n"))))).alias("gram"))
     # at most `size` lengths
-    sizes = sorted(r.n for r in low.select(F.least(F.length("word"), F.lit(size)).alias("n")).distinct().collect())
-    small = once(sentences.select("sentence_id", "sentence"), F.lower("sentence").alias("_low"))
+    sizes = sorted(r.n for r in low.select(F.col("_n").alias("n")).distinct().collect())
+    small = once(sentences.select("sentence_id", "sentence"), F.lower("sentence").alias("_low")).select("sentence_id", "_low")
     stretches = lambda n: F.when(F.length("_low") >= n, F.transform(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda i: F.substr("_low", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     listed = F.array_distinct(F.concat(*[stretches(n) for n in sizes])) if sizes else F.array().cast("array<string>")
     found = small.select("sentence_id", "_low", F.explode(listed).alias("gram"))
-    often = found.select("gram").join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    often = found.groupBy("gram").agg(F.count("*").alias("_n"))
+    # a word with a stretch that no sentence has is in none
     rarest = grams.join(often, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    rarest = rarest.where("g.n > 0").select("word", "g.gram")
-    return found.join(rarest, "gram").where(F.contains("_low", "word")).select("sentence_id", "word").distinct()
+    rarest = materialise(rarest.where("g.n > 0").select("word", "g.gram"), "rarest-stretches")
+    held = rarest.agg(F.count("*").alias("words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("characters")).first()
+    if held.words <= broadcast_words and held.characters <= 16 * broadcast_words:
+        met = found.join(F.broadcast(rarest), "gram")
+    else:
+        pairs = found.select(F.col("sentence_id").alias("_id"), "gram").join(rarest.hint("merge"), "gram").select("_id", "word")
+        met = pairs.join(small.hint("merge"), F.col("_id").eqNullSafe(F.col("sentence_id")))
+    return met.where(F.contains("_low", "word"))
 
 
-def flag_words(sentences: DataFrame, words: DataFrame) -> DataFrame:
+def flag_words(sentences: DataFrame, words: DataFrame, size: int = 3, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """As ``flag_keywords``, for a list of any length."""
-    return sentences.join(words_in_sentences(sentences, words), "sentence_id", "left_semi")
+    return sentences.join(_words_met(sentences, words, size, broadcast_words).select("sentence_id").distinct(), "sentence_id", "left_semi")
 
 
 def concordance(

@@ -179,6 +179,21 @@ def test_context_is_a_window(static, stored):
     assert exchanges(search.sentences_with_context(c.sentences, c.sentences.where("sentence_id % 3 = 0"))) <= 3
 
 
+def test_ids_spread_over_all_bits_have_places(spark):
+    rng = random.Random(5)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(400)] + list(range(-1500, 1500, 7)) + [2**63 - 1, -(2**63), 2**40, 2**40 + 1]
+    texts = spark.createDataFrame([(k, f"t{k}") for k in ids] + [(None, "b"), (None, "a")], "text_id long, title string")
+    got = sorted(map(tuple, ingest.list_texts(texts).collect()))
+    assert got == [*((n, k, f"t{k}") for n, k in enumerate(sorted(ids), 1)), (len(ids) + 1, None, "a"), (len(ids) + 2, None, "b")]
+    lengths = {k: 1 + rng.randrange(4) for k in ids}
+    places = [(n, k, f"{k} {n}") for n, k in enumerate(k for k in sorted(ids) for _ in range(lengths[k]))]
+    sentences = spark.createDataFrame(places, "sentence_id long, text_id long, sentence string")
+    hits = {n for n, _, _ in places if rng.random() < 0.05}
+    marked = sentences.where(F.col("sentence_id").isin(list(hits)))
+    want = sorted(((k, s) for n, k, s in places if any(n + d in hits for d in (-2, -1, 0, 1, 2))), key=repr)
+    assert rows_of(search.sentences_with_context(sentences, marked, scope="global")) == want
+
+
 def test_many_words_equal_the_chain(spark):
     rng = random.Random(1)
     letters = "abcdeéяж %_."
@@ -189,6 +204,10 @@ def test_many_words_equal_the_chain(spark):
     assert rows_of(search.flag_words(sentences, table).select("sentence_id")) == want
     low = [(r.sentence_id, w) for r in sentences.collect() for w in {w.lower() for w in words if w} if r.sentence is not None and w in r.sentence.lower()]
     assert rows_of(search.words_in_sentences(sentences, table)) == sorted(low, key=repr)
+    twice = sentences.unionByName(spark.createDataFrame([(7, "ZZ ÉЯ"), (None, "zz")], sentences.schema))
+    joined = rows_of(search.words_in_sentences(twice, table, broadcast_words=0))
+    assert joined == rows_of(search.words_in_sentences(twice, table)) and (None, "zz") in joined and (7, "éя") in joined
+    assert rows_of(search.flag_words(sentences, table, broadcast_words=0).select("sentence_id")) == want
     large = table.unionByName(spark.range(50_000).selectExpr("concat('q', id) word"))
     assert rows_of(search.flag_words(sentences, large).select("sentence_id")) == want
     assert search.flag_words(sentences, table.limit(0)).count() == 0
