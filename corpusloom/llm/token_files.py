@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,38 +23,55 @@ from corpusloom.sources.shared import materialise, new_path
 
 FILE_COLUMNS = "doc_id long, range_id int, before long, ids array<int>"
 END_ID = 0
-#: Pre-tokens of one generation of a worker's memory; what a full, older one holds moves on when it is asked for again.
-KEPT_WORDS = 250_000
+#: Bytes of the pre-tokens that a worker keeps and their ids; beyond, the half that came first goes.
+KEPT_WORDS = 40 << 20
 #: New pre-tokens that the library gets at once.
 LINES = 20_000
 #: Characters on which Python's own classes agree with the tokenizer's pattern (ASCII, Latin letters, punctuation, Greek, Cyrillic, CJK).
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º-»¿-ʯΑ-ΡΣ-ϿА-я‐-‧一-龥]*")
 PRE_TOKEN = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: White space before a blank which no sign follows: such a blank may be part of a longer pre-token. All others begin one.
+UNCERTAIN = re.compile(r"[\t\n\r ] (?![^\t\n\r ])")
+#: Stands before the first stretch of a text, which no blank precedes; not in ``PLAIN``.
+FIRST = "\0"
+#: Bytes of text that are encoded at once.
+PORTION = 16 << 20
 #: Ids per Arrow batch that an encoder hands back to Spark.
 BATCH_IDS = 1 << 20
 
 
-class _Kept(dict):
-    """Ids by pre-token. One that is asked for and not there gets an empty place, which is filled before it is read."""
+def regrouped(lists: pa.ListArray, ends: np.ndarray) -> pa.ListArray:
+    """Consecutive lists put together; ``ends`` are the bounds of the groups, from 0."""
+    return pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets)[ends]), lists.values)
 
-    def __init__(self, older: dict | None = None):
-        self.open: list[str] = []
-        self.older = older or {}
 
-    def __missing__(self, word: str) -> bytearray:
-        place = self.older.get(word)
-        if place is None:
-            place = bytearray()
-            self.open.append(word)
-        self[word] = place
-        return place
+class _Kept:
+    """Ids by string, both in Arrow arrays, so that strings are looked up many at a time and one takes few bytes more than its signs and ids."""
+
+    def __init__(self, most: int, encode: Callable[[pa.StringArray], pa.ListArray]):
+        self.most, self.encode = most, encode
+        self.names, self.ids = pa.array([], type=pa.string()), pa.array([], type=pa.list_(pa.int32()))
+
+    def __call__(self, names: pa.StringArray) -> pa.ListArray:
+        """The ids of each string; those of new ones are asked for once."""
+        if self.names.nbytes + self.ids.nbytes > self.most:
+            self.names, self.ids = self.names[(half := len(self.names) // 2) :], self.ids[half:]
+        at = pc.index_in(names, value_set=self.names)
+        if at.null_count:
+            missing = at.is_null()
+            asked = names.filter(missing)
+            new, kept = asked.unique(), len(self.names)
+            self.names, self.ids = pa.concat_arrays([self.names, new]), pa.concat_arrays([self.ids, self.encode(new)])
+            at = pc.replace_with_mask(at, missing, pc.add(pc.index_in(asked, value_set=new), pa.scalar(kept, pa.int32())))
+        return self.ids.take(at)
 
 
 class Encoder:
-    """Exact encoding by the tokenizers library with the ids of recurring pre-tokens kept as bytes.
+    """Exact encoding by the tokenizers library with the ids of recurring pre-tokens kept.
 
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens one after another. A text with
-    characters outside ``PLAIN``, or with the string of an added token, goes to the library whole.
+    Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens one after another. Blanks begin
+    pre-tokens, so texts are cut into stretches at blanks, and each different stretch once into pre-tokens. A text with
+    characters outside ``PLAIN``, or with the string of an added token, goes to the library whole; one with an ``UNCERTAIN`` blank is cut into pre-tokens.
     """
 
     def __init__(self, path: str):
@@ -63,43 +82,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.feed = self._library(["\n"])[0]
-        self.kept = _Kept()
+        self.feed = int.from_bytes(self._library(["\n"])[0], "little")
+        self.words = _Kept(KEPT_WORDS, self._of_words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self) -> None:
-        """Encode the open pre-tokens: one to a line, as a line feed between them is a pre-token and an id of its own."""
-        kept, self.kept.open = self.kept.open, []
-        lines = [w for w in kept if not w.isspace()]
-        alone = [w for w in kept if w.isspace()]
-        for word, ids in zip(alone, self._library(alone), strict=True):
-            self.kept[word][:] = ids
-        feed = int.from_bytes(self.feed, "little")
+    def _of_words(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of pre-tokens: one to a line, as a line feed between them is a pre-token and an id of its own."""
+        words = strings(words)
+        blank = np.fromiter(map(str.isspace, words), dtype=bool, count=len(words))
+        lines = [w for w in words if not w.isspace()]
+        found = []
         for at in range(0, len(lines), LINES):
             part = lines[at : at + LINES]
-            ids = np.frombuffer(self._library(["\n".join(part)])[0], dtype="<u4")
-            ends = np.flatnonzero(ids == feed).tolist() + [len(ids)]
-            raw, begin = ids.tobytes(), 0
-            if len(ends) != len(part):
+            ids = np.frombuffer(self._library(["\n".join(part)])[0], dtype="<i4")
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) != len(part) - 1:
                 raise ValueError("line feeds don't separate pre-tokens for this tokenizer")
-            for word, end in zip(part, ends, strict=True):
-                self.kept[word][:] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = _Kept(dict(self.kept))
-        look, parts = self.kept.__getitem__, []
-        for text in texts:
-            if PLAIN.fullmatch(text) is None or any(a in text for a in self.added):
-                parts.append(self._library([text]))
-            else:
-                parts.append(list(map(look, PRE_TOKEN.findall(text))))
-        self._fill()
-        return [b"".join(p) for p in parts]
+            ends = np.concatenate([[0], feeds - np.arange(len(feeds)), [len(ids) - len(feeds)]]).astype(np.int32)
+            found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.delete(ids, feeds))))
+        found.append(id_lists(self._library([w for w in words if w.isspace()])))
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(blank, kind="stable"))))
+
+    def _of_pre_tokens(self, texts: list[str]) -> pa.ListArray:
+        found = list(map(PRE_TOKEN.findall, texts))
+        words = self.words(pa.array(list(chain.from_iterable(found)), type=pa.string()))
+        return regrouped(words, np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))]))
+
+    def _of_stretches(self, stretches: pa.StringArray) -> pa.ListArray:
+        coded = stretches.dictionary_encode()
+        return self._of_pre_tokens([w[1:] if w[:1] == FIRST else " " + w for w in strings(coded.dictionary)]).take(coded.indices)
+
+    def encode(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text."""
+        signs = strings(texts)
+        whole = np.array([PLAIN.fullmatch(t) is None or any(a in t for a in self.added) for t in signs], dtype=bool)
+        tied = np.array([not w and UNCERTAIN.search(t) is not None for t, w in zip(signs, whole, strict=True)], dtype=bool)
+        cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, texts.filter(pa.array(~(whole | tied))), ""), " ")
+        found = [
+            regrouped(self._of_stretches(cut.flatten()), np.asarray(cut.offsets)),
+            self._of_pre_tokens([signs[k] for k in np.flatnonzero(tied)]),
+            id_lists([self._library([signs[k]])[0] for k in np.flatnonzero(whole)]),
+        ]
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(2 * whole + tied, kind="stable"))))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,6 +143,10 @@ def id_lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
 
 
+def strings(values: pa.StringArray) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def in_portions(items: list, weight, most: int) -> Iterator[list]:
     """Consecutive items in portions of about ``most`` in weight, one item at least."""
     portion, total = [], 0
@@ -130,25 +160,46 @@ def in_portions(items: list, weight, most: int) -> Iterator[list]:
         yield portion
 
 
+def of_size(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of text, the second column; one row at least."""
+    held, total = [], 0
+    for batch in batches:
+        at = 0
+        for sizes in in_portions(pc.binary_length(batch.column(1)).to_pylist(), int, most):
+            held.append(batch.slice(at, len(sizes)))
+            at, total = at + len(sizes), total + sum(sizes)
+            if total >= most:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_sorted(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Rows for the files, in ascending doc_id over partitions and within each (null first; equal ids by their text)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        range_id, before, tail, own = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u4").tobytes(), encoder(tokenizer_path)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+        range_id, before, own = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        for batch in of_size(batches, PORTION):
+            lists = own.encode(batch.column(1))
+            ends = np.asarray(lists.offsets)
+            ids = np.insert(np.asarray(lists.values), ends[1:], end_id)
+            ends = ends + np.arange(len(ends), dtype=np.int32)
+            starts = before + ends.astype(np.int64)
+            before = int(starts[-1])
             at = 0
-            for texts_now in in_portions(texts.to_pylist(), len, 4 * BATCH_IDS):
-                parts = [x + tail for x in own.encode(texts_now)]
-                sizes = np.fromiter((len(p) // 4 for p in parts), dtype=np.int64, count=len(parts))
-                starts = before + np.concatenate([[0], np.cumsum(sizes)])
+            for sizes in in_portions(np.diff(ends).tolist(), int, BATCH_IDS):
+                until = at + len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(parts)), pa.array(np.full(len(parts), range_id, dtype=np.int32)), pa.array(starts[:-1]), id_lists(parts)],
+                    [
+                        batch.column(0)[at:until], pa.array(np.full(len(sizes), range_id, dtype=np.int32)), pa.array(starts[at:until]),
+                        pa.ListArray.from_arrays(pa.array(ends[at : until + 1] - ends[at]), pa.array(ids[ends[at] : ends[until]])),
+                    ],
                     names=["doc_id", "range_id", "before", "ids"],
-                )
-                before, at = int(starts[-1]), at + len(parts)
+                )
+                at = until
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

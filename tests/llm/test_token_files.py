@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -83,3 +84,41 @@ def test_stripes_indexes_filters_and_pruning(spark, make_docs, tmp_path):
         assert len(sizes) > 1 and sum(sizes) == len(rows)  # stripes are read by several tasks
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+BLANKS = ["", " ", "  ", "\n", " \n", "\n ", "a ", " a", "a  b", "a \n b", "a\n b", "a\n  b", "a \nb", "a\t b \t", "\n \n", "a\n \n b", "a \n", "a\n ", "x. y,\n\nZ 1 's don't 's", "a   ", "\r\n b", "  a", "\t a", " \t a"]
+
+
+def test_blanks_of_all_kinds_and_few_kept_words():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = [*BLANKS, *(t for _, t in ODD), *(f"{a}{b} c{a}" for a in BLANKS for b in BLANKS)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.encode(pa.array(texts)).to_pylist() == expected
+    own.words.most = 40  # a few words: what was kept goes again and again
+    for at in range(0, len(texts), 7):
+        assert own.encode(pa.array(texts[at : at + 7])).to_pylist() == expected[at : at + 7]
+    assert own.encode(pa.array([], type=pa.string())).to_pylist() == []
+
+
+def test_recurring_stretches_are_cut_once(monkeypatch):
+    scanned = []
+
+    class Counting:
+        def findall(self, text, own=token_files.PRE_TOKEN):
+            scanned.append(len(text))
+            return own.findall(text)
+
+    monkeypatch.setattr(token_files, "PRE_TOKEN", Counting())
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "the cats, and the dogs. " * 5_000
+    own = token_files.Encoder(path)
+    found = own.encode(pa.array([text, text]))
+    assert sum(scanned) < 100
+    assert found.to_pylist() == [Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids] * 2
+
+
+def test_long_rows_among_short_ones_are_dealt_in_order():
+    texts = ["a", "b" * 90, "c", "d", "e" * 40, "f"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 3)), pa.array(texts[k : k + 3])], names=["doc_id", "text"]) for k in (0, 3)]
+    found = [b.column(1).to_pylist() for b in token_files.of_size(iter(batches), 30)]
+    assert found == [["a", "b" * 90], ["c", "d", "e" * 40], ["f"]]
