@@ -10,6 +10,7 @@ neighbours that the merge order would have joined or split otherwise; one path s
 
 The composition is taken per stretch between certain cuts: no piece holds a word mark after another character, nor a line feed, so
 stretches are independent, and so with marks of punctuation that no piece holds after a letter; a worker keeps the paths of those that recur.
+New stretches are searched in order of their characters, and what is known of the places of a common beginning stays.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
-from struct import pack
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bounded_batches, text_of, tidied
-from corpusloom.llm.token_files import in_portions
+from corpusloom.llm.token_files import FIRST, Kept, id_lists, in_portions, of_size, regrouped, strings
 
 MARK = "▁"
-#: Stretches of one generation of a worker's memory of paths. A full generation becomes the older one, and what is asked for
-#: again moves on from there, so frequent stretches stay while rare ones go.
-KEPT_STRETCHES = 200_000
-#: Left neighbours whose weights with right ones a worker remembers; each has a row of them.
-KEPT_JOINS = 30_000
+#: Bytes of the stretches that a worker keeps and their ids.
+KEPT_STRETCHES = 40 << 20
+#: Pairs of neighbours whose weights a worker remembers.
+KEPT_JOINS = 400_000
+#: Longer stretches have all their places settled in order.
+SHORT = 100
+#: Bytes of text that are encoded at once.
+TEXTS = 8 << 20
 PORTION = 4 << 20
 
 
@@ -120,24 +124,6 @@ class Rewriter:
         return "".join([*out, text[plain:]])
 
 
-class _Paths(dict):
-    """Ids of the shortest path by stretch, searched for when first asked for."""
-
-    def __init__(self, machine: Transducer):
-        self.machine, self.older = machine, {}
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= KEPT_STRETCHES:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(stretch)
-        if found is None:
-            path = self.machine.shortest_path(stretch)
-            found = pack(f"<{len(path)}i", *path)
-        self[stretch] = found
-        return found
-
-
 class _Row(dict):
     """Weights of one left neighbour with right ones, worked out when first asked for."""
 
@@ -146,6 +132,7 @@ class _Row(dict):
 
     def __missing__(self, right: str) -> float:
         self[right] = found = self.machine._join(self.left, right)
+        self.machine.joins.pairs += 1
         return found
 
 
@@ -153,7 +140,7 @@ class _Joins(dict):
     """A row for each left neighbour."""
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.pairs = machine, 0
 
     def __missing__(self, left: str) -> _Row:
         self[left] = row = _Row(self.machine, left)
@@ -184,8 +171,8 @@ class Transducer:
         self.score = [model.get_score(i) for i in ids]
         #: what a character without a piece costs: ten more than the worst piece, as the library weighs it
         self.worst = 10 - min((self.score[i] for i in self.pieces.values()), default=0.0)
-        # the lexicon's states by the characters read so far: the piece that ends there, or "" inside a piece
-        self.states = {p[:k]: "" for p in self.pieces for k in range(1, len(p))} | {p: p for p in self.pieces}
+        # the lexicon's states by the characters read so far, from a place backwards: the piece that begins there, or "" inside a piece
+        self.states = {p[k:]: "" for p in self.pieces for k in range(1, len(p))} | {p: p for p in self.pieces}
         if any("\n" in p[1:] + p[:-1] or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("a piece crosses the cuts between stretches")
         # marks of punctuation end a stretch of letters, but for those letters after which some piece holds the mark
@@ -201,7 +188,9 @@ class Transducer:
         self.joins = _Joins(self)
         self.arcs = {p: 0.0 if self.merges else -self.score[i] for p, i in self.pieces.items()}
         self.byte_arc = 0.0 if self.merges else self.worst
-        self.kept = _Paths(self)
+        #: a place can't be reached at less
+        self.least = 0.0 if self.merges else -math.inf
+        self.kept = Kept(KEPT_STRETCHES, self._of_stretches)
 
     def _rank(self, piece: str) -> float:
         i = self.pieces.get(piece)
@@ -260,9 +249,7 @@ class Transducer:
             return math.inf
         return 0.0
 
-    def shortest_path(self, stretch: str) -> list[int]:
-        """Ids on the cheapest path of the stretch; of equal costs the longer last piece."""
-        symbols = self._search(stretch)
+    def _ids(self, symbols: list[str]) -> list[int]:
         ids = list(map(self.pieces.get, symbols))
         if None not in ids:
             return ids
@@ -274,36 +261,81 @@ class Transducer:
                 out += self._bytes(symbol)
         return out
 
+    def shortest_path(self, stretch: str) -> list[int]:
+        """Ids on the cheapest path of the stretch; of equal costs the longer last piece."""
+        return self._ids(self._search(stretch))
+
     def _search(self, stretch: str) -> list[str]:
-        """The symbols of the shortest path, for either kind of model.
+        return self._searcher()(stretch)
+
+    def _searcher(self) -> Callable[[str], list[str]]:
+        """The search for the symbols of a stretch's shortest path, for either kind of model.
 
         A state is a place and what the acceptor remembers: the last symbol of a BPE model, nothing of a unigram model. Either way one state of a place
-        can have a finite cost at most: what comes before a place has one encoding by merges. Places are taken in order, so the
-        cost of a state is settled when its arcs are followed; what the acceptor adds is asked for only where an arc would be cheaper without it.
+        can have a finite cost at most: what comes before a place has one encoding by merges. A place is settled when it is asked for, over
+        the arcs that end there, longest first, and no further than to the least cost that there can be; what the acceptor adds is asked for only where an arc
+        would be cheaper without it. Places depend on what comes before them alone, so those of the beginning that two successive stretches share stay.
         """
-        n, state, arcs, joins, merges = len(stretch), self.states.get, self.arcs, self.joins, self.merges
-        costs, last = [0.0] + [math.inf] * n, [""] * (n + 1)
-        for start, cost in enumerate(costs):
-            if cost == math.inf or start == n:
-                continue
-            row = joins[last[start]] if merges else None
-            if stretch[start] not in arcs and cost + self.byte_arc < costs[start + 1] and not (merges and row[stretch[start]]):
-                costs[start + 1], last[start + 1] = cost + self.byte_arc, stretch[start]
-            for end in range(start + 1, n + 1):
-                piece = state(stretch[start:end])
+        state, arcs, joins, merges, byte_arc, least = self.states.get, self.arcs, self.joins, self.merges, self.byte_arc, self.least
+        held, costs, last = "", [0.0], [""]
+
+        def settle(end: int) -> float:
+            start, ending = end - 1, []
+            while start >= 0:
+                piece = state(held[start:end])
                 if piece:
-                    total = cost + arcs[piece]
-                    if total < costs[end] and not (merges and row[piece]):
-                        costs[end], last[end] = total, piece
+                    ending.append((start, piece))
                 elif piece is None:
                     break
-        if costs[n] == math.inf:
-            raise ValueError("no path reaches the end of a stretch")
-        symbols, at = [], n
-        while at:
-            symbols.append(last[at])
-            at -= len(last[at])
-        return symbols[::-1]
+                start -= 1
+            if held[end - 1] not in arcs:
+                ending.insert(0, (end - 1, ""))
+            best = math.inf
+            for start, piece in reversed(ending):
+                cost = costs[start]
+                if cost is None:
+                    cost = settle(start)
+                total = cost + (arcs[piece] if piece else byte_arc)
+                if total < best and not (merges and joins[last[start]][piece or held[start]]):
+                    best, last[end] = total, piece or held[start]
+                    if best <= least:
+                        break
+            costs[end] = best
+            return best
+
+        def search(stretch: str) -> list[str]:
+            nonlocal held
+            n, shared = len(stretch), 0
+            for a, b in zip(held, stretch):
+                if a != b:
+                    break
+                shared += 1
+            held = stretch
+            costs[shared + 1 :] = [None] * (n - shared)
+            last[shared + 1 :] = [""] * (n - shared)
+            for place in range(1, n) if n > SHORT else ():
+                if costs[place] is None:
+                    settle(place)
+            if n and costs[n] is None:
+                settle(n)
+            if costs[n] == math.inf:
+                raise ValueError("no path reaches the end of a stretch")
+            symbols, at = [], n
+            while at:
+                symbols.append(last[at])
+                at -= len(last[at])
+            return symbols[::-1]
+
+        return search
+
+    def _of_stretches(self, stretches: pa.StringArray) -> pa.ListArray:
+        names, search, paths = strings(stretches), self._searcher(), {}
+        for name in sorted(names):
+            if self.joins.pairs > KEPT_JOINS:
+                self.joins.clear()
+                self.joins.pairs = 0
+            paths[name] = np.array(self._ids(search(name)), dtype="<i4").tobytes()
+        return id_lists([paths[name] for name in names])
 
     def normalised(self, text: str) -> str:
         if self.rewriter:
@@ -312,17 +344,20 @@ class Transducer:
             text = re.sub(" {2,}", " ", text.strip(" "))
         return self.prefix + text.replace(" ", MARK) if text else ""
 
-    def forget(self) -> None:
-        """Gives up the kept paths, at the end of a task."""
-        self.kept.clear()
-        self.kept.older = {}
-        self.joins.clear()
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text. Texts are cut at word marks, and each different part once into stretches; those with marks side by side are cut into stretches."""
+        texts = list(map(self.normalised, texts))
+        tied = np.array([MARK + MARK in t or FIRST in t for t in texts], dtype=bool)
+        plain = pa.array([t for t, k in zip(texts, tied, strict=True) if not k], type=pa.string())
+        cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, plain, ""), MARK)
+        coded, find = cut.flatten().dictionary_encode(), self.stretches.findall
+        parts = self.kept.together([find(w[1:] if w[:1] == FIRST else MARK + w) for w in strings(coded.dictionary)])
+        found = [regrouped(parts.take(coded.indices), np.asarray(cut.offsets)), self.kept.together([find(texts[k]) for k in np.flatnonzero(tied)])]
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(tied, kind="stable"))))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        if len(self.joins) > KEPT_JOINS:
-            self.joins.clear()
-        return b"".join(map(self.kept.__getitem__, self.stretches.findall(self.normalised(text))))
+        return np.asarray(self.encode_all([text]).values).astype("<i4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         out = self.out
@@ -344,15 +379,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     encoded as a whole; an empty table gives no rows; further columns, whatever their names, are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corpusloom.llm.token_files import id_lists
-
         own = transducer(model_path)
-        for batch in batches:
+        for batch in of_size(batches, TEXTS):
+            lists = own.encode_all(strings(batch.column(1)))
             at = 0
-            for texts in in_portions(batch.column(1).to_pylist(), len, PORTION):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), id_lists([own.encode(t) for t in texts])], names=["doc_id", "ids"])
-                at += len(texts)
-        own.forget()
+            for sizes in in_portions(pc.list_value_length(lists).to_pylist(), int, PORTION // 4):
+                until = at + len(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:until], pa.concat_arrays([lists[at:until]])], names=["doc_id", "ids"])
+                at = until
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, ids array<int>")

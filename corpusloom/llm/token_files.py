@@ -45,7 +45,7 @@ def regrouped(lists: pa.ListArray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets)[ends]), lists.values)
 
 
-class _Kept:
+class Kept:
     """Ids by string, both in Arrow arrays, so that strings are looked up many at a time and one takes few bytes more than its signs and ids."""
 
     def __init__(self, most: int, encode: Callable[[pa.StringArray], pa.ListArray]):
@@ -65,6 +65,11 @@ class _Kept:
             at = pc.replace_with_mask(at, missing, pc.add(pc.index_in(asked, value_set=new), pa.scalar(kept, pa.int32())))
         return self.ids.take(at)
 
+    def together(self, groups: list[list[str]]) -> pa.ListArray:
+        """The ids of the strings of each group, one after another."""
+        lists = self(pa.array(list(chain.from_iterable(groups)), type=pa.string()))
+        return regrouped(lists, np.concatenate([[0], np.cumsum(np.fromiter(map(len, groups), dtype=np.int64, count=len(groups)))]))
+
 
 class Encoder:
     """Exact encoding by the tokenizers library with the ids of recurring pre-tokens kept.
@@ -83,7 +88,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = int.from_bytes(self._library(["\n"])[0], "little")
-        self.words = _Kept(KEPT_WORDS, self._of_words)
+        self.words = Kept(KEPT_WORDS, self._of_words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,9 +111,7 @@ class Encoder:
         return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(blank, kind="stable"))))
 
     def _of_pre_tokens(self, texts: list[str]) -> pa.ListArray:
-        found = list(map(PRE_TOKEN.findall, texts))
-        words = self.words(pa.array(list(chain.from_iterable(found)), type=pa.string()))
-        return regrouped(words, np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))]))
+        return self.words.together(list(map(PRE_TOKEN.findall, texts)))
 
     def _of_stretches(self, stretches: pa.StringArray) -> pa.ListArray:
         coded = stretches.dictionary_encode()

@@ -6,6 +6,7 @@ import zlib
 from struct import pack, unpack
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from corpusloom.llm import sentencepiece_fst as fst
@@ -150,3 +151,41 @@ def test_long_texts_and_clashing_columns(spark):
     for r in fst.digests(fst.encode(docs, MODEL), MODEL).collect():
         ids, text = brute(rows[r.doc_id - 1][1])
         assert (r.n_pieces, r.decoded_sha256) == (len(ids), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_marks_of_all_kinds_and_few_kept_stretches():
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), fst.Transducer(MODEL), random.Random(7)
+    texts = [t for t in ODD if t] + ["\0", "\0a b\0", "a \0 b", "a ", " a", "a\n b", "a \n", "▁", "a▁b", "a▁ b", ""]
+    texts += ["".join(rng.choice("ab the.,\n ▁\0é") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    expected = library.encode(texts)
+    assert own.encode_all(texts).to_pylist() == expected
+    own.kept.most = 200  # a few stretches: what was kept goes again and again
+    for at in range(0, len(texts), 9):
+        assert own.encode_all(texts[at : at + 9]).to_pylist() == expected[at : at + 9]
+    assert own.encode_all([]).to_pylist() == []
+    assert [own.shortest_path(s) for s in ("", "▁the", "▁theft")] == [[], *library.encode(["the", "theft"])]
+
+
+def test_stretches_of_one_beginning_share_its_places():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    own = fst.Transducer(MODEL)
+    own.states = Counting(own.states)
+    words = [f"internationalisation{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    ids = own.encode(" ".join(words))
+    assert list(unpack(f"<{len(ids) // 4}i", ids)) == brute(" ".join(words))[0]
+    assert Counting.asked < 30 * len(words)
+
+
+def test_texts_over_several_portions():
+    rows = [(i, f"row {i} " + "of words, " * (i % 7), "x") for i in range(60)] + [(60, None, "x"), (61, "", "x")]
+    own = fst.transducer(MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] or "" for r in rows])], names=["doc_id", "text"])
+    dealt = list(fst.of_size(iter([batch]), 50))
+    assert len(dealt) > 20 and [i for b in dealt for i in b.column(0).to_pylist()] == list(range(62))
+    assert [i for b in dealt for i in own.encode_all(b.column(1).to_pylist()).to_pylist()] == [brute(t)[0] for _, t, _ in rows]
