@@ -32,13 +32,13 @@ from corpusloom.llm.token_files import FIRST, Kept, id_lists, in_portions, of_si
 
 MARK = "▁"
 #: Bytes of the stretches that a worker keeps and their ids.
-KEPT_STRETCHES = 40 << 20
+KEPT_STRETCHES = 24 << 20
 #: Pairs of neighbours whose weights a worker remembers.
 KEPT_JOINS = 400_000
 #: Longer stretches have all their places settled in order.
 SHORT = 100
 #: Bytes of text that are encoded at once.
-TEXTS = 8 << 20
+TEXTS = 4 << 20
 PORTION = 4 << 20
 
 
@@ -346,13 +346,16 @@ class Transducer:
 
     def encode_all(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text. Texts are cut at word marks, and each different part once into stretches; those with marks side by side are cut into stretches."""
-        texts = list(map(self.normalised, texts))
+        texts, find = list(map(self.normalised, texts)), self.stretches.findall
         tied = np.array([MARK + MARK in t or FIRST in t for t in texts], dtype=bool)
+        apart = self.kept.together(find(texts[k]) for k in np.flatnonzero(tied))
         plain = pa.array([t for t, k in zip(texts, tied, strict=True) if not k], type=pa.string())
+        del texts
         cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, plain, ""), MARK)
-        coded, find = cut.flatten().dictionary_encode(), self.stretches.findall
-        parts = self.kept.together([find(w[1:] if w[:1] == FIRST else MARK + w) for w in strings(coded.dictionary)])
-        found = [regrouped(parts.take(coded.indices), np.asarray(cut.offsets)), self.kept.together([find(texts[k]) for k in np.flatnonzero(tied)])]
+        ends, coded = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        del plain, cut
+        parts = self.kept.together(find(w[1:] if w[:1] == FIRST else MARK + w) for w in strings(coded.dictionary))
+        found = [regrouped(parts.take(coded.indices), ends), apart]
         return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(tied, kind="stable"))))
 
     def encode(self, text: str) -> bytes:

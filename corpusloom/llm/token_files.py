@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +64,15 @@ class Kept:
             at = pc.replace_with_mask(at, missing, pc.add(pc.index_in(asked, value_set=new), pa.scalar(kept, pa.int32())))
         return self.ids.take(at)
 
-    def together(self, groups: list[list[str]]) -> pa.ListArray:
+    def together(self, groups: Iterator[list[str]]) -> pa.ListArray:
         """The ids of the strings of each group, one after another."""
-        lists = self(pa.array(list(chain.from_iterable(groups)), type=pa.string()))
-        return regrouped(lists, np.concatenate([[0], np.cumsum(np.fromiter(map(len, groups), dtype=np.int64, count=len(groups)))]))
+        flat, ends = [], [0]
+        for group in groups:
+            flat += group
+            ends.append(len(flat))
+        names = pa.array(flat, type=pa.string())
+        del flat
+        return regrouped(self(names), np.array(ends))
 
 
 class Encoder:
@@ -111,7 +115,7 @@ class Encoder:
         return pa.concat_arrays(found).take(pa.array(np.argsort(np.argsort(blank, kind="stable"))))
 
     def _of_pre_tokens(self, texts: list[str]) -> pa.ListArray:
-        return self.words.together(list(map(PRE_TOKEN.findall, texts)))
+        return self.words.together(map(PRE_TOKEN.findall, texts))
 
     def _of_stretches(self, stretches: pa.StringArray) -> pa.ListArray:
         coded = stretches.dictionary_encode()
@@ -164,7 +168,7 @@ def in_portions(items: list, weight, most: int) -> Iterator[list]:
 
 
 def of_size(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about ``most`` bytes of text, the second column; one row at least."""
+    """The rows in batches of about ``most`` bytes of text, the second column; one row at least. What the last batch took goes back before the next one."""
     held, total = [], 0
     for batch in batches:
         at = 0
@@ -174,6 +178,7 @@ def of_size(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             if total >= most:
                 yield pa.concat_batches(held)
                 held, total = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
