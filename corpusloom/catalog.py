@@ -13,7 +13,7 @@ from corpusloom.catalog_sql import EMOTIONS, FIRST, KEYWORDS, MARKERS, PAIR, PAT
 from corpusloom.functions import features
 from corpusloom.functions.text import token_array
 from corpusloom.operators import analyse, coverage, ingest, maintain, ranking, report, search
-from corpusloom.plans.lexicon import Analysis, add_texts, analyse_into, analysis_of_documents, stored_corpus
+from corpusloom.plans.lexicon import Analysis, add_texts, analyse_into, analysis_of_documents, sentences_of_documents, stored_corpus
 from corpusloom.sources import files, postings, store
 from corpusloom.sources.corpus import Corpus, spread, texts_from_documents
 from corpusloom.sources.shared import new_path
@@ -319,7 +319,7 @@ def emotional_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def many_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that have one of a table of words as a substring: the first words of all texts."""
-    return search.flag_words(_corpus(spark, sf_dir).sentences, _first_words(_texts(spark, sf_dir))).select("sentence_id")
+    return search.flag_words(sentences_of_documents(spark, sf_dir), _first_words(_texts(spark, sf_dir))).select("sentence_id")
 
 
 def extraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

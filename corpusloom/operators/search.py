@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import contains_literal, once
@@ -17,6 +17,8 @@ MISSING = "Текст не найден"
 BOTH = ["text_id", "token_id"]
 #: Longest list of words that is broadcast.
 BROADCAST_WORDS = 100_000
+#: Words that sentences are searched for one after another, and characters of such a word.
+CHAIN_WORDS, CHAIN_LENGTH = 256, 64
 
 
 def positive_links(cross: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -122,8 +124,38 @@ def _words_met(sentences: DataFrame, words: DataFrame, size: int, broadcast_word
     return met.where(F.contains("_low", "word"))
 
 
-def flag_words(sentences: DataFrame, words: DataFrame, size: int = 3, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """As ``flag_keywords``, for a list of any length."""
+def _has_any(low: Column, words: Sequence[str]) -> Column:
+    return F.exists(F.lit(list(words)), lambda w: F.contains(low, w)) if words else F.lit(False)
+
+
+def least_words(words: DataFrame, most: int = CHAIN_WORDS) -> tuple[list[str], DataFrame]:
+    """(least words, the others): of ``words(word)`` in small letters, the first ``most`` or so that hold no other listed word, shortest first, and those that hold none of
+    these. What holds any listed word holds one of the two, so where no others are left, a list of any length is as good as its least words."""
+    least, left = [], materialise(words.select(F.lower("word").alias("word")).where("word <> ''").distinct(), "words")
+    while len(least) < most:
+        some = [r.word for r in left.where(F.length("word") <= CHAIN_LENGTH).orderBy(F.length("word"), "word").limit(most).collect()]
+        if not some:
+            break
+        new = []
+        for word in some:
+            if not any(w in word for w in new):
+                new.append(word)
+        least, left = least + new, materialise(left.where(~_has_any(F.col("word"), new)), "words")
+    return least, left
+
+
+def flag_words(sentences: DataFrame, words: DataFrame, size: int = 3, broadcast_words: int = BROADCAST_WORDS, chain_words: int = CHAIN_WORDS) -> DataFrame:
+    """As ``flag_keywords``, for a list of any length. Sentences are searched for its least words; only those that have none of them are met with the others, if there are any."""
+    least, others = least_words(words, chain_words)
+    low = once(sentences, F.lower("sentence").alias("_low"))
+    hit = low.where(_has_any(F.col("_low"), least)).select(*sentences.columns)
+    if others.isEmpty():
+        return hit
+    rest = low.where(~_has_any(F.col("_low"), least)).select(*sentences.columns)
+    return hit.unionByName(_flagged(rest, others, size, broadcast_words))
+
+
+def _flagged(sentences: DataFrame, words: DataFrame, size: int, broadcast_words: int) -> DataFrame:
     return sentences.join(_words_met(sentences, words, size, broadcast_words).select("sentence_id").distinct(), "sentence_id", "left_semi")
 
 

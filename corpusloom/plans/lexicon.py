@@ -121,5 +121,11 @@ def stored_corpus(spark: SparkSession, sf_dir: str, request: str) -> Corpus:
     return read_corpus(spark, _stored[key])
 
 
+def sentences_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences as the stored corpus has them, straight from the documents: for queries that need nothing else of it."""
+    texts = texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ingest.split_sentences(spread(texts), numbered=not ingest.ids_fit(texts)).select("sentence_id", "sentence", "text_id")
+
+
 def analysis_of_documents(spark: SparkSession, sf_dir: str, request: str) -> Analysis:
     return run_analysis(spark, texts_from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), request)

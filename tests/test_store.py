@@ -5,12 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import features
 from corpusloom.functions.text import token_array
 from corpusloom.operators import analyse, ingest, maintain, report, search
 from corpusloom.plans import lexicon
 from corpusloom.sources import corpus, store
 
+#: Queries that need nothing of the corpus but its sentences.
+SENTENCES_ALONE = ("many_words",)
 TEXTS = "text_id long, title string, author string, year int, genre string, text string"
 ROWS = [
     (1, "T1", "A1", 1863, "роман", "The smoke rose. Nothing.\nThe acrid smoke, and smoke again!"), (2, "T2", "A2", 1873, "роман", 'A sweet smell "like" honey? Smoke.'),
@@ -213,6 +216,38 @@ def test_many_words_equal_the_chain(spark):
     assert search.flag_words(sentences, table.limit(0)).count() == 0
 
 
+def test_least_words_stand_for_the_list(spark):
+    words = ["Smoke", "smo", "the", "other", "ab", "b", "x" * 70, "x" * 71 + "Q", "zq", None, ""]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    least, others = search.least_words(table)
+    assert (least, rows_of(others)) == (["b", "zq", "smo", "the"], [("x" * 70,), ("x" * 71 + "q",)])
+    one, left = search.least_words(table, 1)
+    assert (one, rows_of(left.where("length(word) < 9"))) == (["b"], [("other",), ("smo",), ("smoke",), ("the",), ("zq",)])
+    said = ["A CAB", "smog", None, "", "oTHEr", "nothing", "X" * 75, "nil"]
+    sentences = spark.createDataFrame([(k if k != 4 else None, s) for k, s in enumerate(said)], "sentence_id long, sentence string")
+    for most in (1, 2, 512):
+        found = search.flag_words(sentences.where("sentence_id is not null"), table, chain_words=most)
+        assert rows_of(found.select("sentence_id")) == [(0,), (1,), (6,)]
+    assert search.flag_words(sentences, table.where("word = 'the'")).count() == 1  # rows without id, too
+
+
+def test_no_stretches_are_counted_where_least_words_do(spark, monkeypatch):
+    monkeypatch.setattr(search, "_words_met", None)
+    words = spark.range(50_000).selectExpr("concat('q', id) word").unionByName(spark.createDataFrame([("q",)], "word string"))
+    sentences = spark.createDataFrame([(1, "none"), (2, "Quite")], "sentence_id long, sentence string")
+    assert rows_of(search.flag_words(sentences, words).select("sentence_id")) == [(2,)]
+
+
+def test_queries_of_sentences_alone_store_no_corpus(spark, monkeypatch):
+    def stores(*_):
+        raise AssertionError("a corpus was stored")
+
+    monkeypatch.setattr(lexicon, "store_analysis", stores)
+    monkeypatch.setattr(lexicon, "_stored", {})
+    for name in SENTENCES_ALONE:
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_large_lexicon_equals_the_literal_one(spark):
     weights = {"smoke": 3, "the": -1, "дым": 2}
     rows = spark.createDataFrame([(1, "The smoke, THE Smoke"), (2, "Дым"), (3, ""), (4, "none")], "sentence_id long, sentence string").withColumn("tokens", token_array(F.col("sentence")))
