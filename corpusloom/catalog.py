@@ -313,7 +313,7 @@ def _first_words(texts: DataFrame) -> DataFrame:
 def emotional_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by a lexicon that is a table: the first words of all texts, weighed by their length."""
     lexicon = _first_words(_texts(spark, sf_dir)).select("word", (F.length("word") % 5 - 2).alias("weight"))
-    rows = _corpus(spark, sf_dir).sentences.select("sentence_id", token_array(F.col("sentence")).alias("tokens"))
+    rows = sentences_of_documents(spark, sf_dir).select("sentence_id", token_array(F.col("sentence")).alias("tokens"))
     return features.emotional_scores(rows, lexicon).select("sentence_id", "emotional_score")
 
 

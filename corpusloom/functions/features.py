@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_text, once, token_array
+from corpusloom.sources.shared import materialise
 
 #: Markers of a comparison, vowels, and the sample weights of the emotional score.
 MARKERS = ("как", "словно", "подобно")
 VOWELS = "аеёиоуыэюя"
 EMOTIONS = {"сладкий": 1, "горький": -1, "приторный": -1}
+#: Longest lexicon that is broadcast, in words and in characters.
+BROADCAST_LEXICON, BROADCAST_CHARACTERS = 500_000, 8_000_000
 
 
 def most_frequent(signs: Column) -> Column:
@@ -40,12 +43,19 @@ def emotional_score(tokens: Column, weights: Mapping[str, int]) -> Column:
     return F.aggregate(scores, F.lit(0), lambda a, x: a + x)
 
 
-def emotional_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "sentence_id", tokens_col: str = "tokens") -> DataFrame:
-    """``df`` with ``emotional_score`` from lexicon(word, weight) of any length: equal words of a sentence are counted before they are joined. A word
-    that the lexicon has twice weighs the least of its weights. Rows need distinct ids; null ids and rows without a listed word score 0."""
-    listed = lexicon.groupBy("word").agg(F.min("weight").cast("long").alias("_weight"))
-    words = df.select(F.col(id_col).alias("_id"), F.explode(F.transform(tokens_col, F.lower)).alias("word")).groupBy("_id", "word").agg(F.count("*").alias("_n"))
-    sums = words.join(listed, "word").groupBy("_id").agg(F.sum(F.col("_n") * F.col("_weight")).alias("_sum"))
+def emotional_scores(df: DataFrame, lexicon: DataFrame, id_col: str = "sentence_id", tokens_col: str = "tokens", broadcast_words: int = BROADCAST_LEXICON) -> DataFrame:
+    """``df`` with ``emotional_score`` from lexicon(word, weight) of any length. A written lexicon of no more than ``broadcast_words`` words, and characters in
+    proportion, goes to every task, so no word is shuffled, but one sum for each sentence that has a listed word; for a longer one equal words of a sentence are
+    counted before they are joined. A word that the lexicon has twice weighs the least of its weights. Rows need distinct ids; null ids and rows without a listed
+    word score 0."""
+    listed = materialise(lexicon.where("word is not null").groupBy("word").agg(F.min("weight").cast("long").alias("_weight")), "lexicon")
+    held = listed.agg(F.count("*").alias("words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("characters")).first()
+    words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.transform(tokens_col, F.lower)).alias("word"))
+    if held.words <= broadcast_words and held.characters <= broadcast_words * BROADCAST_CHARACTERS // BROADCAST_LEXICON:
+        sums = words.join(F.broadcast(listed), "word").groupBy("_id").agg(F.sum("_weight").alias("_sum"))
+    else:
+        counted = words.groupBy("_id", "word").agg(F.count("*").alias("_n"))
+        sums = counted.join(listed, "word").groupBy("_id").agg(F.sum(F.col("_n") * F.col("_weight")).alias("_sum"))
     joined = df.join(sums, F.col(id_col) == F.col("_id"), "left")
     return joined.select(*df.columns, F.coalesce("_sum", F.lit(0)).cast("long").alias("emotional_score"))
 

@@ -13,7 +13,7 @@ from corpusloom.plans import lexicon
 from corpusloom.sources import corpus, store
 
 #: Queries that need nothing of the corpus but its sentences.
-SENTENCES_ALONE = ("many_words",)
+SENTENCES_ALONE = ("emotional_lexicon", "many_words")
 TEXTS = "text_id long, title string, author string, year int, genre string, text string"
 ROWS = [
     (1, "T1", "A1", 1863, "роман", "The smoke rose. Nothing.\nThe acrid smoke, and smoke again!"), (2, "T2", "A2", 1873, "роман", 'A sweet smell "like" honey? Smoke.'),
@@ -256,6 +256,16 @@ def test_large_lexicon_equals_the_literal_one(spark):
     assert rows_of(features.emotional_scores(rows, lexicon_).select("sentence_id", "emotional_score")) == want == [(1, 4), (2, 2), (3, 0), (4, 0)]
 
 
+def test_no_word_is_shuffled_for_a_lexicon_that_fits(spark, static):
+    weights = {"smoke": 3, "the": -1, "дым": 2, "nothing": None}
+    said = [(1, "The smoke, THE Smoke"), (2, "Дым"), (3, ""), (4, "none"), (None, "smoke"), (5, None), (6, "nothing"), (7, "The")]
+    rows = spark.createDataFrame(said, "sentence_id long, sentence string").withColumn("tokens", token_array(F.col("sentence")))
+    table = spark.createDataFrame([*weights.items(), ("the", 5), (None, 7)], "word string, weight int")
+    short, long_ = (features.emotional_scores(rows, table, broadcast_words=n).select("sentence_id", "emotional_score") for n in (10, 0))
+    assert rows_of(short) == rows_of(long_) == sorted([(1, 4), (2, 2), (3, 0), (4, 0), (None, 0), (5, 0), (6, 0), (7, -1)], key=repr)
+    assert exchanges(short) == exchanges(long_) - 2  # neither words with their sentences nor counts by word
+
+
 def test_concordance_looks_for_the_lemma_and_marks_what_was_typed(spark, texts):
     c = lexicon.run_analysis(spark, texts, "smoke").corpus
     forms = spark.createDataFrame([("Smoking", "smoke"), ("again", "smoke")], "form string, lemma string")
